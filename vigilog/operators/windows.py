@@ -109,13 +109,17 @@ class _Run:
 def _play(n: int, window: int):
     """The per-task pass over sorted Arrow batches."""
 
+    def out_schema(batch: pa.RecordBatch) -> pa.Schema:
+        fields = [f.with_nullable(True) for f in batch.schema if f.name != "_us"]
+        return pa.schema([*fields, *_REPORT_ARROW])
+
     def rows_out(batch: pa.RecordBatch, spots: list[int], extra: dict) -> pa.RecordBatch:
         taken = batch.drop_columns("_us").take(pa.array(spots, pa.int64()))
         blank = [None] * len(spots)
         return pa.RecordBatch.from_arrays(
             [*taken.columns,
              *[pa.array(extra.get(f.name, blank), f.type) for f in _REPORT_ARROW]],
-            schema=pa.schema([*taken.schema, *_REPORT_ARROW]),
+            schema=out_schema(batch),
         )
 
     def play(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +128,7 @@ def _play(n: int, window: int):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            shape = batch.schema
+            shape = out_schema(batch)
             keys = batch.column("run_key").to_numpy(zero_copy_only=False)
             us = batch.column("_us").to_numpy(zero_copy_only=False)
             cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
@@ -158,8 +162,7 @@ def _play(n: int, window: int):
             edges = [first.report(task)]
             if run is not first:
                 edges.append(run.report(task))
-            fields = [f.with_nullable(True) for f in shape if f.name != "_us"]
-            yield pa.RecordBatch.from_pylist(edges, schema=pa.schema([*fields, *_REPORT_ARROW]))
+            yield pa.RecordBatch.from_pylist(edges, schema=shape)
 
     return play
 
