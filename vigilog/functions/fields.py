@@ -5,6 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def once(value: Column) -> Column:
+    """``value`` as a generated column.
+
+    The optimizer copies a plain expression into every filter above it, where
+    costly ones (decoding JSON) would run again for each mention. It does not
+    copy generated columns, and still pushes down filters on other columns.
+    """
+    return F.explode(F.array(value))
+
+
 def has_key(variant: Column, key: str) -> Column:
     """True when the key is there, also with a JSON null as its value."""
     return F.try_variant_get(variant, f"$.{key}", "variant").isNotNull()

@@ -27,7 +27,7 @@ def parse_json_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     decoded = lines.select(
         text.alias("_raw"),
         F.col("source_file").alias("ingestion_source_file"),
-        F.try_parse_json(text).alias("_v"),
+        fields.once(F.try_parse_json(text)).alias("_v"),
     ).withColumn("metadata", F.try_variant_get("_v", "$.metadata", "variant"))
     return (
         decoded.withColumn("reject_reason", _reject_reason())

@@ -571,3 +571,38 @@ ORACLES: dict[str, str] = {
                round(count(*) / 3600.0::DOUBLE, 6) AS events_per_second
         FROM logs GROUP BY 1""",
 }
+
+# Streams give out what their watermark has passed: the newest row they count,
+# less one hour, in whole milliseconds.
+ORACLES |= {
+    "stream_processed_counts": ORACLES["severity_counts"],
+    "stream_signals": P_EVSIG + """
+        SELECT signal_id, signal_type, severity, service, us FROM evsig""",
+    "stream_bruteforce": _with(LOGS, BRUTE) + f"""
+        SELECT event_id, service_name AS service, us, client_ip AS ip FROM brute
+        WHERE us < (SELECT (max(us) - {HOUR}) // 1000 * 1000 FROM brute_rows)""",
+    "stream_error_spike": _with(LOGS, SPIKE) + f"""
+        SELECT event_id, service_name AS service, us FROM spike
+        WHERE us <= (SELECT max(us) - {HOUR} FROM spike_rows)""",
+    "stream_error_rates": _with(LOGS, RATES) + f"""
+        SELECT service_name, window_start_us, events, errors FROM rates
+        WHERE window_start_us + {HOUR} <= (SELECT (max(us) - {HOUR}) // 1000 * 1000 FROM logs)""",
+    "stream_incident_sessions": _with(LOGS, EVENT_SIGNALS, GROUPS.replace("FROM sig", "FROM evsig")) + f"""
+        SELECT service, error, created_us, occurrence_count FROM sessions
+        WHERE updated_us + {HOUR} <= (SELECT (max(us) - {HOUR}) // 1000 * 1000 FROM evsig)""",
+    "stream_stage_tables": _with(LOGS, LINES) + """
+        , kept AS (
+          SELECT *, CASE WHEN event_type = 'deployment.failed' THEN 'HIGH'
+            WHEN event_type = 'http.request' AND latency_ms > 2000 THEN 'MEDIUM'
+            WHEN event_type = 'db.query' AND latency_ms > 3000 THEN 'MEDIUM' END AS found
+          FROM lines WHERE reason_out IS NULL)
+        SELECT 'raw_logs' AS stage, count(*) AS n_rows FROM lines
+        UNION ALL SELECT 'dead_letters', count(*) FROM lines WHERE reason_out IS NOT NULL
+        UNION ALL SELECT 'processed_logs', count(*) FROM kept
+        UNION ALL SELECT 'signals', count(found) FROM kept
+        UNION ALL SELECT 'incidents', count(found) FROM kept
+        UNION ALL SELECT 'responses', count(found) FROM kept
+        UNION ALL SELECT 'notifications', 0""",
+    "stream_tailed_lines": _with(LOGS, LINES) + """
+        SELECT event_id, normalized_type FROM lines WHERE reason_out IS NULL""",
+}

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from vigilog.functions import fields
+
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The table's times are UTC without a zone.
@@ -15,10 +17,23 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
 
 
+def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table as a stream."""
+    known = read_events(spark, sf_dir).schema
+    return (
+        spark.readStream.schema(known)
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(sf_dir)
+    )
+
+
 def as_logs(events: DataFrame) -> DataFrame:
     """Canonical log columns with typed metadata."""
-    kind, value = F.col("event_type"), F.col("value")
-    k = F.get_json_object("props", "$.k").cast("int")
+    number = F.get_json_object("props", "$.k").cast("int")
+    events = events.select(
+        "event_id", "ts", "user_id", "event_type", "value", fields.once(number).alias("k")
+    )
+    kind, value, k = F.col("event_type"), F.col("value"), F.col("k")
     http = kind.isin("error", "view", "click")
     login_failed = (kind == "signup") & (k % 5 < 3)
     deploy = (kind == "purchase") & (k % 10 == 0)
@@ -88,17 +103,17 @@ def as_json_lines(logs: DataFrame) -> DataFrame:
             "host", "environment", metadata.alias("metadata"),
         )
     )
-    latency = F.col("latency_ms")
+    latency, text = F.col("latency_ms"), F.col("_whole")
     line = (
-        F.when(latency > 5000, F.substring(whole, 1, 60))
+        F.when(latency > 5000, F.substring(text, 1, 60))
         .when(latency < 10, F.lit(""))
         .when(latency < 15, F.col("event_id"))
-        .when(latency < 20, F.regexp_replace(whole, '"event_id":"[^"]*",', ""))
-        .when(latency < 25, F.regexp_replace(whole, '"metadata":\\{[^}]*\\}', '"note":1'))
-        .when(latency < 30, F.regexp_replace(whole, '"latency_ms":[0-9.E]+', '"latency_ms":"slow"'))
-        .otherwise(whole)
+        .when(latency < 20, F.regexp_replace(text, '"event_id":"[^"]*",', ""))
+        .when(latency < 25, F.regexp_replace(text, '"metadata":\\{[^}]*\\}', '"note":1'))
+        .when(latency < 30, F.regexp_replace(text, '"latency_ms":[0-9.E]+', '"latency_ms":"slow"'))
+        .otherwise(text)
     )
-    return logs.select("event_id", line.alias("value"))
+    return logs.withColumn("_whole", whole).select("event_id", line.alias("value"))
 
 
 def as_text_lines(logs: DataFrame) -> DataFrame:

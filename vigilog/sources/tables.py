@@ -5,27 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigilog import schema
+from vigilog.sources.log_tail import LogTail
 
 
 def _with_file(lines: DataFrame) -> DataFrame:
     return lines.select("value", F.col("_metadata.file_name").alias("source_file"))
 
 
-def read_log_files(spark: SparkSession, directory: str) -> DataFrame:
-    """All lines of the ``.log`` files of a directory, with their file's name."""
-    return _with_file(spark.read.option("pathGlobFilter", "*.log").text(directory))
+def read_log_files(spark: SparkSession, directory: str, suffix: str = ".log") -> DataFrame:
+    """All lines of the log files of a directory, with their file's name."""
+    return _with_file(spark.read.option("pathGlobFilter", f"*{suffix}").text(directory))
 
 
 def stream_log_files(
-    spark: SparkSession, directory: str, max_files: int | None = None
+    spark: SparkSession, directory: str, suffix: str = ".log", max_files: int | None = None
 ) -> DataFrame:
     """The same as a stream over finished (rotated) files."""
-    reader = spark.readStream.option("pathGlobFilter", "*.log")
+    reader = spark.readStream.option("pathGlobFilter", f"*{suffix}")
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return _with_file(reader.text(directory))
 
 
+def tail_log_files(spark: SparkSession, directory: str, suffix: str = ".log") -> DataFrame:
+    """The same as a stream over files that still grow."""
+    spark.dataSource.register(LogTail)
+    return spark.readStream.format("log_tail").option("suffix", suffix).load(directory)
+
+
 def playbooks(spark: SparkSession, actions: dict[str, str] | None = None) -> DataFrame:
     """The playbook dimension from a mapping of signal type to action."""
     rows = list((schema.PLAYBOOKS if actions is None else actions).items())
