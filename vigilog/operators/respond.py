@@ -7,13 +7,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from vigilog.functions import classify, fields
 from vigilog.operators.ordered import join_keys
 from vigilog.operators.windows import sliding_count
+from vigilog.session import dimension
 
 
 def plan_responses(incidents: DataFrame, playbooks: DataFrame) -> DataFrame:
     """Each incident's action by exact match of its error; ``none`` without a
-    playbook. No join hint: the planner broadcasts the playbook table when its
-    size allows and otherwise splits hot errors as skewed partitions."""
-    found = playbooks.select(F.col("signal_type").alias("error"), "action")
+    playbook. A small playbook table is broadcast, so incidents stay where
+    they are; a larger one is joined with hot errors split by the planner."""
+    found = dimension(playbooks.select(F.col("signal_type").alias("error"), "action"))
     action = F.col("action")
     return incidents.join(found, "error", "left").select(
         F.col("id").alias("incident_id"),
@@ -48,7 +49,7 @@ def action_plan(incidents: DataFrame, playbooks: DataFrame) -> DataFrame:
         "playbook_id", F.col("trigger_signal").alias("error"), "requires_approval",
         F.explode("steps").alias("step"),
     )
-    return incidents.join(steps, "error").select(
+    return incidents.join(dimension(steps), "error").select(
         F.col("id").alias("incident_id"),
         "playbook_id",
         "requires_approval",
@@ -86,6 +87,7 @@ def select_playbooks(playbooks: DataFrame, history: DataFrame) -> DataFrame:
         scored.withColumn("_place", F.row_number().over(best))
         .filter("_place = 1")
         .select("trigger_signal", "rank", "playbook_id", "action", "priority", "success_rate")
+        .transform(dimension)
     )
 
 
@@ -149,7 +151,7 @@ def safety_gate(
     is_protected: Column = F.lit(False)
     if protected is not None:
         marked = protected.select("service").distinct().withColumn("_protected", F.lit(True))
-        gated = gated.join(marked, "service", "left")
+        gated = gated.join(dimension(marked), "service", "left")
         is_protected = F.coalesce("_protected", F.lit(False))
     return gated.withColumn(
         "decision",

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from vigilog.functions import fields
 from vigilog.operators import rules as R
+from vigilog.session import dimension
 
 NUMERIC_FIELDS = ("latency_ms", "status", "cpu_percent", "memory_used_mb")
 COMPARISONS = {
@@ -31,12 +32,12 @@ def evaluate(logs: DataFrame, rules: DataFrame) -> DataFrame:
     versions in force at its time.
 
     An as-of join: equal event type, and the event's time inside the version's
-    validity. The planner broadcasts the rule table when its size allows.
+    validity. A small rule table is broadcast, so events stay where they are.
     """
     own = validity(rules.filter("window_s is null")).withColumnsRenamed(
         {"event_type": "rule_event_type", "severity": "rule_severity",
          "version": "rule_version"}
-    )
+    ).transform(dimension)
     at = F.col("timestamp")
     in_force = (at >= F.col("valid_from")) & (
         F.col("valid_to").isNull() | (at < F.col("valid_to"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def build_session(master: str, app: str = "vigilog", **conf: str) -> SparkSession:
@@ -54,3 +54,10 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def dimension(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
+    """A configuration table for a join: broadcast if it is as small as it
+    should be, which is looked up, else left to the planner."""
+    small = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if small else df
