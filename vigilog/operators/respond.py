@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from vigilog.functions import classify, fields
 from vigilog.operators.ordered import join_keys
 from vigilog.operators.windows import sliding_count
-from vigilog.session import dimension
+from vigilog.session import dimension, is_small
 
 
 def plan_responses(incidents: DataFrame, playbooks: DataFrame) -> DataFrame:
@@ -83,12 +83,13 @@ def select_playbooks(playbooks: DataFrame, history: DataFrame) -> DataFrame:
     best = Window.partitionBy("trigger_signal", "rank").orderBy(
         F.desc("priority"), F.desc("success_rate"), "playbook_id"
     )
-    return (
+    chosen = (
         scored.withColumn("_place", F.row_number().over(best))
         .filter("_place = 1")
         .select("trigger_signal", "rank", "playbook_id", "action", "priority", "success_rate")
-        .transform(dimension)
     )
+    # At most one row per playbook and severity.
+    return F.broadcast(chosen) if is_small(playbooks) else chosen
 
 
 def match_playbooks(incidents: DataFrame, best: DataFrame) -> DataFrame:

@@ -56,8 +56,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def is_small(df: DataFrame, max_rows: int = 20_000) -> bool:
+    """Looks at no more than ``max_rows`` rows to tell."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def dimension(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
     """A configuration table for a join: broadcast if it is as small as it
     should be, which is looked up, else left to the planner."""
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
+    return F.broadcast(df) if is_small(df, max_rows) else df
