@@ -89,7 +89,7 @@ def test_runs_join_up_at_any_cut(gaps, n, window, cuts, piece):
     if not reports:
         assert expected == []
         return
-    picks = windows._choose(n, window)(pd.DataFrame(reports)).set_index("_task")
+    picks = windows._choose({"k": (n, window)})(pd.DataFrame(reports)).set_index("_task")
     got = [row for task, row, runs in marked if picks.loc[task, "_run"] in runs]
     got += [row for task, row, i in heads if picks.loc[task, "_hit"] == i]
     assert sorted(got) == expected

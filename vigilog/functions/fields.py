@@ -29,9 +29,10 @@ def get_or(variant: Column, key: str, kind: str, default) -> Column:
     return F.coalesce(F.try_variant_get(variant, f"$.{key}", kind), F.lit(default))
 
 
-def is_number_or_absent(variant: Column, key: str) -> Column:
+def not_a_number(variant: Column, key: str) -> Column:
+    """True for text, a list or an object at ``key``; null when it is absent."""
     shape = F.schema_of_variant(F.try_variant_get(variant, f"$.{key}", "variant"))
-    return shape.isNull() | shape.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|BOOLEAN|VOID)")
+    return F.substring(shape, 1, 3).isin("STR", "OBJ", "ARR")
 
 
 def utc_timestamp(text: Column) -> Column:

@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vigilog import schema
 from vigilog.functions import fields
 
-NUMERIC_METADATA = ("status", "latency_ms")
-
 
 def parse_json_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """Decode one JSON object per line, once, into typed columns.
@@ -48,19 +46,26 @@ def parse_json_lines(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def _reject_reason() -> Column:
+    """Ordered so that a good line passes few tests: the costly ones only run
+    on lines that are already known to be bad, or to be odd."""
     event, meta = F.col("_v"), F.col("metadata")
-    present = [fields.has_key(event, name) for name in schema.REQUIRED_FIELDS]
+    absent = reduce(
+        lambda a, b: a | b, [~fields.has_key(event, name) for name in schema.REQUIRED_FIELDS]
+    )
+    usual = F.coalesce(
+        *[F.try_variant_get(meta, f"$.{n}", "string") for n in ("client_ip", "latency_ms")]
+    )
     http = F.try_variant_get(event, "$.event_type", "string") == "http.request"
-    bad_status = http & ~fields.is_number_or_absent(meta, "status")
     latency_text = F.try_variant_get(meta, "$.latency_ms", "string")
-    bad_latency = ~fields.is_number_or_absent(meta, "latency_ms") & (latency_text != "")
     return (
-        F.when(F.col("_raw").rlike(r"^\s*$"), "empty")
-        .when(event.isNull(), "malformed")
-        .when(~fields.is_object(event), "not_object")
-        .when(~reduce(lambda a, b: a & b, present), "missing_field")
-        .when(meta.isNull() | ~fields.is_object(meta), "no_metadata")
-        .when(bad_status | F.coalesce(bad_latency, F.lit(False)), "bad_type")
+        F.when(event.isNull(),
+               F.when(F.col("_raw").rlike(r"^\s*$"), "empty").otherwise("malformed"))
+        .when(absent,
+              F.when(fields.is_object(event), "missing_field").otherwise("not_object"))
+        .when(meta.isNull() | (usual.isNull() & ~fields.is_object(meta)), "no_metadata")
+        .when(http & fields.not_a_number(meta, "status"), "bad_type")
+        .when(fields.not_a_number(meta, "latency_ms")
+              & F.coalesce(latency_text != "", F.lit(True)), "bad_type")
     )
 
 
@@ -126,24 +131,37 @@ def parse_text_lines(
     ``pattern`` names it and is null for a line no format matches. Fields a
     format does not name are looked up as ``key=value`` in the text.
     """
-    text = F.col(value)
+    # One text per line, "name SEP group 1 SEP group 2 ...", and one list of
+    # its key=value pairs: each pattern runs once per line.
+    text, sep = F.col(value), "\u0001"
+
+    def taken(p: LinePattern) -> Column:
+        groups = sep.join(f"${i + 1}" for i in range(max(p.groups.values())))
+        return F.concat(F.lit(p.name + sep), F.regexp_replace(text, p.regex, groups))
+
     chosen = reduce(
-        lambda c, p: c.when(text.rlike(p.regex), p.name),
+        lambda c, p: c.when(text.rlike(p.regex), taken(p)),
         patterns[1:],
-        F.when(text.rlike(patterns[0].regex), patterns[0].name),
+        F.when(text.rlike(patterns[0].regex), taken(patterns[0])),
     )
-    matched = lines.select(text.alias("value"), chosen.alias("pattern"))
+    matched = lines.select(
+        text.alias("value"), fields.once(F.struct(
+            F.split(chosen, sep).alias("parts"),
+            F.regexp_extract_all(text, F.lit(r"\b(\w+=\S+)"), F.lit(1)).alias("pairs"),
+        )).alias("m"),
+    ).select("value", F.col("m.parts")[0].alias("pattern"), "m.parts", "m.pairs")
 
     def column(name: str) -> Column:
-        pair = F.regexp_extract("value", rf"\b{name}=(\S+)", 1)
+        start = f"{name}="
+        pair = F.get(F.filter("pairs", lambda p: p.startswith(start)), F.lit(0))
         found = F.lit(None).cast("string")
         for p in reversed(patterns):
             if name in p.groups:
-                part = F.regexp_extract("value", p.regex, p.groups[name])
+                part = F.get("parts", F.lit(p.groups[name]))
             elif name in p.constants:
                 part = F.lit(p.constants[name])
             else:
-                part = pair
+                part = F.substring(pair, len(start) + 1, 1 << 30)
             found = F.when(F.col("pattern") == p.name, part).otherwise(found)
         return F.when(found != "", found)
 

@@ -16,14 +16,13 @@ def plan_responses(incidents: DataFrame, playbooks: DataFrame) -> DataFrame:
     they are; a larger one is joined with hot errors split by the planner."""
     found = dimension(playbooks.select(F.col("signal_type").alias("error"), "action"))
     action = F.col("action")
+    context = [c for c in ("service", "error", "severity", "created_at", "evidence")
+               if c in incidents.columns]
     return incidents.join(found, "error", "left").select(
         F.col("id").alias("incident_id"),
         F.coalesce(action, F.lit("none")).alias("action"),
         F.when(action.isNull(), "no_playbook").otherwise("success").alias("status"),
-        "service",
-        "error",
-        "severity",
-        "created_at",
+        *context,
     )
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from vigilog.functions import fields
@@ -69,13 +67,17 @@ def evaluate(logs: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def _window_rule(row: Row) -> R.WindowRule:
+def _window_rule(place: int, row: Row) -> R.WindowRule:
+    """A rule version as a rule that only counts events of its time."""
     key = (row["key_field"],) if row["key_field"] else ()
 
     def when() -> Column:
-        test = F.lit(True)
+        at = F.col("timestamp")
+        test = at >= F.lit(row["valid_from"])
+        if row["valid_to"] is not None:
+            test = test & (at < F.lit(row["valid_to"]))
         if row["field"]:
-            test = COMPARISONS[row["op"]](F.col(row["field"]), F.lit(row["threshold"]))
+            test = test & COMPARISONS[row["op"]](F.col(row["field"]), F.lit(row["threshold"]))
         for name in key:
             test = test & (F.coalesce(F.col(name), F.lit("")) != "")
         return test
@@ -84,7 +86,7 @@ def _window_rule(row: Row) -> R.WindowRule:
         return {name: F.col(name) for name in key} or {"count": F.lit(row["count"])}
 
     return R.WindowRule(
-        0, row["signal_type"], row["severity"], row["event_type"], when,
+        place, row["signal_type"], row["severity"], row["event_type"], when,
         row["count"], row["window_s"], key, evidence,
     )
 
@@ -94,15 +96,12 @@ def evaluate_windows(logs: DataFrame, rules: DataFrame) -> DataFrame:
 
     Only the rule rows, which are configuration, come to the driver.
     """
-    parts = []
-    for row in validity(rules.filter("window_s is not null")).collect():
-        held = logs.filter(F.col("timestamp") >= F.lit(row["valid_from"]))
-        if row["valid_to"] is not None:
-            held = held.filter(F.col("timestamp") < F.lit(row["valid_to"]))
-        found = R.window_signals(held, _window_rule(row))
-        parts.append(
-            found.withColumns(
-                {"rule_id": F.lit(row["rule_id"]), "version": F.lit(row["version"])}
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+    rows = validity(rules.filter("window_s is not null")).collect()
+    found = R.window_signals(logs, *[_window_rule(i, row) for i, row in enumerate(rows)])
+    of = F.col("rule_order")
+    return found.withColumns(
+        {
+            "rule_id": F.array(*[F.lit(r["rule_id"]) for r in rows])[of],
+            "version": F.array(*[F.lit(r["version"]) for r in rows])[of],
+        }
+    )

@@ -155,11 +155,31 @@ def rule_matches(logs: DataFrame, rule: WindowRule) -> DataFrame:
     )
 
 
-def window_signals(logs: DataFrame, rule: WindowRule) -> DataFrame:
-    fired = windows.emit_and_reset(
-        rule_matches(logs, rule), "run_key", "us", "event_id", rule.count, rule.window_us
+def window_signals(logs: DataFrame, *rules: WindowRule) -> DataFrame:
+    """Signals of windowed rules: one scan and one shuffle for all of them."""
+    named = {str(i): rule for i, rule in enumerate(rules)}
+    columns = ["event_id", "service_name", "timestamp"]
+    keys = sorted({c for rule in rules for c in rule.key} - set(columns))
+    runs = [
+        F.when(
+            matches(rule),
+            F.struct(
+                F.lit(name).alias("run_rule"), windows.run_key(rule.key).alias("run_key")
+            ),
+        )
+        for name, rule in named.items()
+    ]
+    counted = (
+        logs.filter(reduce(lambda a, b: a | b, [matches(r) for r in rules]))
+        .select(*columns, *keys, F.explode(F.array_compact(F.array(*runs))).alias("run"))
+        .select(*columns, *keys, "run.*", fields.micros(F.col("timestamp")).alias("us"))
+    )
+    fired = windows.emit_and_reset_rules(
+        counted, "run_key", "us", "event_id",
+        {name: (rule.count, rule.window_us) for name, rule in named.items()},
     )
-    return window_hits(fired, rule)
+    hit = F.coalesce(*[F.when(F.col("run_rule") == n, _hit(r)) for n, r in named.items()])
+    return _as_signal(fired.withColumn("hit", hit))
 
 
 def window_hits(fired: DataFrame, rule: WindowRule) -> DataFrame:
@@ -175,9 +195,7 @@ def detect(
     """Signals of every rule; ``rule_order`` tells the order within one event."""
     windowed = window_rules() if windowed is None else windowed
     out = event_signals(logs, rules)
-    for rule in windowed:
-        out = out.unionByName(window_signals(logs, rule))
-    return out
+    return out.unionByName(window_signals(logs, *windowed)) if windowed else out
 
 
 def signals_per_event(logs: DataFrame, signals: DataFrame) -> DataFrame:

@@ -15,11 +15,14 @@ from vigilog.operators.ordered import join_keys, with_running_sum
 from vigilog.session import cut
 
 
+SEPARATOR = "\u001f"
+
+
 def run_key(columns: tuple[str, ...] | list[str]) -> Column:
     """One text key out of zero or more columns."""
     if not columns:
         return F.lit("")
-    return F.concat_ws("\u001f", *[F.col(c).cast("string") for c in columns])
+    return F.concat_ws(SEPARATOR, *[F.col(c).cast("string") for c in columns])
 
 
 # --- count, fire, reset -----------------------------------------------------
@@ -106,8 +109,9 @@ class _Run:
         }
 
 
-def _play(n: int, window: int):
+def _play(settings: dict[str, tuple[int, int]]):
     """The per-task pass over sorted Arrow batches."""
+    shortest = min(n for n, _ in settings.values())
 
     def out_schema(batch: pa.RecordBatch) -> pa.Schema:
         fields = [f.with_nullable(True) for f in batch.schema if f.name != "_us"]
@@ -135,9 +139,10 @@ def _play(n: int, window: int):
             bounds = [0, *cuts.tolist(), len(us)]
             spots, marks, kinds, places = [], [], [], []
             for lo, hi in zip(bounds[:-1], bounds[1:]):
-                if lo > 0 and hi < len(us) and hi - lo < n:
+                if lo > 0 and hi < len(us) and hi - lo < shortest:
                     continue  # a whole key too short to fire
                 if run is None or run.key != keys[lo]:
+                    n, window = settings[keys[lo].split(SEPARATOR)[0]]
                     run = _Run(keys[lo], n if first is None else 1, n, window)
                     first = first or run
                 before = run.rows
@@ -147,7 +152,7 @@ def _play(n: int, window: int):
                     kinds.append("fired")
                     places.append(None)
                 if run is first:
-                    for at in range(before, min(n - 1, run.rows)):
+                    for at in range(before, min(run.n - 1, run.rows)):
                         spots.append(lo + at - before)
                         marks.append(None)
                         kinds.append("head")
@@ -167,10 +172,11 @@ def _play(n: int, window: int):
     return play
 
 
-def _choose(n: int, window: int):
+def _choose(settings: dict[str, tuple[int, int]]):
     """Walk one key's task reports in order and pick the real run of each."""
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, window = settings[pdf["run_key"].iloc[0].split(SEPARATOR)[0]]
         usable: list[int] = []
         picks = []
         for row in pdf.sort_values("_task").to_dict("records"):
@@ -203,33 +209,47 @@ def emit_and_reset(
     exactly ``window_us`` still counts. After a firing row the count of its
     key starts afresh.
     """
-    if n < 1:
+    one = df.withColumn("run_rule", F.lit(""))
+    return emit_and_reset_rules(one, key, us, order, {"": (n, window_us)}).drop("run_rule")
+
+
+def emit_and_reset_rules(
+    df: DataFrame, key: str, us: str, order: str, settings: dict[str, tuple[int, int]]
+) -> DataFrame:
+    """``emit_and_reset`` for several rules in one shuffle: the text column
+    ``run_rule`` names a row's rule, ``settings`` gives each rule's ``n`` and
+    ``window_us``."""
+    if any(n < 1 for n, _ in settings.values()):
         raise ValueError("n must be at least 1")
-    payload = [c for c in df.columns if c != key]
-    rows = df.filter(F.col(key).isNotNull() & F.col(us).isNotNull()).select(
-        F.col(key).alias("run_key"),
-        F.col(us).alias("_us"),
-        F.col(order).cast("string").alias("_id"),
-        F.monotonically_increasing_id().alias("_copy"),
-        *payload,
+    kept = df.columns
+    # Range partitioning reads its input twice, so the rows, which are few
+    # compared with the logs they come from, are stored first.
+    rows = cut(
+        df.filter(F.col(key).isNotNull() & F.col(us).isNotNull()).select(
+            F.concat("run_rule", F.lit(SEPARATOR), key).alias("run_key"),
+            F.col(us).alias("_us"),
+            F.col(order).cast("string").alias("_id"),
+            F.monotonically_increasing_id().alias("_copy"),
+            *[F.col(c).alias(f"row_{c}") for c in kept],
+        )
     )
     by = ["run_key", "_us", "_id", "_copy"]
     schema = T.StructType(
         [T.StructField("run_key", T.StringType())]
-        + [T.StructField(c, df.schema[c].dataType) for c in payload]
+        + [T.StructField(f"row_{c}", df.schema[c].dataType) for c in kept]
         + T.StructType.fromDDL(_REPORT).fields
     )
     played = cut(
         rows.repartitionByRange(*by)
         .sortWithinPartitions(*by)
         .drop("_id", "_copy")
-        .mapInArrow(_play(n, window_us), schema)
+        .mapInArrow(_play(settings), schema)
     )
     choices = (
         played.filter("_kind = 'edge'")
         .select("run_key", "_task", "_rows", "_head", "_tail", "_carry")
         .groupBy("run_key")
-        .applyInPandas(_choose(n, window_us), _CHOICE_SCHEMA)
+        .applyInPandas(_choose(settings), _CHOICE_SCHEMA)
     )
     # At most two reports per task, so the choices are small by construction.
     real = played.filter("_kind <> 'edge'").join(
@@ -239,7 +259,9 @@ def emit_and_reset(
         F.col("_runs").isNull() | F.array_contains("_runs", F.col("_run"))
     )
     is_head = (F.col("_kind") == "head") & (F.col("_place") == F.col("_hit"))
-    return real.filter(is_fired | is_head).select(F.col("run_key").alias(key), *payload)
+    return real.filter(is_fired | is_head).select(
+        *[F.col(f"row_{c}").alias(c) for c in kept]
+    )
 
 
 # --- trailing counts without reset ------------------------------------------

@@ -16,6 +16,7 @@ from vigilog.operators import (
     anomaly, audit, correlate, incidents as inc, notify, parse, process, respond, rulebook,
     rules, search, windows,
 )
+from vigilog.session import cut
 from vigilog.sources import event_table, tables
 
 HOUR_US = 3_600_000_000
@@ -49,16 +50,18 @@ def window_rules() -> list[rules.WindowRule]:
     return [rules.error_spike_rule(**SPIKE), rules.brute_force_rule(**BRUTE)]
 
 
-def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.detect(logs(spark, sf_dir), windowed=window_rules())
+def signals(spark: SparkSession, sf_dir: str, stored: bool = False) -> DataFrame:
+    """All signals; ``stored`` for queries that read them more than once."""
+    found = rules.detect(logs(spark, sf_dir), windowed=window_rules())
+    return cut(found) if stored else found
 
 
-def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inc.create_incidents(signals(spark, sf_dir))
+def incidents(spark: SparkSession, sf_dir: str, stored: bool = False) -> DataFrame:
+    return inc.create_incidents(signals(spark, sf_dir, stored))
 
 
-def signal_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inc.create_incidents(signals(spark, sf_dir), severity_source="signal")
+def signal_incidents(spark: SparkSession, sf_dir: str, stored: bool = False) -> DataFrame:
+    return inc.create_incidents(signals(spark, sf_dir, stored), severity_source="signal")
 
 
 def updates(opened: DataFrame) -> DataFrame:
@@ -100,14 +103,11 @@ def executed(opened: DataFrame) -> DataFrame:
     failed = (latency > 3500) | (
         (F.col("error") == "DEPLOYMENT_FAILURE") & F.col("evidence")["reason"].isNotNull()
     )
-    outcome = opened.select(
-        F.col("id").alias("incident_id"), F.coalesce(failed, F.lit(False)).alias("failed"))
     return (
         planned(opened)
-        .join(outcome, "incident_id")
-        .withColumn("status", F.when(F.col("failed"), "failed").otherwise("success"))
+        .withColumn("status", F.when(F.coalesce(failed, F.lit(False)), "failed")
+                    .otherwise("success"))
         .withColumn("executed_at", F.timestamp_micros(us("created_at") + MINUTE_US))
-        .drop("failed")
     )
 
 
@@ -325,11 +325,11 @@ def incident_sessions(spark, sf_dir):
 
 
 def session_links(spark, sf_dir):
-    return correlate.session_links(signals(spark, sf_dir), HOUR_US)
+    return correlate.session_links(signals(spark, sf_dir, stored=True), HOUR_US)
 
 
 def incident_severity_scored(spark, sf_dir):
-    found = signals(spark, sf_dir)
+    found = signals(spark, sf_dir, stored=True)
     groups = correlate.correlated_groups(found, HOUR_US)
     sessions = correlate.incident_sessions(found, HOUR_US)
     return inc.score_severity(sessions, groups, HOUR_US, full_frequency=4).select(
@@ -363,54 +363,54 @@ def incidents_from_payload(spark, sf_dir):
 
 
 def incidents_latest_after_updates(spark, sf_dir):
-    opened = incidents(spark, sf_dir)
+    opened = incidents(spark, sf_dir, stored=True)
     return inc.current_state(opened, updates(opened)).select(
         "id", "service", "error", "severity", "status", us("changed_at", "changed_us"))
 
 
 def incidents_missing_updates(spark, sf_dir):
-    opened = incidents(spark, sf_dir)
+    opened = incidents(spark, sf_dir, stored=True)
     return inc.missing_updates(opened, updates(opened)).select(
         "id", "status", us("changed_at", "changed_us"))
 
 
 def incidents_found_by_id(spark, sf_dir):
-    opened = incidents(spark, sf_dir)
+    opened = incidents(spark, sf_dir, stored=True)
     return inc.get_incidents(opened, updates(opened).filter("status = 'resolved'")).select(
         "id", "error")
 
 
 def incident_status_history(spark, sf_dir):
-    opened = incidents(spark, sf_dir)
+    opened = incidents(spark, sf_dir, stored=True)
     changes = inc.status_changes(opened, updates(opened))
     return inc.latest_by_key(changes).select("id", "status", us("changed_at", "changed_us"))
 
 
 def lifecycle_transitions(spark, sf_dir):
-    opened = incidents(spark, sf_dir)
+    opened = incidents(spark, sf_dir, stored=True)
     return inc.transitions(inc.status_changes(opened, updates(opened))).select(
         "id", "previous", "status", us("changed_at", "changed_us"), "seq", "verdict")
 
 
 def lifecycle_notices(spark, sf_dir):
-    opened = incidents(spark, sf_dir)
+    opened = incidents(spark, sf_dir, stored=True)
     return notify.lifecycle_notices(inc.status_changes(opened, updates(opened))).select(
         "id", "previous", "status", us("changed_at", "changed_us"), "notice")
 
 
 def incident_rollup(spark, sf_dir):
-    opened = incidents(spark, sf_dir)
+    opened = incidents(spark, sf_dir, stored=True)
     state = inc.current_state(opened, updates(opened))
     return inc.severity_rollup(state).withColumn("level", F.col("level").cast("bigint"))
 
 
 def incidents_active(spark, sf_dir):
-    opened = incidents(spark, sf_dir)
+    opened = incidents(spark, sf_dir, stored=True)
     return inc.active(inc.current_state(opened, updates(opened))).select("id", "status")
 
 
 def incidents_historical(spark, sf_dir):
-    opened = incidents(spark, sf_dir)
+    opened = incidents(spark, sf_dir, stored=True)
     return inc.historical(inc.current_state(opened, updates(opened))).select("id", "status")
 
 
@@ -452,14 +452,14 @@ def action_plan_steps(spark, sf_dir):
 
 
 def safety_gate(spark, sf_dir):
-    attempts = planned(signal_incidents(spark, sf_dir))
+    attempts = planned(signal_incidents(spark, sf_dir, stored=True))
     protected = spark.createDataFrame([("auth-service",)], "service string")
     return respond.safety_gate(attempts, 2 * HOUR_US, 3, 12 * HOUR_US, protected).select(
         "incident_id", "service", "action", "us", "attempts", "in_cooldown", "decision")
 
 
 def approval_gate(spark, sf_dir):
-    opened = signal_incidents(spark, sf_dir)
+    opened = signal_incidents(spark, sf_dir, stored=True)
     actions = respond.action_plan(opened, _step_books(spark)).select(
         "incident_id", F.col("command").alias("action"), "requires_approval")
     return respond.approval_gate(actions, _approvals(opened))
@@ -485,13 +485,13 @@ def _approvals(opened):
 
 
 def failure_suppression(spark, sf_dir):
-    opened = signal_incidents(spark, sf_dir)
+    opened = signal_incidents(spark, sf_dir, stored=True)
     return respond.suppress_failed(planned(opened), executed(opened), 5).select(
         "incident_id", "error", "service", "action", "status")
 
 
 def failure_suppressed(spark, sf_dir):
-    opened = signal_incidents(spark, sf_dir)
+    opened = signal_incidents(spark, sf_dir, stored=True)
     return respond.suppressed(planned(opened), executed(opened), 5).groupBy(
         "error", "service", "action", "failures").agg(F.count("*").alias("held_back"))
 
@@ -508,7 +508,7 @@ def playbook_best_match(spark, sf_dir):
     books = spark.createDataFrame(
         rows, "playbook_id string, trigger_signal string, min_severity string, "
               "max_severity string, priority int, action string")
-    opened = signal_incidents(spark, sf_dir)
+    opened = signal_incidents(spark, sf_dir, stored=True)
     best = respond.select_playbooks(books, executed(opened))
     return respond.match_playbooks(opened, best)
 
@@ -549,7 +549,7 @@ def notifications_count(spark, sf_dir):
 
 
 def audit_trail(spark, sf_dir):
-    opened = signal_incidents(spark, sf_dir)
+    opened = signal_incidents(spark, sf_dir, stored=True)
     notices = notify.lifecycle_notices(inc.status_changes(opened, updates(opened)))
     trail = audit.audit_trail(opened, executed(opened), _approvals(opened), notices)
     return trail.select(
