@@ -26,6 +26,11 @@ def line(drop=(), **changes):
         ("   \t", "empty"),
         ('{"event_id": "evt', "malformed"),
         ("not json", "malformed"),
+        (line() + " more", "malformed"),
+        (line() + line(), "malformed"),
+        (line() + "," + line(), "malformed"),
+        (line() + "]", "malformed"),
+        (line()[:-1] + ', "event_id": "evt-2"}', None),
         ("42", "not_object"),
         ("[1, 2]", "not_object"),
         ('"text"', "not_object"),

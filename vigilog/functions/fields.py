@@ -15,23 +15,14 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def has_key(variant: Column, key: str) -> Column:
+def has_key(variant: Column, path: str) -> Column:
     """True when the key is there, also with a JSON null as its value."""
-    return F.try_variant_get(variant, f"$.{key}", "variant").isNotNull()
+    return F.try_variant_get(variant, path, "variant").isNotNull()
 
 
-def is_object(variant: Column) -> Column:
-    return F.try_variant_get(variant, "$", "map<string,variant>").isNotNull()
-
-
-def get_or(variant: Column, key: str, kind: str, default) -> Column:
-    """Value at ``key``, or ``default`` when it is absent or null."""
-    return F.coalesce(F.try_variant_get(variant, f"$.{key}", kind), F.lit(default))
-
-
-def not_a_number(variant: Column, key: str) -> Column:
-    """True for text, a list or an object at ``key``; null when it is absent."""
-    shape = F.schema_of_variant(F.try_variant_get(variant, f"$.{key}", "variant"))
+def not_a_number(variant: Column, path: str) -> Column:
+    """True for text, a list or an object at ``path``; null when it is absent."""
+    shape = F.schema_of_variant(F.try_variant_get(variant, path, "variant"))
     return F.substring(shape, 1, 3).isin("STR", "OBJ", "ARR")
 
 

@@ -201,20 +201,23 @@ def _choose(settings: dict[str, tuple[int, int]]):
 
 
 def emit_and_reset(
-    df: DataFrame, key: str, us: str, order: str, n: int, window_us: int
+    df: DataFrame, key: str, us: str, order: str, n: int, window_us: int,
+    stored: bool = False,
 ) -> DataFrame:
     """The rows of ``df`` that complete ``n`` events within ``window_us``.
 
     ``key`` is a text column; rows without a key are left out. A gap of
     exactly ``window_us`` still counts. After a firing row the count of its
-    key starts afresh.
+    key starts afresh. ``stored`` tells that ``df`` is a stored table as it is.
     """
     one = df.withColumn("run_rule", F.lit(""))
-    return emit_and_reset_rules(one, key, us, order, {"": (n, window_us)}).drop("run_rule")
+    settings = {"": (n, window_us)}
+    return emit_and_reset_rules(one, key, us, order, settings, stored).drop("run_rule")
 
 
 def emit_and_reset_rules(
-    df: DataFrame, key: str, us: str, order: str, settings: dict[str, tuple[int, int]]
+    df: DataFrame, key: str, us: str, order: str, settings: dict[str, tuple[int, int]],
+    stored: bool = False,
 ) -> DataFrame:
     """``emit_and_reset`` for several rules in one shuffle: the text column
     ``run_rule`` names a row's rule, ``settings`` gives each rule's ``n`` and
@@ -222,17 +225,17 @@ def emit_and_reset_rules(
     if any(n < 1 for n, _ in settings.values()):
         raise ValueError("n must be at least 1")
     kept = df.columns
-    # Range partitioning reads its input twice, so the rows, which are few
-    # compared with the logs they come from, are stored first.
-    rows = cut(
-        df.filter(F.col(key).isNotNull() & F.col(us).isNotNull()).select(
-            F.concat("run_rule", F.lit(SEPARATOR), key).alias("run_key"),
-            F.col(us).alias("_us"),
-            F.col(order).cast("string").alias("_id"),
-            F.monotonically_increasing_id().alias("_copy"),
-            *[F.col(c).alias(f"row_{c}") for c in kept],
-        )
+    rows = df.filter(F.col(key).isNotNull() & F.col(us).isNotNull()).select(
+        F.concat("run_rule", F.lit(SEPARATOR), key).alias("run_key"),
+        F.col(us).alias("_us"),
+        F.col(order).cast("string").alias("_id"),
+        F.monotonically_increasing_id().alias("_copy"),
+        *[F.col(c).alias(f"row_{c}") for c in kept],
     )
+    if not stored:
+        # Range partitioning reads its input twice, so the rows, which are few
+        # compared with the logs they come from, are stored first.
+        rows = cut(rows)
     by = ["run_key", "_us", "_id", "_copy"]
     schema = T.StructType(
         [T.StructField("run_key", T.StringType())]

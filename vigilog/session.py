@@ -14,6 +14,8 @@ def build_session(master: str, app: str = "vigilog", **conf: str) -> SparkSessio
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # The last one of two equal JSON keys counts.
+        "spark.sql.variant.allowDuplicateKeys": "true",
         "spark.ui.enabled": "false",
         **conf,
     }

@@ -38,8 +38,9 @@ def step(
 ) -> tuple[DataFrame, DataFrame, DataFrame, int | None]:
     """One micro-batch: (fired rows, open rows, late rows, new horizon).
 
-    ``new`` are rows of ``rules.rule_matches``. Rows at or before the last
-    horizon come too late and are returned apart.
+    ``new`` are stored rows of ``rules.rule_matches``, ``held`` the open rows
+    of the step before. Rows at or before the last horizon come too late and
+    are returned apart.
     """
     late = new.filter(F.lit(False))
     if before_us is not None:
@@ -52,11 +53,9 @@ def step(
         horizon = max(latest - lateness_us, before_us if before_us is not None else 0)
     if horizon is None:
         return rows.filter(F.lit(False)), rows, late, horizon
-    fired = cut(
-        windows.emit_and_reset(
-            rows.filter(F.col("us") <= horizon), "run_key", "us", "event_id",
-            rule.count, rule.window_us,
-        )
+    fired = windows.emit_and_reset(
+        rows.filter(F.col("us") <= horizon), "run_key", "us", "event_id",
+        rule.count, rule.window_us, stored=True,
     )
     last = fired.groupBy("run_key").agg(
         F.max(F.struct("us", "event_id")).alias("_last")

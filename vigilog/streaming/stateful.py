@@ -40,10 +40,13 @@ class CountAndReset(StatefulProcessor):
                 zip(pdf["us"].tolist(), pdf["event_id"].tolist(), pdf["service_name"].tolist())
             )
             self.waiting.appendList(fresh)
-            for at in {us // 1000 + 1 for us, _, _ in fresh}:
-                self.handle.registerTimer(at)
+            self._wake_at(min(us for us, _, _ in fresh))
         return iter(())
 
+    def _wake_at(self, us: int) -> None:
+        """Call back once the watermark has passed ``us``."""
+        self.handle.registerTimer(us // 1000 + 1)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs()
         waiting = sorted(self.waiting.get()) if self.waiting.exists() else []
@@ -58,9 +61,11 @@ class CountAndReset(StatefulProcessor):
         if ready:
             rest = waiting[len(ready):]
             self._keep(self.waiting, rest)
+            if rest:
+                self._wake_at(rest[0][0])
             if usable:
                 # Look again when the last usable row has left the window.
-                self.handle.registerTimer((usable[-1] + self.window_us) // 1000 + 1)
+                self._wake_at(usable[-1] + self.window_us)
         floor = now * 1000 - self.window_us
         self._keep(self.usable, [(us,) for us in usable[-(self.n - 1):] if us >= floor]
                    if self.n > 1 else [])
