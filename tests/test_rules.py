@@ -107,6 +107,21 @@ def test_event_rules_take_one_pass(make_logs):
     assert "Exchange" not in plan and plan.count("Scan") == 1
 
 
+def test_rules_reach_the_scan(spark, make_logs, tmp_path):
+    """Event types are filtered in the file scan, and only used columns read."""
+    make_logs([error(1)]).write.parquet(str(tmp_path / "t"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "9999")
+    logs = spark.read.parquet(str(tmp_path / "t"))
+    plan = rules.event_signals(logs)._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters"):].split("\n")[0]
+    assert "In(event_type" in pushed
+    read = plan[plan.index("ReadSchema"):]
+    assert "message" not in read and "client_ip" not in read and "latency_ms" in read
+    one = rules.event_signals(logs, [rules.latency_rule()])
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(latency_ms,2000.0)" in plan
+
+
 def rule_row(rule_id, version, valid_from, event_type, field=None, op=None, threshold=None,
              signal="S", severity="LOW", window_s=None, count=None, key=None):
     return (rule_id, version, valid_from, event_type, field, op, threshold, signal, severity,

@@ -48,10 +48,16 @@ class WindowRule:
         return int(self.window_s * 1_000_000)
 
 
+def _latency_above(threshold: float) -> Column:
+    """An absent latency counts as 0."""
+    latency = F.col("latency_ms")
+    return latency > threshold if threshold >= 0 else F.coalesce(latency, F.lit(0.0)) > threshold
+
+
 def latency_rule(threshold: float = schema.HIGH_LATENCY_MS) -> EventRule:
     return EventRule(
         2, "HIGH_LATENCY", "MEDIUM", "http.request",
-        lambda: F.coalesce(F.col("latency_ms"), F.lit(0.0)) > threshold,
+        lambda: _latency_above(threshold),
         lambda: {"latency_ms": fields.number_text(F.col("latency_ms"))},
     )
 
@@ -69,7 +75,7 @@ def slow_query_rule(
 ) -> EventRule:
     return EventRule(
         5, "DB_SLOW_QUERY", "MEDIUM", event_type,
-        lambda: F.coalesce(F.col("latency_ms"), F.lit(0.0)) > threshold,
+        lambda: _latency_above(threshold),
         lambda: {"latency_ms": fields.number_text(F.col("latency_ms"))},
     )
 
@@ -111,6 +117,13 @@ def matches(rule: EventRule | WindowRule) -> Column:
     return (F.col("event_type") == rule.event_type) & rule.when()
 
 
+def candidates(logs: DataFrame, rules: list[EventRule] | list[WindowRule]) -> DataFrame:
+    """The events some rule wants, by predicates that reach the table scan."""
+    types = sorted({rule.event_type for rule in rules})
+    wanted = reduce(lambda a, b: a | b, [matches(rule) for rule in rules])
+    return logs.filter(F.col("event_type").isin(types)).filter(wanted)
+
+
 def _as_signal(events: DataFrame) -> DataFrame:
     """Rows with an event and its ``hit`` struct to signal rows."""
     return events.select(
@@ -137,17 +150,16 @@ def _hit(rule: EventRule | WindowRule) -> Column:
 def event_signals(logs: DataFrame, rules: list[EventRule] | None = None) -> DataFrame:
     """All per-event rules in one pass over the events; no shuffle."""
     rules = event_rules() if rules is None else rules
-    any_match = reduce(lambda a, b: a | b, [matches(r) for r in rules])
     hits = F.array_compact(F.array(*[F.when(matches(r), _hit(r)) for r in rules]))
     columns = ["event_id", "service_name", "timestamp"]
     return _as_signal(
-        logs.filter(any_match).select(*columns, F.explode(hits).alias("hit"))
+        candidates(logs, rules).select(*columns, F.explode(hits).alias("hit"))
     )
 
 
 def rule_matches(logs: DataFrame, rule: WindowRule) -> DataFrame:
     """The events one window rule counts, with its key columns."""
-    return logs.filter(matches(rule)).select(
+    return candidates(logs, [rule]).select(
         "event_id", "service_name", "timestamp",
         *[c for c in rule.key if c != "service_name"],
         fields.micros(F.col("timestamp")).alias("us"),
@@ -170,7 +182,7 @@ def window_signals(logs: DataFrame, *rules: WindowRule) -> DataFrame:
         for name, rule in named.items()
     ]
     counted = (
-        logs.filter(reduce(lambda a, b: a | b, [matches(r) for r in rules]))
+        candidates(logs, list(rules))
         .select(*columns, *keys, F.explode(F.array_compact(F.array(*runs))).alias("run"))
         .select(*columns, *keys, "run.*", fields.micros(F.col("timestamp")).alias("us"))
     )
