@@ -46,6 +46,16 @@ def test_views(make_logs):
     assert len(process.normalised_view(process.process_logs(logs)).columns) == 7
 
 
+def test_nested_get_with_default(spark):
+    from pyspark.sql import functions as F
+
+    from vigilog.functions import fields
+
+    rows = spark.createDataFrame([('{"a": {"n": 5}}',), ('{"a": {"n": null}}',), ("{}",)], "v string")
+    got = rows.select(fields.get_or(F.parse_json("v"), "$.a.n", "int", 200)).collect()
+    assert [r[0] for r in got] == [5, 200, 200]
+
+
 def test_search(make_logs):
     logs = make_logs(
         [

@@ -96,6 +96,19 @@ def test_one_event_may_give_two_signals(make_logs):
     assert [[s.signal_type for s in r.signals] for r in listed] == [["HTTP_ERROR_SPIKE", "HIGH_LATENCY"]]
 
 
+def test_copies_of_an_event_share_one_list(make_logs):
+    slow = {"event_type": "http.request", "latency_ms": 9000.0, "event_id": "same"}
+    logs = make_logs([slow] * 300)
+    listed = rules.signals_per_event(logs, rules.event_signals(logs)).collect()
+    assert len(listed) == 300 and all(len(r.signals) == 1 for r in listed)
+
+
+def test_context_columns_come_along(make_logs):
+    logs = make_logs([{**login(i, seconds=i), "trace_id": f"t{i}"} for i in range(5)])
+    row = rules.detect(logs, context=("trace_id",)).first()
+    assert (row.event_id, row.trace_id) == ("l004", "t4")
+
+
 def test_ids_repeat_on_replay(make_logs):
     logs = make_logs([login(i, seconds=i) for i in range(10)])
     first, again = rules.detect(logs), rules.detect(logs)

@@ -152,6 +152,21 @@ def test_stage_tables_survive_restart(spark, tmp_path):
     assert responses.select("incident_id").distinct().count() == 4
 
 
+def test_rule_table_on_a_stream(spark, make_logs, tmp_path):
+    """The versioned rules join a stream as a static table."""
+    from vigilog import schema
+    from vigilog.operators import rulebook
+
+    table = spark.createDataFrame(
+        [("r", 1, at(0), "db.query", "latency_ms", ">", 10.0, "S", "LOW", None, None, None)],
+        schema.RULE_SCHEMA)
+    make_logs([{"event_type": "db.query", "latency_ms": float(v)} for v in range(20)]).write.parquet(
+        str(tmp_path / "in"))
+    found = rulebook.evaluate(stream(spark, str(tmp_path / "in"), False), table)
+    pipeline.append(found, str(tmp_path / "out"), "s").awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out/s")).count() == 9
+
+
 def test_progress_rows(spark, make_logs, tmp_path):
     from vigilog.operators import audit
 

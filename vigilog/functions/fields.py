@@ -20,6 +20,11 @@ def has_key(variant: Column, path: str) -> Column:
     return F.try_variant_get(variant, path, "variant").isNotNull()
 
 
+def get_or(variant: Column, path: str, kind: str, default) -> Column:
+    """Value at ``path``, or ``default`` when it is absent or null."""
+    return F.coalesce(F.try_variant_get(variant, path, kind), F.lit(default))
+
+
 def not_a_number(variant: Column, path: str) -> Column:
     """True for text, a list or an object at ``path``; null when it is absent."""
     shape = F.schema_of_variant(F.try_variant_get(variant, path, "variant"))

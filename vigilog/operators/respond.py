@@ -213,3 +213,16 @@ def escalations(responses: DataFrame) -> DataFrame:
         F.col("executed_at").alias("changed_at"),
         F.lit(0).cast("bigint").alias("seq"),
     )
+
+
+def execution_results(responses: DataFrame) -> DataFrame:
+    """Executed responses as result records."""
+    return responses.select(
+        fields.digest(
+            F.lit("exec"), F.col("incident_id"), F.col("action"),
+            fields.micros(F.col("executed_at")).cast("string"),
+        ).alias("execution_id"),
+        F.col("executed_at").alias("timestamp"),
+        "status",
+        F.concat_ws(" ", "action", F.lit("on"), "service", F.lit("for"), "error").alias("message"),
+    )

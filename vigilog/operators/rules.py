@@ -124,7 +124,7 @@ def candidates(logs: DataFrame, rules: list[EventRule] | list[WindowRule]) -> Da
     return logs.filter(F.col("event_type").isin(types)).filter(wanted)
 
 
-def _as_signal(events: DataFrame) -> DataFrame:
+def _as_signal(events: DataFrame, context: tuple[str, ...] = ()) -> DataFrame:
     """Rows with an event and its ``hit`` struct to signal rows."""
     return events.select(
         fields.signal_id(F.col("hit.signal_type"), F.col("event_id")).alias("signal_id"),
@@ -135,6 +135,7 @@ def _as_signal(events: DataFrame) -> DataFrame:
         F.col("timestamp").alias("detected_at"),
         "event_id",
         "hit.rule_order",
+        *context,
     )
 
 
@@ -147,13 +148,18 @@ def _hit(rule: EventRule | WindowRule) -> Column:
     )
 
 
-def event_signals(logs: DataFrame, rules: list[EventRule] | None = None) -> DataFrame:
-    """All per-event rules in one pass over the events; no shuffle."""
+def event_signals(
+    logs: DataFrame, rules: list[EventRule] | None = None, context: tuple[str, ...] = ()
+) -> DataFrame:
+    """All per-event rules in one pass over the events; no shuffle.
+
+    ``context`` names further event columns to keep, such as ``trace_id``.
+    """
     rules = event_rules() if rules is None else rules
     hits = F.array_compact(F.array(*[F.when(matches(r), _hit(r)) for r in rules]))
-    columns = ["event_id", "service_name", "timestamp"]
+    columns = ["event_id", "service_name", "timestamp", *context]
     return _as_signal(
-        candidates(logs, rules).select(*columns, F.explode(hits).alias("hit"))
+        candidates(logs, rules).select(*columns, F.explode(hits).alias("hit")), context
     )
 
 
@@ -167,10 +173,12 @@ def rule_matches(logs: DataFrame, rule: WindowRule) -> DataFrame:
     )
 
 
-def window_signals(logs: DataFrame, *rules: WindowRule) -> DataFrame:
+def window_signals(
+    logs: DataFrame, *rules: WindowRule, context: tuple[str, ...] = ()
+) -> DataFrame:
     """Signals of windowed rules: one scan and one shuffle for all of them."""
     named = {str(i): rule for i, rule in enumerate(rules)}
-    columns = ["event_id", "service_name", "timestamp"]
+    columns = ["event_id", "service_name", "timestamp", *context]
     keys = sorted({c for rule in rules for c in rule.key} - set(columns))
     runs = [
         F.when(
@@ -191,7 +199,7 @@ def window_signals(logs: DataFrame, *rules: WindowRule) -> DataFrame:
         {name: (rule.count, rule.window_us) for name, rule in named.items()},
     )
     hit = F.coalesce(*[F.when(F.col("run_rule") == n, _hit(r)) for n, r in named.items()])
-    return _as_signal(fired.withColumn("hit", hit))
+    return _as_signal(fired.withColumn("hit", hit), context)
 
 
 def window_hits(fired: DataFrame, rule: WindowRule) -> DataFrame:
@@ -203,22 +211,28 @@ def detect(
     logs: DataFrame,
     rules: list[EventRule] | None = None,
     windowed: list[WindowRule] | None = None,
+    context: tuple[str, ...] = (),
 ) -> DataFrame:
     """Signals of every rule; ``rule_order`` tells the order within one event."""
     windowed = window_rules() if windowed is None else windowed
-    out = event_signals(logs, rules)
-    return out.unionByName(window_signals(logs, *windowed)) if windowed else out
+    out = event_signals(logs, rules, context)
+    if windowed:
+        out = out.unionByName(window_signals(logs, *windowed, context=context))
+    return out
 
 
 def signals_per_event(logs: DataFrame, signals: DataFrame) -> DataFrame:
     """Each event with its list of signals in rule order, empty when none fired.
 
-    At most one signal per rule belongs to one event id.
+    Copies of an event share its id, so their equal signals are folded first;
+    a list then has at most one signal per rule.
     """
-    listed = signals.groupBy("event_id").agg(
-        F.array_sort(
-            F.collect_list(F.struct("rule_order", "signal_type", "severity", "signal_id"))
-        ).alias("signals")
+    parts = ["rule_order", "signal_type", "severity", "signal_id"]
+    listed = (
+        signals.select("event_id", *parts)
+        .distinct()
+        .groupBy("event_id")
+        .agg(F.array_sort(F.collect_list(F.struct(*parts))).alias("signals"))
     )
     empty = F.array().cast(listed.schema["signals"].dataType)
     return (

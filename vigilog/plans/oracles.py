@@ -362,6 +362,16 @@ ORACLES: dict[str, str] = {
     "correlated_groups": P_GROUPS + """
         SELECT group_id, window_start_us, n_signals, n_services, n_types, services,
                top_severity, confidence, cross_service FROM groups""",
+    "correlated_traces": P_SIG + f"""
+        , traced AS (
+          SELECT s.*, 'trace-' || e.user_id AS trace_id, s.us - s.us % {DAY} AS day_us
+          FROM sig s JOIN ev e ON s.event_id = e.event_id)
+        SELECT md5('group|' || day_us || '|' || trace_id) AS group_id,
+          day_us AS window_start_us, trace_id, count(*) AS n_signals,
+          array_to_string(list_sort(list(DISTINCT service)), ',') AS services,
+          round(least(1.0::DOUBLE, count(DISTINCT signal_type) / 5.0::DOUBLE)
+                * least(1.0::DOUBLE, count(DISTINCT service) / 5.0::DOUBLE), 6) AS confidence
+        FROM traced GROUP BY day_us, trace_id""",
     "correlation_links": P_GROUPS + """
         SELECT group_id, signal_id FROM linked""",
     "error_rate_by_window": _with(LOGS, RATES) + """
@@ -516,6 +526,12 @@ ORACLES: dict[str, str] = {
     "escalations": P_RESP + """
         SELECT incident_id AS id, 'escalated' AS status, created_us + 60000000 AS changed_us
         FROM ran WHERE status = 'failed'""",
+    "execution_results": P_RESP + """
+        SELECT md5('exec|' || incident_id || '|' || action || '|' || (created_us + 60000000))
+                 AS execution_id,
+               created_us + 60000000 AS us, status,
+               action || ' on ' || service || ' for ' || error AS message
+        FROM ran""",
     "notifications_routed": P_INC + f"""
         SELECT id AS incident_id, service, lower(signal_severity) AS severity,
                error AS event_type, {INC_TIME} AS timestamp,

@@ -299,6 +299,15 @@ def correlated_groups(spark, sf_dir):
         "cross_service")
 
 
+def correlated_traces(spark, sf_dir):
+    """Groups within one trace, where the trace is what services share."""
+    found = rules.detect(
+        logs(spark, sf_dir), windowed=window_rules(), context=("trace_id",))
+    return correlate.correlated_groups(found, DAY_US, by=["trace_id"]).select(
+        "group_id", "window_start_us", "trace_id", "n_signals",
+        F.concat_ws(",", "services").alias("services"), "confidence")
+
+
 def correlation_links(spark, sf_dir):
     return correlate.correlation_links(signals(spark, sf_dir), HOUR_US).select(
         "group_id", "signal_id")
@@ -518,6 +527,12 @@ def escalations(spark, sf_dir):
         "id", "status", us("changed_at", "changed_us"))
 
 
+def execution_results(spark, sf_dir):
+    return respond.execution_results(
+        executed(signal_incidents(spark, sf_dir))
+    ).select("execution_id", us("timestamp"), "status", "message")
+
+
 # --- notifications, audit, metrics ------------------------------------------------
 
 
@@ -579,14 +594,14 @@ BATCH = {
         signals_db_slow_query, signals_all, signal_counts, signals_bruteforce,
         signals_error_spike, signals_error_spike_by_host, signals_per_event,
         sliding_failure_count, rules_as_of, rules_as_of_windows, correlated_groups,
-        correlation_links, error_rate_by_window, zscore_anomalies, incident_sessions,
+        correlated_traces, correlation_links, error_rate_by_window, zscore_anomalies, incident_sessions,
         session_links, incident_severity_scored, incidents_by_signal_severity,
         incidents_from_payload, incidents_latest_after_updates, incidents_missing_updates,
         incidents_found_by_id, incident_status_history, lifecycle_transitions,
         lifecycle_notices, incident_rollup, incidents_active, incidents_historical,
         incident_trend_daily, top_services, responses, playbook_coverage, action_plan_steps,
         safety_gate, approval_gate, failure_suppression, failure_suppressed,
-        playbook_best_match, escalations, notifications_routed, notification_messages,
+        playbook_best_match, escalations, execution_results, notifications_routed, notification_messages,
         notifications_rejected, notifications_count, audit_trail,
         detection_latency_quantiles, log_throughput,
     )

@@ -114,7 +114,11 @@ def error_rates(logs: DataFrame, window: str, lateness: str) -> DataFrame:
 
 
 def incident_sessions(signals: DataFrame, gap: str, lateness: str) -> DataFrame:
-    """Closed sessions of repeated signals of a stream."""
+    """Closed sessions of repeated signals of a stream; sessions are merged
+    within each input partition before the shuffle."""
+    signals.sparkSession.conf.set(
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"
+    )
     return (
         signals.withWatermark("detected_at", lateness)
         .groupBy(
