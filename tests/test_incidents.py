@@ -84,6 +84,25 @@ def test_lifecycle(spark, make_signals):
     assert inc.current_state(opened, closed).first().status == "resolved"
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_strict_lifecycle(spark, make_signals, seed):
+    """Forbidden steps are passed over, also for an incident with many updates."""
+    rng = random.Random(seed)
+    opened = inc.create_incidents(make_signals([("X", "a", "LOW", 0)] * 5))
+    ids = sorted(r.id for r in opened.collect())
+    calm = {**schema.LIFECYCLE, "resolved": ["open"]}
+    steps = [*calm, "odd"]
+    feed = [(ids[0] if rng.random() < 0.8 else rng.choice(ids[:4] + ["none"]),
+             rng.choice(steps), at(i), 0) for i in range(400)]
+    got = {r.id: r.status for r in
+           inc.strict_state(opened, spark.createDataFrame(feed, UPDATE), calm).collect()}
+    want = dict.fromkeys(ids, "open")
+    for ident, status, _, _ in feed:
+        if ident in want and status in calm[want[ident]]:
+            want[ident] = status
+    assert got == want
+
+
 def test_rollup_and_views(spark, make_signals):
     opened = inc.create_incidents(
         make_signals([("X", "a", "LOW", 0), ("X", "b", "LOW", 0), ("an error", "a", "LOW", 90000)]))

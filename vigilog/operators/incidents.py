@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vigilog import schema
 from vigilog.functions import classify, fields
-from vigilog.operators.ordered import join_keys, with_previous
+from vigilog.operators.ordered import ranged, with_previous
 
 STATE_COLUMNS = ["id", "service", "error", "severity", "status", "created_at"]
 
@@ -128,6 +128,52 @@ def transitions(changes: DataFrame, allowed: dict[str, list[str]] | None = None)
     )
 
 
+def strict_state(
+    incidents: DataFrame, updates: DataFrame, allowed: dict[str, list[str]] | None = None
+) -> DataFrame:
+    """Incidents with the status they reach when steps the lifecycle does not
+    allow are ignored.
+
+    A sequence of updates turns each state into some state, and such small
+    tables of states combine in order. So updates are folded per range of a
+    range partitioning, for every state they might begin in, and one incident
+    may have any number of them.
+    """
+    allowed = schema.LIFECYCLE if allowed is None else allowed
+    states = [F.lit(s) for s in allowed]
+    steps = F.array(*[F.lit(f"{a}>{b}") for a, later in allowed.items() for b in later])
+    known = updates.join(incidents.select("id"), "id", "left_semi").select(
+        "id", F.lower("status").alias("next"), "changed_at", "seq"
+    )
+    rows = ranged(known, ["id"], ["changed_at", "seq"])
+
+    def follow(table: Column, row: Column) -> Column:
+        to = row["next"]
+        return F.transform(
+            table, lambda s: F.when(F.array_contains(steps, F.concat(s, F.lit(">"), to)), to)
+            .otherwise(s)
+        )
+
+    in_order = F.array_sort(F.collect_list(F.struct("changed_at", "seq", "_copy", "next")))
+    tables = rows.groupBy("_range", "id").agg(in_order.alias("_rows")).select(
+        "id", "_range", F.aggregate("_rows", F.array(*states), follow).alias("_table")
+    )
+    # At most one table per range.
+    chains = tables.groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct("_range", "_table"))).alias("_chain")
+    )
+    joined = incidents.join(chains, "id", "left")
+    none = F.array().cast(chains.schema["_chain"].dataType)
+    final = F.aggregate(
+        F.coalesce("_chain", none),
+        F.lower("status"),
+        lambda s, part: F.coalesce(
+            F.get(part["_table"], F.array_position(F.array(*states), s).cast("int") - 1), s
+        ),
+    )
+    return joined.withColumn("status", final).drop("_chain")
+
+
 def close(ids: DataFrame, changed_at: Column) -> DataFrame:
     """Update rows that resolve the given incidents."""
     return _update(ids, "resolved", changed_at)

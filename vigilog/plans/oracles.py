@@ -435,6 +435,19 @@ ORACLES: dict[str, str] = {
                WHEN previous = 'escalated' AND status = 'in_progress' THEN 'rejected'
                ELSE 'valid' END AS verdict
         FROM steps""",
+    "incidents_strict_state": P_UPD + """
+        , nth AS (
+          SELECT *, row_number() OVER (PARTITION BY id ORDER BY opens, changed_us, seq) AS rn
+          FROM changes),
+        held(id, rn, status) AS (
+          SELECT id, rn, status FROM nth WHERE rn = 1
+          UNION ALL
+          SELECT n.id, n.rn, CASE WHEN h.status || '>' || n.status IN (
+              'open>in_progress','open>escalated','open>resolved','in_progress>escalated',
+              'in_progress>resolved','escalated>resolved') THEN n.status ELSE h.status END
+          FROM held h JOIN nth n ON n.id = h.id AND n.rn = h.rn + 1)
+        SELECT h.id, i.error, arg_max(h.status, h.rn) AS status
+        FROM held h JOIN inc i ON i.id = h.id GROUP BY 1, 2""",
     "lifecycle_notices": P_UPD + """
         SELECT id, previous, status, changed_us,
           CASE WHEN previous IS NULL THEN 'created' WHEN status IN ('resolved','escalated')

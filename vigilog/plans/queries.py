@@ -401,6 +401,11 @@ def lifecycle_transitions(spark, sf_dir):
         "id", "previous", "status", us("changed_at", "changed_us"), "seq", "verdict")
 
 
+def incidents_strict_state(spark, sf_dir):
+    opened = incidents(spark, sf_dir, stored=True)
+    return inc.strict_state(opened, updates(opened)).select("id", "error", "status")
+
+
 def lifecycle_notices(spark, sf_dir):
     opened = incidents(spark, sf_dir, stored=True)
     return notify.lifecycle_notices(inc.status_changes(opened, updates(opened))).select(
@@ -597,7 +602,7 @@ BATCH = {
         correlated_traces, correlation_links, error_rate_by_window, zscore_anomalies, incident_sessions,
         session_links, incident_severity_scored, incidents_by_signal_severity,
         incidents_from_payload, incidents_latest_after_updates, incidents_missing_updates,
-        incidents_found_by_id, incident_status_history, lifecycle_transitions,
+        incidents_found_by_id, incident_status_history, lifecycle_transitions, incidents_strict_state,
         lifecycle_notices, incident_rollup, incidents_active, incidents_historical,
         incident_trend_daily, top_services, responses, playbook_coverage, action_plan_steps,
         safety_gate, approval_gate, failure_suppression, failure_suppressed,
