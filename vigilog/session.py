@@ -17,6 +17,8 @@ def build_session(master: str, app: str = "vigilog", **conf: str) -> SparkSessio
         # The last one of two equal JSON keys counts.
         "spark.sql.variant.allowDuplicateKeys": "true",
         "spark.ui.enabled": "false",
+        # Checkpoints go when nothing refers to them any more.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     builder = SparkSession.builder.master(master).appName(app)
