@@ -16,7 +16,7 @@ from vigilog.operators import (
     anomaly, audit, correlate, incidents as inc, notify, parse, process, respond, rulebook,
     rules, search, windows,
 )
-from vigilog.session import cut
+from vigilog.session import cut, spread
 from vigilog.sources import event_table, tables
 
 HOUR_US = 3_600_000_000
@@ -135,8 +135,13 @@ def latency_buckets(spark, sf_dir):
     )
 
 
+def _spread_logs(spark, sf_dir):
+    """Log rows for the parsers, whose work per row is worth all cores."""
+    return event_table.as_logs(spread(event_table.read_events(spark, sf_dir)))
+
+
 def _json_lines(spark, sf_dir):
-    return event_table.as_json_lines(logs(spark, sf_dir))
+    return event_table.as_json_lines(_spread_logs(spark, sf_dir))
 
 
 def parsed_json_lines(spark, sf_dir):
@@ -159,7 +164,7 @@ def processing_status(spark, sf_dir):
 
 
 def regex_parsed_lines(spark, sf_dir):
-    lines = event_table.as_text_lines(logs(spark, sf_dir))
+    lines = event_table.as_text_lines(_spread_logs(spark, sf_dir))
     return parse.parse_text_lines(lines).filter("pattern is not null").select(
         "pattern", "service_name", "event_type", "log_level", us("timestamp"),
         F.col("status").cast("int").alias("status"), "client_ip", "path", "version",
@@ -168,7 +173,7 @@ def regex_parsed_lines(spark, sf_dir):
 
 
 def regex_unmatched_lines(spark, sf_dir):
-    lines = event_table.as_text_lines(logs(spark, sf_dir))
+    lines = event_table.as_text_lines(_spread_logs(spark, sf_dir))
     return parse.parse_text_lines(lines).filter("pattern is null").groupBy("value").agg(
         F.count("*").alias("lines"))
 

@@ -60,6 +60,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A batch input over all cores if it comes in fewer pieces than that, as
+    a few compressed files do, which cannot be split; else as it is.
+
+    For inputs whose rows are costly to decode. Large inputs have many pieces
+    and are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def is_small(df: DataFrame, max_rows: int = 20_000) -> bool:
     """Looks at no more than ``max_rows`` rows to tell."""
     return df.limit(max_rows + 1).count() <= max_rows

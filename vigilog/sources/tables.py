@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigilog import schema
+from vigilog.session import spread
 from vigilog.sources.log_tail import LogTail
 
 
@@ -14,7 +15,7 @@ def _with_file(lines: DataFrame) -> DataFrame:
 
 def read_log_files(spark: SparkSession, directory: str, suffix: str = ".log") -> DataFrame:
     """All lines of the log files of a directory, with their file's name."""
-    return _with_file(spark.read.option("pathGlobFilter", f"*{suffix}").text(directory))
+    return spread(_with_file(spark.read.option("pathGlobFilter", f"*{suffix}").text(directory)))
 
 
 def stream_log_files(
