@@ -217,6 +217,24 @@ def test_cooldown_equals_lag(spark, seed):
     assert {r.incident_id: r.in_cooldown for r in gated.collect()} == want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_cooldown_after_allowed_equals_loop(spark, seed):
+    """A steady run of attempts is let through once per cooldown."""
+    rng = random.Random(seed)
+    rows = [(rng.choice("aaab"), rng.randrange(4000) / 4) for _ in range(500)]
+    gap = rng.choice([3, 17])
+    gated = respond.safety_gate(
+        attempts(spark, rows), gap * 1_000_000, 999, 1, cooldown_after="allowed")
+    last, want = {}, {}
+    for ident, (service, t) in sorted(
+        ((f"i{i:03d}", r) for i, r in enumerate(rows)), key=lambda x: (x[1][1], x[0])
+    ):
+        want[ident] = service in last and int(t) - last[service] < gap
+        if not want[ident]:
+            last[service] = int(t)
+    assert {r.incident_id: r.in_cooldown for r in gated.collect()} == want
+
+
 def test_retry_limit_and_protection(spark):
     df = attempts(spark, [("a", 0), ("a", 100), ("a", 200), ("a", 201), ("b", 0)])
     protected = spark.createDataFrame([("b",)], "service string")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vigilog.functions import classify, fields
 from vigilog.operators.ordered import join_keys
-from vigilog.operators.windows import sliding_count
+from vigilog.operators.windows import run_key, sliding_count
 from vigilog.session import dimension, is_small
 
 
@@ -129,24 +133,85 @@ def in_cooldown(
     )
 
 
+def _pick_spaced(gap: int):
+    """Per key, the first row, then each next one at least ``gap`` later."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, free_from = None, 0
+        for batch in batches:
+            keys = batch.column("_key").to_numpy(zero_copy_only=False)
+            seconds = batch.column("_second").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            chosen = []
+            for lo, hi in zip([0, *cuts], [*cuts, len(keys)]):
+                if lo == hi:
+                    continue
+                part = seconds[lo:hi]
+                at = np.searchsorted(part, free_from) if keys[lo] == key else 0
+                key = keys[lo]
+                while at < len(part):
+                    chosen.append(lo + int(at))
+                    free_from = part[at] + gap
+                    at = np.searchsorted(part, free_from)
+            yield batch.take(pa.array(chosen, pa.int64())).drop_columns(["_key"])
+
+    return pick
+
+
+def in_cooldown_of_allowed(
+    attempts: DataFrame, keys: list[str], us: str, order: str, cooldown_s: int
+) -> DataFrame:
+    """Mark attempts that follow the last *allowed* one of the same key within
+    less than ``cooldown_s`` whole seconds; held-back attempts do not count.
+
+    Which attempts are allowed depends on all before, so a key is walked in
+    one task. Attempts are folded per second before the shuffle, so that walk
+    has at most one row per second of time, read in batches, however many
+    attempts there are.
+    """
+    second = fields.floor_to(F.col(us), 1_000_000)
+    rows = attempts.withColumn("_second", second)
+    firsts = rows.groupBy(*keys, "_second").agg(F.min(F.struct(us, order)).alias("_first"))
+    walked = (
+        firsts.select(run_key(keys).alias("_key"), *keys, "_second")
+        .repartition("_key")
+        .sortWithinPartitions("_key", "_second")
+    )
+    picked = walked.mapInArrow(_pick_spaced(cooldown_s * 1_000_000), walked.drop("_key").schema)
+    free = join_keys(
+        firsts, picked.withColumn("_free", F.lit(True)), [*keys, "_second"], "inner")
+    marked = join_keys(rows, free, [*keys, "_second"], "left")
+    allowed = F.col("_free") & (F.struct(us, order) == F.col("_first"))
+    return marked.withColumn(
+        "in_cooldown", ~F.coalesce(allowed, F.lit(False))
+    ).drop("_second", "_first", "_free")
+
+
 def safety_gate(
     responses: DataFrame,
     cooldown_us: int,
     retry_limit: int,
     retry_window_us: int,
     protected: DataFrame | None = None,
+    cooldown_after: str = "attempt",
 ) -> DataFrame:
     """Allow or hold back each planned action.
 
     In order: services in ``protected(service)`` are left alone; more than
     ``retry_limit`` attempts of the same action on a service within the window
-    are refused; so are attempts within the cooldown.
+    are refused; so are attempts within the cooldown, which runs from the last
+    attempt or, with ``cooldown_after="allowed"`` and in whole seconds, from
+    the last attempt the cooldown let pass.
     """
     keys = ["service", "action"]
     attempts = responses.filter("status <> 'no_playbook'").withColumn(
         "us", fields.micros(F.col("created_at"))
     )
-    gated = in_cooldown(attempts, keys, "us", "incident_id", cooldown_us)
+    if cooldown_after == "allowed":
+        gated = in_cooldown_of_allowed(
+            attempts, keys, "us", "incident_id", cooldown_us // 1_000_000)
+    else:
+        gated = in_cooldown(attempts, keys, "us", "incident_id", cooldown_us)
     gated = sliding_count(gated, keys, "us", retry_window_us, "attempts")
     is_protected: Column = F.lit(False)
     if protected is not None:

@@ -206,7 +206,7 @@ def emit_and_reset(
 ) -> DataFrame:
     """The rows of ``df`` that complete ``n`` events within ``window_us``.
 
-    ``key`` is a text column; rows without a key are left out. A gap of
+    ``key`` is a text column; rows without a key or time are left out. A gap of
     exactly ``window_us`` still counts. After a firing row the count of its
     key starts afresh. ``stored`` tells that ``df`` is a stored table as it is.
     """

@@ -496,6 +496,28 @@ ORACLES: dict[str, str] = {
                        THEN 'retry_limit' WHEN in_cooldown THEN 'cooldown'
                        ELSE 'allowed' END AS decision
         FROM tried""",
+    "safety_gate_after_allowed": P_RESP + f"""
+        , tried AS (
+          SELECT incident_id, service, action, created_us AS us, created_us // 1000000 AS sec,
+            count(*) OVER (PARTITION BY service, action ORDER BY created_us
+              RANGE BETWEEN {12 * HOUR} PRECEDING AND CURRENT ROW) AS attempts,
+            row_number() OVER (PARTITION BY service, action, created_us // 1000000
+                               ORDER BY created_us, incident_id) AS nth
+          FROM plan),
+        walk(service, action, sec) AS (
+          SELECT service, action, min(sec) FROM tried GROUP BY 1, 2
+          UNION ALL
+          SELECT t.service, t.action, min(t.sec) FROM walk w JOIN tried t
+            ON t.service = w.service AND t.action = w.action AND t.sec >= w.sec + 7200
+          GROUP BY 1, 2),
+        marked AS (
+          SELECT t.*, NOT (t.nth = 1 AND w.sec IS NOT NULL) AS in_cooldown
+          FROM tried t LEFT JOIN walk w
+            ON t.service = w.service AND t.action = w.action AND t.sec = w.sec)
+        SELECT incident_id, service, action, us, in_cooldown,
+          CASE WHEN attempts > 3 THEN 'retry_limit' WHEN in_cooldown THEN 'cooldown'
+               ELSE 'allowed' END AS decision
+        FROM marked""",
     "approval_gate": P_RESP + """
         , decided AS (
           SELECT incident_id, action, arg_max(approved, decided_us) AS approved

@@ -477,6 +477,13 @@ def safety_gate(spark, sf_dir):
         "incident_id", "service", "action", "us", "attempts", "in_cooldown", "decision")
 
 
+def safety_gate_after_allowed(spark, sf_dir):
+    attempts = planned(signal_incidents(spark, sf_dir, stored=True))
+    return respond.safety_gate(
+        attempts, 2 * HOUR_US, 3, 12 * HOUR_US, cooldown_after="allowed"
+    ).select("incident_id", "service", "action", "us", "in_cooldown", "decision")
+
+
 def approval_gate(spark, sf_dir):
     opened = signal_incidents(spark, sf_dir, stored=True)
     actions = respond.action_plan(opened, _step_books(spark)).select(
@@ -610,7 +617,7 @@ BATCH = {
         incidents_found_by_id, incident_status_history, lifecycle_transitions, incidents_strict_state,
         lifecycle_notices, incident_rollup, incidents_active, incidents_historical,
         incident_trend_daily, top_services, responses, playbook_coverage, action_plan_steps,
-        safety_gate, approval_gate, failure_suppression, failure_suppressed,
+        safety_gate, safety_gate_after_allowed, approval_gate, failure_suppression, failure_suppressed,
         playbook_best_match, escalations, execution_results, notifications_routed, notification_messages,
         notifications_rejected, notifications_count, audit_trail,
         detection_latency_quantiles, log_throughput,
