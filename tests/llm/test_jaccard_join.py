@@ -59,9 +59,9 @@ def test_equals_brute_force(make_docs):
     check(make_docs, items, size=5, percent=80)
 
 
-def test_no_pivots_and_shuffled_texts_give_the_same(make_docs):
+def test_other_ways_give_the_same(make_docs):
     items = list(enumerate(texts(7)))
-    check(make_docs, items, star_rounds=0 + 1, small=0, max_need=1)
+    check(make_docs, items, star_rounds=0, small=0, max_need=1, max_bits=0)
 
 
 def test_odd_texts(make_docs):

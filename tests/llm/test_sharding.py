@@ -1,0 +1,55 @@
+import zlib
+from collections import Counter, defaultdict
+
+from pyspark.sql import functions as F
+
+from vigilog.llm.sharding import interleave
+
+
+def laid_out(rows, shards):
+    by = defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r.slot)
+    assert set(by) <= set(range(shards))
+    for slots in by.values():
+        assert sorted(slots) == list(range(len(slots)))
+    counts = [len(by[s]) for s in range(shards)]
+    assert max(counts) - min(counts) <= 1
+
+
+def test_every_shard_has_the_mixture(make_docs):
+    items = [(i, f"text {i}", "en", "big" if i % 3 else f"small{i % 5}") for i in range(960)]
+    rows = interleave(make_docs(items), shards=8).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(960))
+    laid_out(rows, 8)
+    totals = Counter(r.source for r in rows)
+    for shard in range(8):
+        own = Counter(r.source for r in rows if r.shard == shard)
+        assert all(abs(own[s] - totals[s] / 8) <= 2 for s in totals)
+
+
+def test_rank_is_by_draw_within_source(make_docs):
+    from hashlib import md5
+
+    items = [(i, None, "en", "ab"[i % 2]) for i in range(40)]
+    rows = interleave(make_docs(items), shards=4, seed=3).collect()
+    order = sorted(rows, key=lambda r: (r.shard, r.slot))
+    for source in "ab":
+        ids = [r.doc_id for r in order if r.source == source]
+        assert ids == sorted(ids, key=lambda i: md5(f"3:{i}".encode()).hexdigest())
+
+
+def test_sizes_digests_nulls_repeats_and_empty(make_docs):
+    texts = ["é", "", None, "plain", "plain"]
+    items = [(i, t, "en", None if i == 1 else "s") for i, t in enumerate(texts)] + [(4, "plain", "en", "s"), (None, "x", "en", "s")]
+    docs = make_docs(items).withColumn("_rank", F.lit(1)).withColumn("shard", F.lit("x"))
+    rows = interleave(docs, shards=2).collect()
+    assert len(rows) == 7
+    laid_out(rows, 2)
+    for r in rows:
+        if r.doc_id is not None:
+            body = (texts[r.doc_id] or "").encode()
+            assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(body) + 1, zlib.crc32(body), "rows", None)
+    assert interleave(make_docs([])).count() == 0
+    one = interleave(make_docs([(1, "a")])).collect()
+    assert [(r.shard, r.slot) for r in one] == [(0, 0)]

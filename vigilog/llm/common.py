@@ -146,6 +146,57 @@ def signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.astype(np.uint64).view(np.int64))
 
 
+# -- membership filters --------------------------------------------------------
+
+_BLOCK = 1 << 17  # bits of a filter block
+
+
+def _cells(keys: np.ndarray, blocks: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The filter block of each key and its four bits there."""
+    h = mix(keys.astype(np.uint64) * _A + _B)
+    other = mix(h + _C)
+    bits = [((other >> np.uint64(s)) & np.uint64(_BLOCK - 1)).astype(np.int64) for s in (0, 15, 30, 45)]
+    return (h % np.uint64(blocks)).astype(np.int64), bits
+
+
+def membership(keys: DataFrame, count: int, max_bits: int) -> np.ndarray | None:
+    """A Bloom filter of the one long column of ``keys``, made block by block in
+    the tasks; None if 12 bits a key take more than ``max_bits``."""
+    blocks = max(1, -(-count * 12 // _BLOCK))
+    if blocks * _BLOCK > max_bits:
+        return None
+
+    def block_of(batches):
+        for batch in batches:
+            gram = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(_cells(gram, blocks)[0].astype(np.int32)), batch.column(0)], ["block", "item"])
+
+    def build(batches):
+        made: dict[int, np.ndarray] = {}
+        for batch in batches:
+            block, bits = _cells(batch.column(1).to_numpy(), blocks)
+            for b in np.unique(block):
+                own = made.setdefault(int(b), np.zeros(_BLOCK, bool))
+                for bit in bits:
+                    own[bit[block == b]] = True
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(made), pa.int32()), pa.array([np.packbits(x).tobytes() for x in made.values()], pa.binary())], ["block", "bits"])
+
+    rows = keys.mapInArrow(block_of, "block int, item long").repartition("block").mapInArrow(build, "block int, bits binary")
+    out = np.zeros((blocks, _BLOCK // 8), np.uint8)
+    for block, bits in rows.collect():  # max_bits / 8 bytes at most
+        out[block] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def may_contain(keys: np.ndarray, sieve: np.ndarray) -> np.ndarray:
+    block, bits = _cells(keys, len(sieve))
+    out = np.ones(len(keys), bool)
+    for bit in bits:
+        out &= (sieve[block, bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0
+    return out
+
+
 # -- ranks and components ------------------------------------------------------
 
 
@@ -161,9 +212,9 @@ def ranked(df: DataFrame, by: list[Column], order: list[Column], rank: str, tota
     keyed = df.withColumns({k: F.coalesce(c.cast("string"), F.lit("\x00null")) for k, c in zip(keys, by)})
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = keyed.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
-    ordered = store(ordered.withColumn("_at", F.monotonically_increasing_id()), "ranked")
-    ordered = ordered.withColumn("_task", F.shiftright("_at", 33))
-    runs = ordered.groupBy("_task", *keys).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    ordered = store(ordered.withColumn("_seq", F.monotonically_increasing_id()), "ranked")
+    ordered = ordered.withColumn("_task", F.shiftright("_seq", 33))
+    runs = ordered.groupBy("_task", *keys).agg(F.min("_seq").alias("_first"), F.count("*").alias("_n"))
     stratum = Window.partitionBy(*keys)
     runs = runs.select(
         "_task", *keys, "_first",
@@ -172,8 +223,8 @@ def ranked(df: DataFrame, by: list[Column], order: list[Column], rank: str, tota
     )
     return (
         ordered.join(runs, ["_task", *keys])
-        .withColumn(rank, F.col("_before") + F.col("_at") - F.col("_first"))
-        .drop("_task", "_at", "_first", "_before", *keys)
+        .withColumn(rank, F.col("_before") + F.col("_seq") - F.col("_first"))
+        .drop("_task", "_seq", "_first", "_before", *keys)
     )
 
 

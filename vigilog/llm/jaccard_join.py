@@ -34,7 +34,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import NOT_SPACE, chunks, components, mix, shingles, signed, store, text_bytes, word_hashes
+from .common import (
+    NOT_SPACE, chunks, components, may_contain, membership, mix, shingles, store, text_bytes, word_hashes,
+)
 
 #: Cells of the counting sketch: its size does not depend on the data.
 SKETCH_BITS = 20
@@ -145,11 +147,10 @@ def _document_rows(docs: DataFrame, size: int, percent: int, max_need: int, veri
         rows, "doc_id long, n int, node long, need int, short int, prefix array<long>")
 
 
-def _wanted_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, size: int, small: int) -> DataFrame:
-    """(doc, shingles) of the sets named in ``wanted``; one row for each."""
-    ids = rows.join(wanted.select(F.col("doc").alias("node")).distinct(), "node").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    ids = store(ids, "ids")
+def _wanted_sets(docs: DataFrame, known: DataFrame, pairs: DataFrame, size: int, small: int) -> DataFrame:
+    """(doc, shingles) of the sets in ``pairs``, hashed from their texts anew."""
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    ids = store(known.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "ids")
     if ids.count() <= small:  # 8 bytes each: else the texts are shuffled to them
         ids = F.broadcast(ids)
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
@@ -161,89 +162,123 @@ def _wanted_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, size: int,
                 [pa.array([_node(x) for x in found], pa.int64()),
                  pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["doc", "shingles"])
 
-    return store(texts.mapInArrow(sets, "doc long, shingles array<long>").dropDuplicates(["doc"]), "sets")
+    return store(texts.mapInArrow(sets, "doc long, shingles array<long>"), "sets")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) that link, on whole sets."""
+def _posts(reps: DataFrame, max_bits: int) -> DataFrame:
+    """(doc, n, need, short, pos, token): prefixes, for tokens of two sets or more."""
+    tokens = reps.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c"))
+    shared = store(tokens.where("c > 1").select("token"), "shared")
+    sieve = membership(shared, shared.count(), max_bits)
+    columns = ["doc", "n", "need", "short"]
+    if sieve is None:
+        return store(reps.select(*columns, F.posexplode("prefix").alias("pos", "token")).join(shared, "token"), "posts")
+    sent = reps.sparkSession.sparkContext.broadcast(sieve)
+
+    def rows(batches):
+        sieve = sent.value
+        for batch in batches:
+            prefix = batch.column(4)
+            sizes = np.diff(prefix.offsets.to_numpy())
+            tokens = prefix.flatten().to_numpy()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            keep = may_contain(tokens, sieve) if len(tokens) else np.zeros(0, bool)
+            which = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i).take(which) for i in range(4)), pa.array(pos[keep].astype(np.int32)), pa.array(tokens[keep])],
+                [*columns, "pos", "token"])
+
+    return store(reps.select(*columns, "prefix").mapInArrow(
+        rows, "doc long, n int, need int, short int, pos int, token long"), "posts")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, size: int, percent: int, small: int) -> DataFrame:
+    """The pairs (x, y) that link, on whole sets, as (a, b)."""
+    pairs = store(pairs, "pairs")
+    sets = _wanted_sets(docs, known, pairs, size, small)
     left = sets.select(F.col("doc").alias("x"), F.col("shingles").alias("xs"))
     right = sets.select(F.col("doc").alias("y"), F.col("shingles").alias("ys"))
-    both = F.size(F.array_intersect("xs", "ys"))
-    full = pairs.join(left, "x").join(right, "y").withColumn("both", both)
-    return full.where(100 * F.col("both") >= percent * (F.size("xs") + F.size("ys") - F.col("both"))).select("x", "y")
+    full = pairs.join(left, "x").join(right, "y").withColumn("both", F.size(F.array_intersect("xs", "ys")))
+    linked = full.where(100 * F.col("both") >= percent * (F.size("xs") + F.size("ys") - F.col("both")))
+    return store(linked.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
+
+
+_SIDES = ["doc", "n", "need", "short", "pos"]
+
+
+def _candidates(met: DataFrame, percent: int) -> DataFrame:
+    """(x, y) of the joined rows a_*, b_* that the bounds and counts let pass."""
+    first = "(a_n < b_n or (a_n = b_n and a_doc < b_doc))"
+    for c in _SIDES:
+        met = met.withColumns({f"x_{c}": F.expr(f"if({first}, a_{c}, b_{c})"), f"y_{c}": F.expr(f"if({first}, b_{c}, a_{c})")})
+    needed = f"ceil({percent} * (x_n + y_n) / {100 + percent}.0D - 1e-9)"
+    met = met.where(
+        f"x_pos < x_short and 100 * x_n >= {percent} * y_n"
+        f" and least(x_pos, y_pos) + 1 + least(x_n - x_pos - 1, y_n - y_pos - 1) >= {needed}")
+    pairs = met.groupBy(F.col("x_doc").alias("x"), F.col("y_doc").alias("y")).agg(
+        F.count("*").alias("met"), F.first(F.least("x_need", "y_need")).alias("need"))
+    return pairs.where("met >= need").select("x", "y")
+
+
+def _side(rows: DataFrame, name: str, *more: str) -> DataFrame:
+    return rows.select("token", *more, *[F.col(c).alias(f"{name}_{c}") for c in [*_SIDES, "comp"]])
+
+
+def _to_pivots(posts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each row with one pivot of its token, of another component."""
+    pivots = posts.groupBy("token").agg(
+        F.min(F.struct("comp", *_SIDES)).alias("p"), F.max("comp").alias("hi")).where("p.comp < hi")
+    met = _side(posts, "a").join(pivots, "token").where("a_comp != p.comp")
+    return _candidates(met.select(*[f"a_{c}" for c in _SIDES], *[F.col(f"p.{c}").alias(f"b_{c}") for c in _SIDES]), percent)
+
+
+def _across(posts: DataFrame, percent: int) -> DataFrame:
+    """All candidate pairs of documents of different components."""
+    spread = posts.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(
+        F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    live = posts.join(spread.select("token", "main"), "token")
+    # A pair of two minor rows meets twice, one with the main component once.
+    met = _side(live.where("comp != main"), "a").join(_side(live, "b", "main"), "token").where(
+        "a_comp != b_comp and (b_comp = main or a_doc < b_doc)")
+    return _candidates(met, percent)
 
 
 def near_duplicates(
-    docs: DataFrame, size: int = 5, percent: int = 80, max_need: int = 4,
-    verify_cost: float = 8.0, star_rounds: int = 2, small: int = 1_000_000,
+    docs: DataFrame, size: int = 5, percent: int = 80, max_need: int = 4, verify_cost: float = 8.0,
+    star_rounds: int = 1, small: int = 2_000_000, max_bits: int = 1 << 29,
 ) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``.
 
     ``max_need`` bounds the prefix extension, ``verify_cost`` is the price of a
     candidate against that of a joined row, ``star_rounds`` the rounds of pivots,
-    ``small`` the ids that are broadcast at most (8 bytes each).
+    ``small`` the ids that are broadcast at most (16 bytes each) and ``max_bits``
+    the size of the filter of shared tokens; beyond either they are joined.
     """
     rows = store(_document_rows(docs, size, percent, max_need, verify_cost), "prefixes")
     known = rows.where("n > 0 and doc_id is not null")
     # Rows of equal sets are one node; its prefix depends on the set alone.
-    reps = known.groupBy("node").agg(F.min(F.struct("doc_id", "n", "need", "short", "prefix")).alias("r")).select(
-        F.col("node").alias("doc"), "r.*")
-    posts = reps.select("doc", "n", "need", "short", F.posexplode("prefix").alias("pos", "token"))
-    shared = posts.groupBy("token").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
-    posts = store(posts.join(shared.select("token"), "token"), "posts")
-    sets = _wanted_sets(docs, known, posts, size, small)
-
-    links = None
-    labels = posts.select("doc", F.col("doc").alias("comp")).distinct()
+    first = known.groupBy("node").agg(F.min("doc_id").alias("_rep"), F.count("*").alias("_c")).where("_c > 1")
+    copies = store(known.select("doc_id", "node").join(first, "node").where("doc_id > _rep").select("doc_id", "node").distinct(), "copies")
+    gone = F.broadcast(copies) if copies.count() <= small else copies
+    reps = known.join(gone, ["doc_id", "node"], "left_anti").withColumnRenamed("node", "doc")
+    posts = _posts(reps, max_bits)
+
+    links, labels = None, posts.select("doc").distinct().withColumn("comp", F.col("doc"))
     for _ in range(star_rounds):
-        marked = posts.join(labels, "doc")
-        # One pivot for each shingle; whoever is already in its component is left out.
-        pivots = marked.groupBy("token").agg(
-            F.min(F.struct("comp", "doc", "n")).alias("p"), F.max("comp").alias("hi")).where("p.comp < hi")
-        pairs = (
-            marked.join(pivots, "token").where("comp != p.comp")
-            .where(f"100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
-            .select(F.col("doc").alias("x"), F.col("p.doc").alias("y")).distinct()
-        )
-        found = store(_verified(pairs, sets, percent).select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
+        found = _verified(_to_pivots(posts.join(labels, "doc"), percent), docs, known, size, percent, small)
         links = found if links is None else links.union(found)
-        reached = components(links)
-        labels = store(
-            posts.select("doc").distinct().join(reached.withColumnRenamed("id", "doc"), "doc", "left")
-            .select("doc", F.coalesce("component", "doc").alias("comp")), "labels")
+        reached = components(links).select(F.col("id").alias("doc"), "component")
+        labels = store(posts.select("doc").distinct().join(reached, "doc", "left").select(
+            "doc", F.coalesce("component", "doc").alias("comp")), "labels")
+    found = _verified(_across(posts.join(labels, "doc"), percent), docs, known, size, percent, small)
+    links = found if links is None else links.union(found)
 
-    links = links.union(store(_across(posts.join(labels, "doc"), sets, percent), "links"))
     reached = known.select("doc_id", "node").join(
         components(links).select(F.col("id").alias("node"), "component"), "node", "left")
     reached = reached.withColumn("component", F.coalesce("component", "node"))
     named = reached.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    nodes = reached.groupBy("node", "component").count().join(named, "component").select("node", "component_id")
+    nodes = reached.select("node", "component").distinct().join(named, "component").select("node", "component_id")
     return rows.join(nodes, "node", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-
-
-def _across(posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between documents of different components: all of them."""
-    spread = posts.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(
-        F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    live = posts.join(spread.select("token", "main"), "token")
-    sides = ["doc", "n", "need", "short", "pos", "comp"]
-    minor = live.where("comp != main").select("token", *[F.col(c).alias(f"a_{c}") for c in sides])
-    every = live.select("token", "main", *[F.col(c).alias(f"b_{c}") for c in sides])
-    # A pair of two minor rows meets twice, one with the main component once.
-    pairs = minor.join(every, "token").where("a_comp != b_comp and (b_comp = main or a_doc < b_doc)")
-    first = "(a_n < b_n or (a_n = b_n and a_doc < b_doc))"
-    for c in sides:
-        pairs = pairs.withColumn(f"x_{c}", F.expr(f"if({first}, a_{c}, b_{c})")).withColumn(
-            f"y_{c}", F.expr(f"if({first}, b_{c}, a_{c})"))
-    needed = f"ceil({percent} * (x_n + y_n) / {100 + percent}.0D - 1e-9)"
-    pairs = pairs.where(
-        f"x_pos < x_short and 100 * x_n >= {percent} * y_n"
-        f" and least(x_pos, y_pos) + 1 + least(x_n - x_pos - 1, y_n - y_pos - 1) >= {needed}")
-    candidates = (
-        pairs.groupBy(F.col("x_doc").alias("x"), F.col("y_doc").alias("y"))
-        .agg(F.count("*").alias("met"), F.first(F.least("x_need", "y_need")).alias("need"))
-        .where("met >= need").select("x", "y")
-    )
-    return _verified(candidates, sets, percent).select(F.col("x").alias("a"), F.col("y").alias("b"))

@@ -27,3 +27,84 @@ reach(doc_id, other) AS (
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.component_id
 FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id)
 """
+
+LLM_ORACLES["op3_decontaminate"] = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS m, array_to_string(w[i:i + 12], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+places AS (
+  SELECT doc_id, i, s.m, array_to_string(w[i:i + s.m - 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words) p
+  JOIN (SELECT DISTINCT m FROM windows) s ON i + s.m - 1 <= len(w)),
+hits AS (SELECT p.doc_id, p.i, p.m, w.item_id FROM places p JOIN windows w ON p.m = w.m AND p.g = w.g),
+covered AS (
+  SELECT doc_id, count(DISTINCT k) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + m)) AS k FROM hits) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(n.names, '')) AS items_sha256,
+  coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(w.w) AS contaminated
+FROM words w LEFT JOIN covered c USING (doc_id) LEFT JOIN named n USING (doc_id)
+"""
+
+# CRC-32 byte by byte over a table of 256 entries that SQL makes from the polynomial.
+LLM_ORACLES["op5_sharding"] = r"""
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k:
+    CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, CAST(n AS BIGINT))) AS t),
+sized AS (
+  SELECT doc_id, source, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size,
+    md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS draw, hex(encode(coalesce(text, ''))) AS h
+  FROM documents),
+digest AS (
+  SELECT doc_id, source, size, draw, xor(4294967295, list_reduce(
+    list_transform(range(1, size), lambda i: CAST('0x' || substr(h, 2 * i - 1, 2) AS BIGINT)),
+    lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), CAST(4294967295 AS BIGINT))) AS text_crc32
+  FROM sized, crc_table),
+shares AS (
+  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY draw, doc_id, size, text_crc32) - 0.5)::DOUBLE
+    / count(*) OVER (PARTITION BY source) AS share
+  FROM digest),
+places AS (
+  SELECT *, row_number() OVER (ORDER BY share, draw, source, doc_id, size, text_crc32) - 1 AS pos, count(*) OVER () AS n
+  FROM shares)
+SELECT doc_id, source, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(pos * 16 // n AS INTEGER) AS shard,
+  CAST(pos - ((pos * 16 // n) * n + 15) // 16 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM places
+"""
+
+LLM_ORACLES["op10_suffix_dedup"] = r"""
+WITH bodies AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+strings AS (
+  SELECT doc_id, i, hash(substr(h, 2 * i + 1, 100)) AS a, substr(h, 2 * i + 1, 100) AS s
+  FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM bodies WHERE n >= 50)),
+firsts AS (SELECT s, min(doc_id) AS f FROM strings GROUP BY s HAVING min(doc_id) < max(doc_id)),
+removed AS (SELECT t.doc_id, t.i FROM strings t JOIN firsts f ON t.s = f.s WHERE t.doc_id > f.f),
+marked AS (
+  SELECT doc_id, i, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) AS gap FROM removed),
+grouped AS (SELECT doc_id, i, sum(CASE WHEN gap > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM marked),
+spans AS (SELECT doc_id, g, min(i) AS s, max(i) + 50 AS e FROM grouped GROUP BY doc_id, g),
+kept AS (
+  SELECT b.doc_id, string_agg(substr(b.h, 2 * k.s + 1, 2 * (k.e - k.s)), '' ORDER BY k.s) AS h
+  FROM bodies b JOIN (
+    SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS s, s AS e FROM spans
+    UNION ALL SELECT doc_id, max(e), 1000000000 FROM spans GROUP BY doc_id) k USING (doc_id)
+  GROUP BY b.doc_id),
+counts AS (SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT b.doc_id, CAST(b.n AS BIGINT) AS n_bytes, CAST(coalesce(c.n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(c.n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.h, b.h))) AS kept_sha256
+FROM bodies b LEFT JOIN kept k USING (doc_id) LEFT JOIN counts c USING (doc_id)
+"""

@@ -4,12 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join
+from . import decontaminate, jaccard_join, packing, sharding, suffix_dedup
 from .common import table
 
 
+def vocabulary() -> str:
+    """The place of the tokenizer file that ``op9_packing`` packs for."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
-LLM = {f.__name__: f for f in (op2_jaccard_join,)}
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("items", "starts", "ends")
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.interleave(table(spark, sf_dir, "documents"), shards=16)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents")).drop("spans")
+
+
+LLM = {f.__name__: f for f in (op2_jaccard_join, op3_decontaminate, op5_sharding, op9_packing, op10_suffix_dedup)}
