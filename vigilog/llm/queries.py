@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, packing, sharding, suffix_dedup
+from . import decontaminate, jaccard_join, language_id, packing, quality_rules, sharding, suffix_dedup
 from .common import table
 
 
@@ -15,6 +15,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=90)
 
@@ -24,6 +28,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("items", "starts", "ends")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"), shards=16)
 
@@ -36,4 +44,6 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents")).drop("spans")
 
 
-LLM = {f.__name__: f for f in (op2_jaccard_join, op3_decontaminate, op5_sharding, op9_packing, op10_suffix_dedup)}
+LLM = {f.__name__: f for f in (
+    op1_quality_rules, op2_jaccard_join, op3_decontaminate, op4_language_id, op5_sharding, op9_packing, op10_suffix_dedup,
+)}
