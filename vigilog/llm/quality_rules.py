@@ -7,9 +7,10 @@ words inside repeated windows of eight words are more than
 
 The rest are judged by ``log p(trusted) - log p(corpus)`` of their words and word
 pairs, hashed into ``cells`` cells, per n-gram, so length does not count. Both are
-multinomials with add-``smooth`` counts: the corpus' over all documents, the
-trusted target's over labelled documents of quality 1 that are not toxic. Of
-these the ``max_trusted`` with the lowest hash of their id are taken, so that
+multinomials: the corpus' over all documents, the trusted target's over labelled
+documents of quality 1 that are not toxic. The corpus' counts are scaled to the
+target's total and ``smooth`` is added to both, so that a cell of which too little
+is expected says nothing, whatever the size of the corpus. Of the trusted the ``max_trusted`` with the lowest hash of their id are taken, so that
 their ids (8 bytes each) can be broadcast. A document stays if its ratio is at
 least ``threshold``; nothing is drawn at random.
 
@@ -69,9 +70,8 @@ def weights(docs: DataFrame, trusted: DataFrame, cells: int, smooth: float) -> D
     raw, own = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("own"), F.lit(0))).first()
     if not own:
         return counts.select("cell", F.lit(0.0).alias("weight"))
-    return counts.select("cell", (
-        F.log((F.col("own") + smooth) / (own + smooth * cells)) - F.log((F.col("raw") + smooth) / (raw + smooth * cells))
-    ).alias("weight"))
+    expected = F.lit(own / raw) * F.col("raw")  # of the corpus, at the target's size
+    return counts.select("cell", F.log((F.col("own") + smooth) / (expected + smooth)).alias("weight"))
 
 
 def _repeated(windows: Column) -> Column:
@@ -90,7 +90,7 @@ def _repeated(windows: Column) -> Column:
 
 def judged(
     docs: DataFrame, labels: DataFrame, min_words: int = 20, max_repeat_percent: int = 30,
-    cells: int = 1 << 17, smooth: float = 1.0, max_trusted: int = 20_000, threshold: float = -0.14,
+    cells: int = 1 << 17, smooth: float = 10.0, max_trusted: int = 20_000, threshold: float = -0.1,
 ) -> DataFrame:
     """``docs`` with the struct ``_quality``: the counts, ratio and verdicts."""
     trusted = (

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard_join, language_id, packing, quality_rules, sharding, suffix_dedup
+from . import (
+    decontaminate, html_text, jaccard_join, language_id, license_scan, packing, quality_rules, sharding, suffix_dedup, url_filter,
+)
 from .common import table
 
 
@@ -36,6 +38,25 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+#: Verdict, host and path.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's labels are those of the document of its id."""
+    bad = F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.cast("int").alias("label"))
+    return url_filter.judge(table(spark, sf_dir, "pages"), labels, URL_RULES)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -45,5 +66,6 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM = {f.__name__: f for f in (
-    op1_quality_rules, op2_jaccard_join, op3_decontaminate, op4_language_id, op5_sharding, op9_packing, op10_suffix_dedup,
+    op1_quality_rules, op2_jaccard_join, op3_decontaminate, op4_language_id, op5_sharding, op6_license_scan,
+    op7_html_text, op8_url_filter, op9_packing, op10_suffix_dedup,
 )}
