@@ -59,7 +59,7 @@ def test_plan_is_tight_and_whole(depth, small):
 def test_ids_equal_the_whole_text(make_docs):
     rng = random.Random(4)
     odd = ["don't", "İstanbul", "é", "́x", "Σας", "a b", "x\ty", "<|endoftext|>", "日本語", "1234", "!!!", "ﬁ", " ", "a" * 60]
-    texts = [" ".join(rng.choices(odd + ["the", "word"], k=rng.randint(0, 30))) for _ in range(20)]
+    texts = [" ".join(rng.choices(odd + ["the", "word"], k=rng.randint(0, 30))) for _ in range(60)]
     texts = [t.replace(" ", rng.choice([" ", "\n", "  ", " \n"]), 5) for t in texts] + ["", " ", None, "\n"]
     rows = packing.pieces(make_docs(list(enumerate(texts))), PATH, capacity=16, with_ids=True).collect()
     got = defaultdict(list)
@@ -70,6 +70,16 @@ def test_ids_equal_the_whole_text(make_docs):
     assert dict(got) == {i: token_ids(t) for i, t in enumerate(texts)}
 
 
+def test_forgetting_and_small_calls_change_nothing(monkeypatch):
+    texts = ["one two three. four!", "five one, two", "", "six " * 30 + "a" * 100 + " b|c"] * 3
+    want = [np.array(token_ids(t), "<u4").tobytes() for t in texts]
+    assert list(packing._ids(texts, PATH, 1)) == want
+    for name, value in (("_REMEMBERED", 4), ("_TEXTS", 2), ("_CALL", 2), ("_LONG", 3)):
+        monkeypatch.setattr(packing, name, value)
+    packing._workers.clear()
+    assert list(packing._ids(texts, PATH, 1)) == want
+
+
 def test_pack_places_every_piece_once(make_docs):
     rng = random.Random(5)
     items = [(i, " ".join(["word"] * rng.choice([0, 1, 5, 12, 31, 90]))) for i in range(300)]

@@ -18,7 +18,8 @@ one length may have any number of pieces.
 
 Ids: texts are cut at blanks and line ends, which the tokenizer drops, and each
 stretch's ids are kept in a bounded table per worker; they are the ids of the
-whole text, as no merge or normalisation goes across white space.
+whole text, as no merge or normalisation goes across white space, or from a letter
+or digit to the marks after it.
 
 Defined results: null text is empty, one piece of the end id alone; repeated
 rows are packed each; very long texts make many pieces; other columns are
@@ -36,38 +37,77 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import ranked, store
 
-#: Stretches whose ids a worker remembers; longer than _LONG characters never.
-_REMEMBERED, _LONG = 300_000, 48
+#: Stretches whose ids a worker remembers (some 200 bytes each); longer than
+#: _LONG characters never.
+_REMEMBERED, _LONG = 1_000_000, 48
+#: Texts looked up together, and stretches put into one call of the tokenizer.
+_TEXTS, _CALL = 500, 20_000
+#: ASCII marks that end a stretch: after a letter or digit they are tokens of their own.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_BAR = "|"
 _workers: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str):
+    """The tokenizer, the ids of the bar and what is remembered, per worker."""
     if path not in _workers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _workers[path] = Tokenizer.from_file(path), {"": b""}
+        tokenizer = Tokenizer.from_file(path)
+        _workers[path] = tokenizer, tokenizer.encode(_BAR, add_special_tokens=False).ids, {"": b""}
     return _workers[path]
 
 
+def _parted(stretch: str) -> tuple[str, str]:
+    """A stretch without its last marks, and these, if their ids are separate."""
+    core = stretch.rstrip(_MARKS)
+    if not core or "<|" in stretch or ord(core[-1]) >= 0x250 or not core[-1].isalnum() or len(core[-1].lower()) > 1:
+        return stretch, ""
+    return core, stretch[len(core) :]
+
+
+def _learn(new: set[str], path: str) -> dict[str, bytes]:
+    """The ids of new stretches. Many go to the tokenizer as one text, with a
+    bar between them; those that have a bar go alone."""
+    tokenizer, bar, known = _tokenizer(path)
+    parted = {p: _parted(p) for p in new}
+    wanted = {x for pair in parted.values() for x in pair} - known.keys()
+    alone = [x for x in wanted if _BAR in x or len(bar) != 1]
+    rest = list(wanted.difference(alone))
+    made = {}
+    if alone:
+        for x, e in zip(alone, tokenizer.encode_batch(alone, add_special_tokens=False)):
+            made[x] = np.array(e.ids, "<u4").tobytes()
+    for lo in range(0, len(rest), _CALL):
+        part = rest[lo : lo + _CALL]
+        ids = np.array(tokenizer.encode(f" {_BAR} ".join(part), add_special_tokens=False).ids, "<u4")
+        ends = np.r_[np.flatnonzero(ids == bar[0]), len(ids)]
+        body, at = ids.tobytes(), 0
+        for x, end in zip(part, ends.tolist()):
+            made[x] = body[4 * at : 4 * end]
+            at = end + 1
+    known.update((x, ids) for x, ids in made.items() if len(x) <= _LONG)
+    return {p: (made[c] if c in made else known[c]) + (made[t] if t in made else known[t]) for p, (c, t) in parted.items()}
+
+
 def _ids(texts: list[str], path: str, end: int):
     """The ids of each text as little-endian unsigned 32-bit bytes."""
-    tokenizer, known = _tokenizer(path)
+    known = _tokenizer(path)[2]
     tail = np.array([end], "<u4").tobytes()
-    for text in texts:
-        parts = text.replace("\n", " ").split(" ")
-        try:
-            yield b"".join([known[p] for p in parts]) + tail
-            continue
-        except KeyError:
-            pass
-        if len(known) > _REMEMBERED:
+    for lo in range(0, len(texts), _TEXTS):
+        parts = [t.replace("\n", " ").split(" ") for t in texts[lo : lo + _TEXTS]]
+        every = set().union(*parts)
+        new = every.difference(known)
+        if len(known) + len(new) > _REMEMBERED:
             known.clear()
             known[""] = b""
-        new = list({p for p in parts if p not in known})
-        made = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False))}
-        known.update((p, ids) for p, ids in made.items() if len(p) <= _LONG)
-        yield b"".join([made[p] if p in made else known[p] for p in parts]) + tail
+            new = every.difference(known)
+        more = _learn(new, path) if new else {}
+        known.update((p, ids) for p, ids in more.items() if len(p) <= _LONG)
+        long = {p: ids for p, ids in more.items() if len(p) > _LONG}
+        for own in parts:
+            yield b"".join([known[p] if p in known else long[p] for p in own] if long else [known[p] for p in own]) + tail
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1, with_ids: bool = False) -> DataFrame:

@@ -8,7 +8,8 @@ Features of a URL: length, host and path length, host labels, path depth, digit
 ratio, hyphens, character entropy, number of parameters, length of the query,
 and the suffix statistics of the host's last one, two and three labels: the
 share of unwanted pages among labelled ones with that suffix, drawn to the
-overall share by ``prior`` pages. For a training URL its own label is left out.
+overall share by ``prior`` pages. A training URL gets the statistics of the other
+folds, so that they do not tell its own label.
 Spark's gradient-boosted trees are trained on all labelled URLs (label 1: low
 quality or toxic); the rest is allowed unless its probability reaches
 ``threshold``. All features are DataFrame functions; only URLs are moved, and
@@ -33,6 +34,7 @@ _LEXICAL = [
     "url_length", "host_length", "path_length", "labels", "depth", "digit_ratio", "hyphens", "entropy", "parameters", "query_length",
 ]
 _SUFFIXES = (1, 2, 3)
+_FOLDS = 5
 FEATURES = [*_LEXICAL, *(f"suffix_{k}" for k in _SUFFIXES)]
 
 
@@ -81,17 +83,24 @@ def _lexical(pages: DataFrame) -> DataFrame:
     return out.select("page_id", "url", "host", "path", *[v.cast("double").alias(n) for v, n in zip(values, _LEXICAL)], *suffixes)
 
 
+def _fold() -> Column:
+    return F.pmod(F.xxhash64("page_id", "url"), F.lit(_FOLDS)).alias("_fold")
+
+
 def _with_suffix_statistics(rows: DataFrame, labelled: DataFrame, prior: float, own: bool) -> DataFrame:
-    """``rows`` with the share of unwanted pages by suffix; ``own``: without the
-    row's own label, for rows that are counted themselves."""
+    """``rows`` with the share of unwanted pages by suffix; ``own``: of the other
+    folds, for rows that are counted themselves."""
     mean = labelled.agg(F.avg("label")).first()[0] or 0.0
     for k in _SUFFIXES:
-        counts = labelled.groupBy(f"_suffix_{k}").agg(F.count("*").alias("_n"), F.sum("label").alias("_bad"))
-        bad, n = F.coalesce("_bad", F.lit(0.0)), F.coalesce("_n", F.lit(0))
+        suffix = f"_suffix_{k}"
+        by_fold = labelled.groupBy(suffix, _fold()).agg(F.count("*").alias("_n"), F.sum("label").alias("_bad"))
+        every = by_fold.groupBy(suffix).agg(F.sum("_n").alias("_all_n"), F.sum("_bad").alias("_all_bad"))
+        rows = rows.join(every, suffix, "left")
+        bad, n = F.coalesce("_all_bad", F.lit(0.0)), F.coalesce("_all_n", F.lit(0))
         if own:
-            bad, n = bad - F.col("label"), n - 1
-        rows = rows.join(counts, f"_suffix_{k}", "left").withColumn(
-            f"suffix_{k}", (bad + prior * mean) / (n + prior)).drop("_n", "_bad")
+            rows = rows.withColumn("_fold", _fold()).join(by_fold, [suffix, "_fold"], "left")
+            bad, n = bad - F.coalesce("_bad", F.lit(0.0)), n - F.coalesce("_n", F.lit(0))
+        rows = rows.withColumn(f"suffix_{k}", (bad + prior * mean) / (n + prior)).drop("_n", "_bad", "_all_n", "_all_bad", "_fold")
     return rows
 
 
