@@ -79,11 +79,16 @@ def _sketch(docs: DataFrame, size: int) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(cells, np.int64)
+        found, held = [], 0
         for batch in batches:
-            found = list(_sets(batch.column(0), size))
-            if found:
-                where = (np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                total += np.bincount(where, minlength=cells)
+            for own in _sets(batch.column(0), size):
+                found.append((own >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
+                held += len(own)
+                if held > cells // 2:
+                    total += np.bincount(np.concatenate(found), minlength=cells)
+                    found, held = [], 0
+        if found:
+            total += np.bincount(np.concatenate(found), minlength=cells)
         parts = total.astype(np.int32).reshape(-1, block)
         some = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays(
