@@ -27,7 +27,8 @@ def ratios(spark, items, trusted, cells, smooth=10.0):
     pairs = sorted({(h[a], h[b]) for ws in words.values() for a, b in zip(ws, ws[1:])})
     p = {(r.a, r.b): r.h for r in spark.createDataFrame(pairs, "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
     half = cells // 2
-    grams = {i: [h[w] % half for w in ws] + [p[h[a], h[b]] % half + half for a, b in zip(ws, ws[1:])] for i, ws in words.items()}
+    cell = lambda x: (x % 2**64) * half >> 64  # noqa: E731  the first bits
+    grams = {i: [cell(h[w]) for w in ws] + [cell(p[h[a], h[b]]) + half for a, b in zip(ws, ws[1:])] for i, ws in words.items()}
     raw, own = Counter(), Counter()
     for i, g in grams.items():
         raw.update(g)

@@ -36,8 +36,10 @@ _WINDOW = 8
 
 
 def _words(text: Column) -> Column:
-    inner = F.btrim(text, F.lit(_SPACE))
-    return F.when(F.length(inner) == 0, F.array().cast("array<string>")).otherwise(F.split(inner, r"[\x20\x09-\x0D]+"))
+    """Plain replacements and a split at one character, which need no pattern."""
+    for space in _SPACE[1:]:
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
 def _split(docs: DataFrame) -> DataFrame:
@@ -54,11 +56,12 @@ def _joined(hashes: str, step: int) -> Column:
 
 
 def _cells(cells: int) -> Column:
-    """The cells of all words and word pairs; those of pairs come second."""
-    half = F.lit(cells // 2)
+    """The cells of all words and word pairs, from the first bits of their
+    hashes; those of pairs come second."""
+    shift = 65 - cells.bit_length() + 1
     return F.concat(
-        F.transform("_hashes", lambda h: F.pmod(h, half).cast("int")),
-        F.transform("_pairs", lambda h: (F.pmod(h, half) + half).cast("int")))
+        F.transform("_hashes", lambda h: F.shiftrightunsigned(h, shift)),
+        F.transform("_pairs", lambda h: F.shiftrightunsigned(h, shift) + F.lit(cells // 2)))
 
 
 def weights(docs: DataFrame, trusted: DataFrame, cells: int, smooth: float) -> DataFrame:
@@ -102,23 +105,25 @@ def judged(
 
     columns = [F.col(f"`{c}`") for c in docs.columns]
     out = docs.select(F.struct(*columns).alias("_row"), F.coalesce("text", F.lit("")).alias("text"))
-    out = _split(out).withColumn("_fours", _joined("_pairs", 2)).withColumn("_windows", _joined("_fours", 4))
+    out = _split(out).withColumn("_fours", _joined("_pairs", 2))
+    # Where no four words come again, no window does.
+    single = F.size(F.array_distinct("_fours")) == F.size("_fours")
+    out = out.withColumn("_windows", F.when(single, F.array().cast("array<bigint>")).otherwise(_joined("_fours", 4)))
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.length(F.btrim(x, F.lit(_SPACE))) > 0)
     out = out.select("_row", "text", "_words", "_windows", _cells(cells).alias("_cells"), lines.alias("_lines"))
     out = out.select(
         "_row", "_cells",
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("_windows")) == F.size("_windows"), F.lit(0))
         .otherwise(_repeated(F.col("_windows"))).cast("long").alias("n_repeat_words"))
     # The optimizer puts the subquery into the sum, so the weights are no part of any row.
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    out = out.withColumn("_weight", weight).select("_row", *base, F.aggregate(
-        "_cells", F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")),
-        lambda a, c: F.struct((a["sum"] + F.get("_weight", c)).alias("sum"), (a["n"] + 1).alias("n")),
-        lambda a: a["sum"] / F.greatest(a["n"], F.lit(1))).alias("_ratio"))
+    total = F.aggregate("_cells", F.lit(0.0), lambda a, c: a + F.get("_weight", c))
+    out = out.withColumn("_weight", weight).select(
+        "_row", *base, (total / F.greatest(F.size("_cells"), F.lit(1))).alias("_ratio"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
@@ -128,7 +133,7 @@ def judged(
 
 def _table(rows: DataFrame, cells: int) -> DataFrame:
     """One row: the weights as an array by cell (8 bytes a cell, whatever the input)."""
-    every = rows.sparkSession.range(cells).select(F.col("id").cast("int").alias("cell"))
+    every = rows.sparkSession.range(cells).select(F.col("id").alias("cell"))
     filled = every.join(rows, "cell", "left").select("cell", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "weight"))), lambda x: x["weight"]).alias("w"))
 
