@@ -222,17 +222,53 @@ def test_cooldown_after_allowed_equals_loop(spark, seed):
     """A steady run of attempts is let through once per cooldown."""
     rng = random.Random(seed)
     rows = [(rng.choice("aaab"), rng.randrange(4000) / 4) for _ in range(500)]
-    gap = rng.choice([3, 17])
-    gated = respond.safety_gate(
-        attempts(spark, rows), gap * 1_000_000, 999, 1, cooldown_after="allowed")
+    gap = rng.choice([3, 17, 0.2, 0.5])
+    assert cooldowns(spark, rows, gap) == spaced(rows, gap)
+
+
+def cooldowns(spark, rows, gap):
+    gated = respond.safety_gate(attempts(spark, rows), int(gap * 1_000_000), 999, 1, cooldown_after="allowed")
+    return {r.incident_id: r.in_cooldown for r in gated.collect()}
+
+
+def spaced(rows, gap):
     last, want = {}, {}
     for ident, (service, t) in sorted(
         ((f"i{i:03d}", r) for i, r in enumerate(rows)), key=lambda x: (x[1][1], x[0])
     ):
-        want[ident] = service in last and int(t) - last[service] < gap
+        want[ident] = service in last and round((t - last[service]) * 1e6) < round(gap * 1e6)
         if not want[ident]:
-            last[service] = int(t)
-    assert {r.incident_id: r.in_cooldown for r in gated.collect()} == want
+            last[service] = t
+    return want
+
+
+def test_cooldown_below_a_second(spark):
+    rows = [("a", 0.9), ("a", 1.1), ("a", 1.4), ("a", 2.3), ("b", 1.1)]
+    assert list(cooldowns(spark, rows, 1).values()).count(True) == 2
+    assert cooldowns(spark, rows, 0.5) == spaced(rows, 0.5) and cooldowns(spark, rows, 0.2) == spaced(rows, 0.2)
+    with pytest.raises(ValueError):
+        cooldowns(spark, rows, 0)
+
+
+@pytest.mark.parametrize("gap", [0.25, 2, 400])
+def test_one_key_over_many_tasks(spark, gap):
+    rng = random.Random(int(gap))
+    # Every quarter second, so that runs begun apart never meet, and a gap with none.
+    rows = [("a", t / 4) for t in range(600)] + [("a", 5000 + rng.random()) for _ in range(200)] + [("b", 3), ("b", 3)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        assert cooldowns(spark, rows, gap) == spaced([(s, round(t * 1e6) / 1e6) for s, t in rows], gap)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_status_case_does_not_matter(spark, make_signals):
+    opened = inc.create_incidents(make_signals([("X", "a", "LOW", 0)]))
+    said = opened.selectExpr("id", "'OPEN' AS status", "created_at + interval 1 minute AS changed_at", "0L AS seq")
+    changes = inc.status_changes(opened, said)
+    assert sorted(r.verdict for r in inc.transitions(changes).collect()) == ["opened", "unchanged"]
+    assert notify.lifecycle_notices(changes).count() == 1
 
 
 def test_retry_limit_and_protection(spark):
@@ -254,11 +290,19 @@ def test_approvals(spark):
 
 
 def test_failed_patterns_are_not_repeated(spark):
-    ddl = "incident_id string, error string, service string, action string, status string"
-    past = spark.createDataFrame([("p", "E", "a", "x", "failed"), ("q", "E", "b", "x", "success")], ddl)
-    new = spark.createDataFrame([("1", "E", "a", "x", "success"), ("2", "E", "b", "x", "success")], ddl)
-    assert [r.incident_id for r in respond.suppress_failed(new, past).collect()] == ["2"]
-    assert [r.failures for r in respond.suppressed(new, past).collect()] == [1]
+    past = spark.createDataFrame(
+        [("E", "a", "x", "failed", at(5)), ("E", "a", "x", "failed", at(9)), ("E", "b", "x", "success", at(1)),
+         ("E", "c", "x", "failed", at(30))],
+        "error string, service string, action string, status string, executed_at timestamp")
+    new = spark.createDataFrame(
+        [("1", "E", "a", "x", at(4)), ("2", "E", "a", "x", at(5)), ("3", "E", "a", "x", at(6)), ("4", "E", "a", "x", at(10)),
+         ("5", "E", "b", "x", at(10)), ("6", "E", "c", "x", at(20))],
+        "incident_id string, error string, service string, action string, created_at timestamp")
+    ids = lambda df: sorted(r.incident_id for r in df.collect())
+    # Failures count from the moment after they happened.
+    assert ids(respond.suppress_failed(new, past)) == ["1", "2", "5", "6"]
+    assert ids(respond.suppress_failed(new, past, 2)) == ["1", "2", "3", "5", "6"]
+    assert [(r.incident_id, r.failures) for r in respond.suppressed(new, past, 2).collect()] == [("4", 2)]
 
 
 def test_best_playbook(spark, make_signals):
@@ -337,6 +381,19 @@ def test_audit(spark, make_signals):
     assert len({r.audit_id for r in rows}) == 2
 
 
+def test_latency_below_a_second(make_signals):
+    found = make_signals([("X", "a", "LOW", 0)] * 3)
+    row = audit.detection_latency(found, F.unix_micros("detected_at") + 900_999).first()
+    assert (row.max_s, row.p50) == (0.9, 0.9)
+
+
+def test_executed_actions_enter_the_trail_when_they_ran(spark, make_signals):
+    opened = inc.create_incidents(make_signals([("X", "a", "LOW", 0)]))
+    ran = respond.plan_responses(opened, tables.playbooks(spark)).withColumn("executed_at", F.lit(at(77)))
+    rows = {r.component_name: r.timestamp for r in audit.audit_trail(opened, ran).collect()}
+    assert (rows["responses"] - rows["incidents"]).total_seconds() == 77
+
+
 def test_latency_quantiles(make_signals):
     found = make_signals([("X", "a", "LOW", 0)] * 101)
     delay = F.substring("signal_id", 2, 4).cast("bigint") * 1_000_000

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigilog import schema
-from vigilog.operators import rulebook, rules
+from vigilog.operators import rulebook, rules, windows
 from conftest import at
 
 
@@ -174,3 +174,44 @@ def test_open_ended_validity(spark):
         [rule_row("a", 1, at(0), "x"), rule_row("a", 2, at(5), "x")], schema.RULE_SCHEMA)
     ends = {r.version: r.valid_to for r in rulebook.validity(table).collect()}
     assert ends[2] is None and ends[1] - timedelta(0) == at(5).replace(tzinfo=None)
+
+
+RULES = (
+    "rule_id string, version int, valid_from timestamp, event_type string, field string, op string, threshold double, "
+    "threshold_text string, signal_type string, severity string, count int, window_s int, key_field string"
+)
+
+
+def test_rules_on_text_fields(spark, make_logs):
+    logs = make_logs([{"event_type": "x", "reason": r, "latency_ms": m} for r, m in (("oom", 1.0), ("disk", 1e19), (None, None))])
+    rows = [("t", 1, at(-9), "x", "reason", "=", None, "oom", "T", "LOW", None, None, None),
+            ("n", 1, at(-9), "x", "reason", "!=", None, "oom", "N", "LOW", None, None, None),
+            ("big", 1, at(-9), "x", "latency_ms", ">", 5.0, None, "B", "LOW", None, None, None)]
+    found = rulebook.evaluate(logs, spark.createDataFrame(rows, RULES)).collect()
+    assert sorted((r.rule_id, *r.metadata.items()) for r in found) == [
+        ("big", ("latency_ms", "1.0E19")), ("n", ("reason", "disk")), ("t", ("reason", "oom"))]
+
+
+def test_invalid_rules_are_refused(spark, make_logs):
+    good = ("ok", 1, at(-9), "x", "latency_ms", ">", 5.0, None, "T", "LOW", None, None, None)
+    bad = [("a", 1, at(-9), "x", "colour", "=", 1.0, None), ("b", 1, at(-9), "x", "latency_ms", "~", 1.0, None),
+           ("c", 1, at(-9), "x", "reason", "=", 1.0, None), ("d", 1, at(-9), "x", "status", ">", None, "9"),
+           ("e", 1, at(-9), None, None, None, None, None)]
+    rules_ = spark.createDataFrame([good, *[(*b, "T", "LOW", None, None, None) for b in bad]], RULES)
+    assert {r.rule_id: r.problem for r in rulebook.rejected_rules(rules_).collect()} == {
+        "a": "unknown field", "b": "unknown op", "c": "no threshold_text", "d": "no threshold", "e": "no event_type"}
+    with pytest.raises(ValueError, match="unknown"):
+        rulebook.evaluate(make_logs([{"event_type": "x"}]), rules_.filter("rule_id in ('a', 'ok')"))
+
+
+def test_a_number_beyond_a_long_does_not_stop_detection(make_logs):
+    logs = make_logs([{"event_type": "http.request", "latency_ms": m} for m in (1e19, 1e300, 5000.0)])
+    assert sorted(r.metadata["latency_ms"] for r in rules.event_signals(logs).collect()) == ["1.0E19", "1.0E300", "5000"]
+
+
+def test_run_keys_keep_nulls_apart(spark):
+    rows = [("x", None), (None, "x"), ("", "x"), ("a\u001fb", "c"), ("a", "b\u001fc"), ("\u001e2", None), (None, None)]
+    df = spark.createDataFrame(rows, "p string, q string").withColumn("k", windows.run_key(["p", "q"]))
+    assert df.select("k").distinct().count() == len(rows)
+    back = df.select("p", "q", *[c.alias(f"{n}_") for n, c in windows.key_parts(df.k, ["p", "q"]).items()]).collect()
+    assert all((r.p, r.q) == (r.p_, r.q_) for r in back)

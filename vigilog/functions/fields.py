@@ -40,7 +40,9 @@ def utc_timestamp(text: Column) -> Column:
 
 
 def iso_millis(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """UTC text with milliseconds, whatever the session's zone."""
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), ts.cast("timestamp_ntz"))
+    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
 def micros(ts: Column) -> Column:
@@ -67,7 +69,7 @@ def incident_id(signal: Column) -> Column:
 
 def number_text(value: Column) -> Column:
     """A number as JSON would show it: whole numbers without a fraction."""
-    whole = value.cast("bigint")
+    whole = value.try_cast("bigint")  # null beyond its range
     return F.when(value == whole, whole.cast("string")).otherwise(value.cast("string"))
 
 

@@ -40,8 +40,10 @@ def audit_trail(
         parts.append(entries(
             incidents, "incidents", "id", "created_at", F.lit("created"), F.col("severity")))
     if responses is not None:
+        # Executed ones at the time they ran, planned ones at their incident's.
+        at = "executed_at" if "executed_at" in responses.columns else "created_at"
         parts.append(entries(
-            responses, "responses", "incident_id", "created_at", F.col("action"), F.col("status")))
+            responses, "responses", "incident_id", at, F.col("action"), F.col("status")))
     if approvals is not None:
         parts.append(entries(
             approvals, "approvals", "incident_id", "decided_at", F.col("action"),
@@ -72,21 +74,23 @@ def throughput(logs: DataFrame, window_us: int) -> DataFrame:
 
 
 def detection_latency(
-    signals: DataFrame, emitted_us: Column, points: tuple[float, ...] = (0.5, 0.95, 0.99)
+    signals: DataFrame, emitted_us: Column, points: tuple[float, ...] = (0.5, 0.95, 0.99),
+    resolution_us: int = 1000,
 ) -> DataFrame:
     """Quantiles of the seconds from an event to its signal, per signal type.
 
-    Counted per whole second first, so the quantiles work on a histogram.
+    Counted per ``resolution_us`` first, by which figures are at most too low, so
+    the quantiles work on a histogram.
     """
-    seconds = F.floor((emitted_us - fields.micros(F.col("detected_at"))) / 1_000_000)
-    counts = signals.groupBy("signal_type", seconds.alias("latency_s")).agg(
-        F.count("*").alias("n")
-    )
+    late = emitted_us - fields.micros(F.col("detected_at"))
+    step = F.floor(late / resolution_us)
+    counts = signals.groupBy("signal_type", step.alias("_step")).agg(F.count("*").alias("n"))
     names = [f"p{round(p * 100)}" for p in points]
+    unit = resolution_us / 1_000_000
     return counts.groupBy("signal_type").agg(
         F.sum("n").alias("signals"),
-        F.max("latency_s").alias("max_s"),
-        *[F.percentile("latency_s", p, F.col("n")).alias(n) for p, n in zip(points, names)],
+        (F.max("_step") * unit).alias("max_s"),
+        *[(F.percentile("_step", p, F.col("n")) * unit).alias(n) for p, n in zip(points, names)],
     )
 
 

@@ -121,7 +121,7 @@ def transitions(changes: DataFrame, allowed: dict[str, list[str]] | None = None)
         .withColumn(
             "verdict",
             F.when(F.col("previous").isNull(), "opened")
-            .when(F.col("previous") == F.col("status"), "unchanged")
+            .when(F.lower("previous") == F.lower("status"), "unchanged")
             .when(step.isin(steps), "valid")
             .otherwise("rejected"),
         )

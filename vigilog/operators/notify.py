@@ -131,7 +131,7 @@ def lifecycle_notices(changes: DataFrame) -> DataFrame:
     now = F.lower("status")
     return (
         with_previous(rows, ["id"], ["_opens", "changed_at", "seq"], {"status": "previous"})
-        .filter(F.col("previous").isNull() | (F.col("previous") != F.col("status")))
+        .filter(F.col("previous").isNull() | (F.lower("previous") != now))
         .withColumn(
             "notice",
             F.when(F.col("previous").isNull(), "created")

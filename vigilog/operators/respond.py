@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vigilog.functions import classify, fields
-from vigilog.operators.ordered import join_keys
+from vigilog.operators.ordered import join_keys, with_running_sum
 from vigilog.operators.windows import run_key, sliding_count
-from vigilog.session import dimension, is_small
+from vigilog.session import cut, dimension, is_small
 
 
 def plan_responses(incidents: DataFrame, playbooks: DataFrame) -> DataFrame:
@@ -133,58 +134,123 @@ def in_cooldown(
     )
 
 
-def _pick_spaced(gap: int):
-    """Per key, the first row, then each next one at least ``gap`` later."""
+class _Times:
+    """The sorted times of a task by key: (key, first row, end row)."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], gap: int):
+        self.gap, self.runs = gap, []
+        filled = [batch for batch in batches if batch.num_rows]
+        if not filled:
+            return
+        self.table = pa.Table.from_batches(filled)
+        keys = self.table.column("_key").to_numpy(zero_copy_only=False)
+        self.us = self.table.column("_us").to_numpy()
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        self.runs = [(keys[lo], lo, hi) for lo, hi in zip([0, *cuts], [*cuts, len(keys)])]
+
+    def following(self, lo: int, hi: int) -> np.ndarray:
+        """For each row of a run the next one that is ``gap`` later, or the end."""
+        part = self.us[lo:hi]
+        return lo + np.searchsorted(part, part + self.gap)
+
+    def ends(self, lo: int, hi: int) -> np.ndarray:
+        """For each row the last pick if it is picked, by doubling the steps."""
+        at = self.following(lo, hi)
+        at = np.where(at == hi, np.arange(lo, hi), at) - lo
+        while True:
+            further = at[at]
+            if np.array_equal(further, at):
+                return self.us[lo:hi][at]
+            at = further
+
+
+def _reports(gap: int):
+    """Of each task: its first and last key, and when the last key is free again
+    for each time that it may be free from."""
+
+    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times = _Times(batches, gap)
+        if not times.runs:
+            return
+        key, lo, hi = times.runs[-1]
+        ends = times.ends(lo, hi)
+        # A key that comes from an earlier task is free within a gap of its first row.
+        # So its picks begin at one of the rows till then or at the one after.
+        starts = 1 if len(times.runs) > 1 else min(hi - lo, int(np.searchsorted(times.us[lo:hi], times.us[lo] + gap)) + 1)
+        last = np.r_[np.flatnonzero(np.diff(ends[:starts])), starts - 1]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([times.runs[0][0]]), pa.array([key]),
+             pa.array([len(times.runs) == 1]), pa.array([times.us[lo:hi][last]], pa.list_(pa.int64())),
+             pa.array([ends[last] + gap], pa.list_(pa.int64()))],
+            ["_task", "_from", "_to", "_one", "_until", "_free"])
+
+    return report
+
+
+def _entries(reports: list) -> dict[int, int]:
+    """When the first key of each task is free, where an earlier task has it."""
+    out: dict[int, int] = {}
+    key, free = None, 0
+    for r in sorted(reports, key=lambda r: r["_task"]):
+        begun = r["_from"] == key
+        if begun:
+            out[r["_task"]] = free
+        if not (r["_one"] and begun):
+            free = r["_free"][0]
+        else:
+            at = int(np.searchsorted(r["_until"], free))
+            free = r["_free"][at] if at < len(r["_free"]) else free
+        key = r["_to"]
+    return out
+
+
+def _picks(gap: int, entries: dict[int, int]):
+    """The first row of each key, then each next one at least ``gap`` later."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, free_from = None, 0
-        for batch in batches:
-            keys = batch.column("_key").to_numpy(zero_copy_only=False)
-            seconds = batch.column("_second").to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-            chosen = []
-            for lo, hi in zip([0, *cuts], [*cuts, len(keys)]):
-                if lo == hi:
-                    continue
-                part = seconds[lo:hi]
-                at = np.searchsorted(part, free_from) if keys[lo] == key else 0
-                key = keys[lo]
-                while at < len(part):
-                    chosen.append(lo + int(at))
-                    free_from = part[at] + gap
-                    at = np.searchsorted(part, free_from)
-            yield batch.take(pa.array(chosen, pa.int64())).drop_columns(["_key"])
+        times = _Times(batches, gap)
+        entry = entries.get(TaskContext.get().partitionId())
+        chosen = []
+        for place, (_, lo, hi) in enumerate(times.runs):
+            after = times.following(lo, hi)
+            at = lo if place or entry is None else lo + int(np.searchsorted(times.us[lo:hi], entry))
+            while at < hi:
+                chosen.append(at)
+                at = int(after[at - lo])
+        if chosen:
+            yield from times.table.take(pa.array(chosen, pa.int64())).to_batches()
 
     return pick
 
 
 def in_cooldown_of_allowed(
-    attempts: DataFrame, keys: list[str], us: str, order: str, cooldown_s: int
+    attempts: DataFrame, keys: list[str], us: str, order: str, cooldown_us: int
 ) -> DataFrame:
     """Mark attempts that follow the last *allowed* one of the same key within
-    less than ``cooldown_s`` whole seconds; held-back attempts do not count.
-
-    Which attempts are allowed depends on all before, so a key is walked in
-    one task. Attempts are folded per second before the shuffle, so that walk
-    has at most one row per second of time, read in batches, however many
-    attempts there are.
+    less than ``cooldown_us``; held-back attempts do not count.
+
+    Which attempts are allowed depends on all before. Attempts are folded per
+    time, then range-partitioned by key and time, so a key of any size spreads
+    over tasks. A task that begins inside a key plays its picks from every time
+    the key may be free at its first rows (they soon coincide) and reports when
+    the key is free again; a pass over these reports, one for each task, tells
+    each task where its picks begin.
     """
-    second = fields.floor_to(F.col(us), 1_000_000)
-    rows = attempts.withColumn("_second", second)
-    firsts = rows.groupBy(*keys, "_second").agg(F.min(F.struct(us, order)).alias("_first"))
-    walked = (
-        firsts.select(run_key(keys).alias("_key"), *keys, "_second")
-        .repartition("_key")
-        .sortWithinPartitions("_key", "_second")
-    )
-    picked = walked.mapInArrow(_pick_spaced(cooldown_s * 1_000_000), walked.drop("_key").schema)
-    free = join_keys(
-        firsts, picked.withColumn("_free", F.lit(True)), [*keys, "_second"], "inner")
-    marked = join_keys(rows, free, [*keys, "_second"], "left")
-    allowed = F.col("_free") & (F.struct(us, order) == F.col("_first"))
+    if cooldown_us <= 0:
+        raise ValueError("the cooldown must be longer than 0 microseconds")
+    rows = attempts.withColumns({"_key": run_key(keys), "_us": F.col(us)})
+    times = rows.groupBy("_key", "_us").agg(F.min(order).alias("_first"))
+    placed = cut(times.repartitionByRange("_key", "_us").sortWithinPartitions("_key", "_us"))
+    reports = placed.mapInArrow(
+        _reports(cooldown_us),
+        "_task int, _from string, _to string, _one boolean, _until array<bigint>, _free array<bigint>",
+    ).collect()
+    picked = placed.mapInArrow(_picks(cooldown_us, _entries(reports)), placed.schema)
+    marked = rows.join(picked.withColumn("_free", F.lit(True)), ["_key", "_us"], "left")
+    allowed = F.col("_free") & (F.col(order) == F.col("_first"))
     return marked.withColumn(
         "in_cooldown", ~F.coalesce(allowed, F.lit(False))
-    ).drop("_second", "_first", "_free")
+    ).drop("_key", "_us", "_first", "_free")
 
 
 def safety_gate(
@@ -200,16 +266,15 @@ def safety_gate(
     In order: services in ``protected(service)`` are left alone; more than
     ``retry_limit`` attempts of the same action on a service within the window
     are refused; so are attempts within the cooldown, which runs from the last
-    attempt or, with ``cooldown_after="allowed"`` and in whole seconds, from
-    the last attempt the cooldown let pass.
+    attempt or, with ``cooldown_after="allowed"``, from the last attempt the
+    cooldown let pass.
     """
     keys = ["service", "action"]
     attempts = responses.filter("status <> 'no_playbook'").withColumn(
         "us", fields.micros(F.col("created_at"))
     )
     if cooldown_after == "allowed":
-        gated = in_cooldown_of_allowed(
-            attempts, keys, "us", "incident_id", cooldown_us // 1_000_000)
+        gated = in_cooldown_of_allowed(attempts, keys, "us", "incident_id", cooldown_us)
     else:
         gated = in_cooldown(attempts, keys, "us", "incident_id", cooldown_us)
     gated = sliding_count(gated, keys, "us", retry_window_us, "attempts")
@@ -253,21 +318,35 @@ PATTERN = ["error", "service", "action"]
 
 
 def failed_patterns(history: DataFrame, limit: int = 1) -> DataFrame:
-    """Patterns whose action failed at least ``limit`` times."""
-    return (
-        history.groupBy(*PATTERN)
-        .agg(F.count_if(F.col("status") == "failed").alias("failures"))
-        .filter(F.col("failures") >= limit)
-    )
+    """Patterns whose action failed at least ``limit`` times: how often, and when
+    (``failed_us``) it had failed ``limit`` times.
+
+    Failures are counted per time first; their running count is over ranges, so
+    a pattern that fails all the time is spread over tasks.
+    """
+    failed = history.filter("status = 'failed'").groupBy(
+        *PATTERN, fields.micros(F.col("executed_at")).alias("_us")).agg(F.count("*").alias("_n"))
+    counted = with_running_sum(failed, PATTERN, ["_us"], "_n", "_so_far")
+    return counted.filter(F.col("_so_far") >= limit).groupBy(*PATTERN).agg(
+        F.max("_so_far").alias("failures"), F.min("_us").alias("failed_us"))
+
+
+def _after_failures(responses: DataFrame, history: DataFrame, limit: int, how: str) -> DataFrame:
+    """Responses joined with the patterns that had failed before their time."""
+    bad = failed_patterns(history, limit).withColumnsRenamed({c: f"_{c}" for c in PATTERN})
+    same = [F.col(c) == F.col(f"_{c}") for c in PATTERN]
+    late = fields.micros(F.col("created_at")) > F.col("failed_us")
+    return responses.join(bad, [*same, late], how)
 
 
 def suppress_failed(responses: DataFrame, history: DataFrame, limit: int = 1) -> DataFrame:
-    """Planned actions without those that failed before for the same pattern."""
-    return responses.join(failed_patterns(history, limit), PATTERN, "left_anti")
+    """Planned actions without those that had failed ``limit`` times before for
+    the same pattern; later failures, and an attempt's own, do not count."""
+    return _after_failures(responses, history, limit, "left_anti")
 
 
 def suppressed(responses: DataFrame, history: DataFrame, limit: int = 1) -> DataFrame:
-    return responses.join(failed_patterns(history, limit), PATTERN, "inner")
+    return _after_failures(responses, history, limit, "inner").drop(*[f"_{c}" for c in PATTERN])
 
 
 def escalations(responses: DataFrame) -> DataFrame:

@@ -9,6 +9,10 @@ from vigilog.operators import rules as R
 from vigilog.session import dimension
 
 NUMERIC_FIELDS = ("latency_ms", "status", "cpu_percent", "memory_used_mb")
+#: Compared with ``threshold_text``, if the rule table has that column.
+TEXT_FIELDS = ("service_name", "log_level", "message", "trace_id", "client_ip", "version", "reason")
+#: Windowed rules are plans of their own, so there is a limit to their number.
+MAX_WINDOW_RULES = 1000
 COMPARISONS = {
     ">": lambda a, b: a > b,
     ">=": lambda a, b: a >= b,
@@ -16,6 +20,7 @@ COMPARISONS = {
     "<=": lambda a, b: a <= b,
     "=": lambda a, b: a == b,
     "<>": lambda a, b: a != b,
+    "!=": lambda a, b: a != b,
 }
 
 
@@ -25,17 +30,48 @@ def validity(rules: DataFrame) -> DataFrame:
     return rules.withColumn("valid_to", F.lead("valid_from").over(by_version))
 
 
+def _problem(rules: DataFrame) -> Column:
+    """What is wrong with a rule, or null."""
+    text = F.col("threshold_text") if "threshold_text" in rules.columns else F.lit(None).cast("string")
+    field = F.col("field")
+    return (
+        F.when(F.col("event_type").isNull(), "no event_type")
+        .when(field.isNull(), None)
+        .when(~field.isin(*NUMERIC_FIELDS, *TEXT_FIELDS), "unknown field")
+        .when(F.col("op").isNull() | ~F.col("op").isin(*COMPARISONS), "unknown op")
+        .when(field.isin(*NUMERIC_FIELDS) & F.col("threshold").isNull(), "no threshold")
+        .when(field.isin(*TEXT_FIELDS) & text.isNull(), "no threshold_text")
+    )
+
+
+def rejected_rules(rules: DataFrame) -> DataFrame:
+    """Rules that can never be judged, each with its problem."""
+    return rules.withColumn("problem", _problem(rules)).filter("problem is not null")
+
+
+def _checked(rules: DataFrame) -> DataFrame:
+    bad = rejected_rules(rules).select("rule_id", "problem").limit(5).collect()
+    if bad:
+        raise ValueError("invalid rules: " + ", ".join(f"{r.rule_id}: {r.problem}" for r in bad))
+    return rules
+
+
 def evaluate(logs: DataFrame, rules: DataFrame) -> DataFrame:
     """Signals of the table's per-event rules, each event judged by the rule
-    versions in force at its time.
+    versions in force at its time. Invalid rules are an error; see
+    ``rejected_rules``.
 
     An as-of join: equal event type, and the event's time inside the version's
-    validity. A small rule table is broadcast, so events stay where they are.
+    validity. A small rule table is broadcast, so events stay where they are;
+    few event types become a filter of the scan.
     """
-    own = validity(rules.filter("window_s is null")).withColumnsRenamed(
+    own = validity(_checked(rules.filter("window_s is null"))).withColumnsRenamed(
         {"event_type": "rule_event_type", "severity": "rule_severity",
          "version": "rule_version"}
     ).transform(dimension)
+    kinds = [r[0] for r in own.select("rule_event_type").distinct().limit(101).collect()]
+    if len(kinds) <= 100:
+        logs = logs.filter(F.col("event_type").isin(kinds))
     at = F.col("timestamp")
     in_force = (at >= F.col("valid_from")) & (
         F.col("valid_to").isNull() | (at < F.col("valid_to"))
@@ -47,6 +83,14 @@ def evaluate(logs: DataFrame, rules: DataFrame) -> DataFrame:
         *[F.when(F.col("op") == op, holds(value, F.col("threshold")))
           for op, holds in COMPARISONS.items()]
     )
+    shown = fields.number_text(value)
+    if "threshold_text" in rules.columns:
+        text = F.coalesce(
+            *[F.when(F.col("field") == n, F.col(n)) for n in TEXT_FIELDS if n in logs.columns])
+        compared = F.coalesce(compared, *[
+            F.when(F.col("op") == op, holds(text, F.col("threshold_text")))
+            for op, holds in COMPARISONS.items()])
+        shown = F.coalesce(shown, text)
     # A rule without a field matches every event of its type.
     test = F.col("field").isNull() | compared
     pairs = logs.join(
@@ -58,7 +102,7 @@ def evaluate(logs: DataFrame, rules: DataFrame) -> DataFrame:
         F.col("rule_severity").alias("severity"),
         F.col("service_name").alias("service"),
         F.when(F.col("field").isNotNull(),
-               F.create_map("field", fields.number_text(value))).alias("metadata"),
+               F.create_map("field", shown)).alias("metadata"),
         F.col("timestamp").alias("detected_at"),
         "event_id",
         F.lit(None).cast("int").alias("rule_order"),
@@ -77,7 +121,8 @@ def _window_rule(place: int, row: Row) -> R.WindowRule:
         if row["valid_to"] is not None:
             test = test & (at < F.lit(row["valid_to"]))
         if row["field"]:
-            test = test & COMPARISONS[row["op"]](F.col(row["field"]), F.lit(row["threshold"]))
+            limit = row["threshold"] if row["field"] in NUMERIC_FIELDS else row["threshold_text"]
+            test = test & COMPARISONS[row["op"]](F.col(row["field"]), F.lit(limit))
         for name in key:
             test = test & (F.coalesce(F.col(name), F.lit("")) != "")
         return test
@@ -96,7 +141,10 @@ def evaluate_windows(logs: DataFrame, rules: DataFrame) -> DataFrame:
 
     Only the rule rows, which are configuration, come to the driver.
     """
-    rows = validity(rules.filter("window_s is not null")).collect()
+    own = validity(_checked(rules.filter("window_s is not null")))
+    rows = own.limit(MAX_WINDOW_RULES + 1).collect()
+    if len(rows) > MAX_WINDOW_RULES:
+        raise ValueError(f"more than {MAX_WINDOW_RULES} windowed rules")
     found = R.window_signals(logs, *[_window_rule(i, row) for i, row in enumerate(rows)])
     of = F.col("rule_order")
     return found.withColumns(

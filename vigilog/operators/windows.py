@@ -16,13 +16,33 @@ from vigilog.session import cut
 
 
 SEPARATOR = "\u001f"
+_ESCAPE = "\u001e"
 
 
 def run_key(columns: tuple[str, ...] | list[str]) -> Column:
-    """One text key out of zero or more columns."""
-    if not columns:
-        return F.lit("")
-    return F.concat_ws(SEPARATOR, *[F.col(c).cast("string") for c in columns])
+    """One text key out of zero or more columns; ``key_parts`` takes it apart.
+
+    A value is marked by ``=`` and a null by ``-``, so that a null differs from
+    an empty text and stays in its place; a separator in a value is escaped.
+    """
+    parts = []
+    for c in columns:
+        text = F.replace(F.col(c).cast("string"), F.lit(_ESCAPE), F.lit(_ESCAPE + "1"))
+        text = F.replace(text, F.lit(SEPARATOR), F.lit(_ESCAPE + "2"))
+        parts.append(F.coalesce(F.concat(F.lit("="), text), F.lit("-")))
+    return F.concat_ws(SEPARATOR, *parts) if parts else F.lit("")
+
+
+def key_parts(key: Column, columns: tuple[str, ...] | list[str]) -> dict[str, Column]:
+    """The columns of a ``run_key``, as text."""
+    parts = F.split(key, SEPARATOR)
+
+    def value(i: int) -> Column:
+        text = F.replace(F.substring(F.get(parts, i), 2, 1 << 30), F.lit(_ESCAPE + "2"), F.lit(SEPARATOR))
+        text = F.replace(text, F.lit(_ESCAPE + "1"), F.lit(_ESCAPE))
+        return F.when(F.startswith(F.get(parts, i), F.lit("=")), text)
+
+    return {c: value(i) for i, c in enumerate(columns)}
 
 
 # --- count, fire, reset -----------------------------------------------------

@@ -158,8 +158,9 @@ ran AS (
                  THEN 'failed' ELSE 'success' END AS status
   FROM plan),
 bad AS (
-  SELECT error, service, action, count(*) FILTER (status = 'failed') AS failures
-  FROM ran GROUP BY ALL HAVING count(*) FILTER (status = 'failed') >= 5),
+  SELECT error, service, action, count(*) AS failures,
+         list_sort(list(created_us + 60000000))[5] AS failed_us
+  FROM ran WHERE status = 'failed' GROUP BY ALL HAVING count(*) >= 5),
 approvals AS (
   SELECT id AS incident_id, 'rollback' AS action, TRUE AS approved,
          created_us + 180000000 AS decided_us FROM inc WHERE error = 'DEPLOYMENT_FAILURE'
@@ -498,22 +499,21 @@ ORACLES: dict[str, str] = {
         FROM tried""",
     "safety_gate_after_allowed": P_RESP + f"""
         , tried AS (
-          SELECT incident_id, service, action, created_us AS us, created_us // 1000000 AS sec,
+          SELECT incident_id, service, action, created_us AS us,
             count(*) OVER (PARTITION BY service, action ORDER BY created_us
               RANGE BETWEEN {12 * HOUR} PRECEDING AND CURRENT ROW) AS attempts,
-            row_number() OVER (PARTITION BY service, action, created_us // 1000000
-                               ORDER BY created_us, incident_id) AS nth
+            row_number() OVER (PARTITION BY service, action, created_us ORDER BY incident_id) AS nth
           FROM plan),
-        walk(service, action, sec) AS (
-          SELECT service, action, min(sec) FROM tried GROUP BY 1, 2
+        walk(service, action, us) AS (
+          SELECT service, action, min(us) FROM tried GROUP BY 1, 2
           UNION ALL
-          SELECT t.service, t.action, min(t.sec) FROM walk w JOIN tried t
-            ON t.service = w.service AND t.action = w.action AND t.sec >= w.sec + 7200
+          SELECT t.service, t.action, min(t.us) FROM walk w JOIN tried t
+            ON t.service = w.service AND t.action = w.action AND t.us >= w.us + {2 * HOUR}
           GROUP BY 1, 2),
         marked AS (
-          SELECT t.*, NOT (t.nth = 1 AND w.sec IS NOT NULL) AS in_cooldown
+          SELECT t.*, NOT (t.nth = 1 AND w.us IS NOT NULL) AS in_cooldown
           FROM tried t LEFT JOIN walk w
-            ON t.service = w.service AND t.action = w.action AND t.sec = w.sec)
+            ON t.service = w.service AND t.action = w.action AND t.us = w.us)
         SELECT incident_id, service, action, us, in_cooldown,
           CASE WHEN attempts > 3 THEN 'retry_limit' WHEN in_cooldown THEN 'cooldown'
                ELSE 'allowed' END AS decision
@@ -528,12 +528,13 @@ ORACLES: dict[str, str] = {
         FROM actions a LEFT JOIN decided d
           ON a.incident_id = d.incident_id AND a.command = d.action""",
     "failure_suppression": P_RESP + """
-        SELECT incident_id, error, service, action, 'success' AS status FROM plan
-        WHERE (error, service, action) NOT IN (SELECT error, service, action FROM bad)""",
+        SELECT incident_id, error, service, action, 'success' AS status FROM plan p
+        WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE p.error = b.error AND p.service = b.service
+          AND p.action = b.action AND p.created_us > b.failed_us)""",
     "failure_suppressed": P_RESP + """
         SELECT p.error, p.service, p.action, b.failures, count(*) AS held_back
         FROM plan p JOIN bad b ON p.error = b.error AND p.service = b.service
-          AND p.action = b.action GROUP BY 1, 2, 3, 4""",
+          AND p.action = b.action AND p.created_us > b.failed_us GROUP BY 1, 2, 3, 4""",
     "playbook_best_match": P_RESP + """
         , cand(playbook_id, error, lo, hi, priority, action) AS (VALUES
             ('b-1','DB_SLOW_QUERY',1,4,1,'restart_database'),
@@ -597,7 +598,7 @@ ORACLES: dict[str, str] = {
         , trail AS (
           SELECT id AS incident_id, created_us AS us, 'incidents' AS component_name,
                  'created' AS action_performed, lower(signal_severity) AS outcome FROM inc
-          UNION ALL SELECT incident_id, created_us, 'responses', action, status FROM ran
+          UNION ALL SELECT incident_id, created_us + 60000000, 'responses', action, status FROM ran
           UNION ALL SELECT incident_id, decided_us, 'approvals', action,
                  CASE WHEN approved THEN 'approved' ELSE 'denied' END FROM approvals
           UNION ALL SELECT id, changed_us, 'notifications',
@@ -610,11 +611,11 @@ ORACLES: dict[str, str] = {
         FROM trail""",
     "detection_latency_quantiles": P_EVSIG + f"""
         , late AS (
-          SELECT signal_type, (us - us % {HOUR} + {HOUR} - us) // 1000000 AS latency_s FROM evsig)
-        SELECT signal_type, count(*) AS signals, max(latency_s) AS max_s,
-               round(quantile_cont(latency_s, 0.5), 6) AS p50,
-               round(quantile_cont(latency_s, 0.95), 6) AS p95,
-               round(quantile_cont(latency_s, 0.99), 6) AS p99
+          SELECT signal_type, (us - us % {HOUR} + {HOUR} - us) // 1000 AS latency_ms FROM evsig)
+        SELECT signal_type, count(*) AS signals, round(max(latency_ms) / 1000::DOUBLE, 6) AS max_s,
+               round(quantile_cont(latency_ms, 0.5) / 1000::DOUBLE, 6) AS p50,
+               round(quantile_cont(latency_ms, 0.95) / 1000::DOUBLE, 6) AS p95,
+               round(quantile_cont(latency_ms, 0.99) / 1000::DOUBLE, 6) AS p99
         FROM late GROUP BY 1""",
     "log_throughput": P_LOGS + f"""
         SELECT us - us % {HOUR} AS window_start_us, count(*) AS events,

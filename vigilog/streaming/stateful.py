@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from vigilog.operators import rules
+from vigilog.operators import rules, windows
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _OUT = "run_key string, us bigint, event_id string, service_name string"
@@ -99,8 +99,8 @@ def window_signals(logs: DataFrame, rule: rules.WindowRule, lateness: str) -> Da
         )
     )
     # The key's columns again, for the evidence.
-    parts = F.split("run_key", "\u001f")
-    keys = {c: parts[i] for i, c in enumerate(rule.key) if c != "service_name"}
+    parts = windows.key_parts(F.col("run_key"), rule.key)
+    keys = {c: part for c, part in parts.items() if c != "service_name"}
     return rules.window_hits(
         fired.withColumns({"timestamp": F.timestamp_micros("us"), **keys}), rule
     )
