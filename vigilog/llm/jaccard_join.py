@@ -33,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from .common import (
     NOT_SPACE, chunks, components, may_contain, membership, mix, shingles, store, text_bytes, word_hashes,
@@ -171,13 +172,16 @@ def _wanted_sets(docs: DataFrame, known: DataFrame, pairs: DataFrame, size: int,
 
 
 def _posts(reps: DataFrame, max_bits: int) -> DataFrame:
-    """(doc, n, need, short, pos, token): prefixes, for tokens of two sets or more."""
+    """(doc, n, need, short, pos, before, token): prefixes, for tokens of two sets
+    or more; ``before`` counts those in front."""
     tokens = reps.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c"))
     shared = store(tokens.where("c > 1").select("token"), "shared")
     sieve = membership(shared, shared.count(), max_bits)
     columns = ["doc", "n", "need", "short"]
     if sieve is None:
-        return store(reps.select(*columns, F.posexplode("prefix").alias("pos", "token")).join(shared, "token"), "posts")
+        own = reps.select(*columns, F.posexplode("prefix").alias("pos", "token")).join(shared, "token")
+        front = Window.partitionBy("doc").orderBy("pos")  # as long as the prefix
+        return store(own.withColumn("before", F.row_number().over(front) - 1), "posts")
     sent = reps.sparkSession.sparkContext.broadcast(sieve)
 
     def rows(batches):
@@ -189,13 +193,16 @@ def _posts(reps: DataFrame, max_bits: int) -> DataFrame:
             row = np.repeat(np.arange(len(sizes)), sizes)
             pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             keep = may_contain(tokens, sieve) if len(tokens) else np.zeros(0, bool)
-            which = pa.array(row[keep])
+            row = row[keep]
+            before = np.arange(len(row)) - np.searchsorted(row, row)
+            which = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i).take(which) for i in range(4)), pa.array(pos[keep].astype(np.int32)), pa.array(tokens[keep])],
-                [*columns, "pos", "token"])
+                [*(batch.column(i).take(which) for i in range(4)), pa.array(pos[keep].astype(np.int32)),
+                 pa.array(before.astype(np.int32)), pa.array(tokens[keep])],
+                [*columns, "pos", "before", "token"])
 
     return store(reps.select(*columns, "prefix").mapInArrow(
-        rows, "doc long, n int, need int, short int, pos int, token long"), "posts")
+        rows, "doc long, n int, need int, short int, pos int, before int, token long"), "posts")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, size: int, percent: int, small: int) -> DataFrame:
@@ -209,10 +216,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, size: int, pe
     return store(linked.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
 
 
-_SIDES = ["doc", "n", "need", "short", "pos"]
+_SIDES = ["doc", "n", "need", "short", "pos", "before"]
 
 
-def _candidates(met: DataFrame, percent: int) -> DataFrame:
+def _candidates(met: DataFrame, percent: int, counted: bool = True) -> DataFrame:
     """(x, y) of the joined rows a_*, b_* that the bounds and counts let pass."""
     first = "(a_n < b_n or (a_n = b_n and a_doc < b_doc))"
     for c in _SIDES:
@@ -220,10 +227,11 @@ def _candidates(met: DataFrame, percent: int) -> DataFrame:
     needed = f"ceil({percent} * (x_n + y_n) / {100 + percent}.0D - 1e-9)"
     met = met.where(
         f"x_pos < x_short and 100 * x_n >= {percent} * y_n"
-        f" and least(x_pos, y_pos) + 1 + least(x_n - x_pos - 1, y_n - y_pos - 1) >= {needed}")
+        # Common shingles in front are among those that any two sets share.
+        f" and least(x_before, y_before) + 1 + least(x_n - x_pos - 1, y_n - y_pos - 1) >= {needed}")
     pairs = met.groupBy(F.col("x_doc").alias("x"), F.col("y_doc").alias("y")).agg(
         F.count("*").alias("met"), F.first(F.least("x_need", "y_need")).alias("need"))
-    return pairs.where("met >= need").select("x", "y")
+    return (pairs.where("met >= need") if counted else pairs).select("x", "y")
 
 
 def _side(rows: DataFrame, name: str, *more: str) -> DataFrame:
@@ -231,11 +239,16 @@ def _side(rows: DataFrame, name: str, *more: str) -> DataFrame:
 
 
 def _to_pivots(posts: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each row with one pivot of its token, of another component."""
+    """Pairs of each row with one pivot of its token, of another component: the
+    set with the least in front of the token, which edits have changed least."""
+    order = ["pos", "n", "doc"]
     pivots = posts.groupBy("token").agg(
-        F.min(F.struct("comp", *_SIDES)).alias("p"), F.max("comp").alias("hi")).where("p.comp < hi")
+        F.min(F.struct(*order, *[c for c in [*_SIDES, "comp"] if c not in order])).alias("p"),
+        F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     met = _side(posts, "a").join(pivots, "token").where("a_comp != p.comp")
-    return _candidates(met.select(*[f"a_{c}" for c in _SIDES], *[F.col(f"p.{c}").alias(f"b_{c}") for c in _SIDES]), percent)
+    sides = [*[f"a_{c}" for c in _SIDES], *[F.col(f"p.{c}").alias(f"b_{c}") for c in _SIDES]]
+    # A pair meets here for some of its tokens only, so they are not counted.
+    return _candidates(met.select(*sides), percent, counted=False)
 
 
 def _across(posts: DataFrame, percent: int) -> DataFrame:
