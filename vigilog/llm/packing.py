@@ -49,16 +49,40 @@ _workers: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str):
-    """The tokenizer, the ids of the bar and what is remembered, per worker."""
+    """Per worker: the tokenizer; its model for words that are lower-case letters
+    already, which need no normalising and no pattern; the ids of the bar; what
+    is remembered."""
     if path not in _workers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers as before
 
-        tokenizer = Tokenizer.from_file(path)
-        _workers[path] = tokenizer, tokenizer.encode(_BAR, add_special_tokens=False).ids, {"": b""}
+        whole = Tokenizer.from_file(path)
+        plain = Tokenizer(whole.model)
+        plain.pre_tokenizer = before.Sequence(
+            [before.WhitespaceSplit(), before.ByteLevel(add_prefix_space=False, use_regex=False)])
+        _workers[path] = whole, plain, whole.encode(_BAR, add_special_tokens=False).ids, {"": b""}
     return _workers[path]
 
 
+def _letters(word: str) -> bool:
+    """Latin letters alone, whose lower case is as long."""
+    return word.isalpha() and max(word) < "\u0250" and len(word.lower()) == len(word)
+
+
+def _encoded(tokenizer, words: list[str], bar: int) -> dict[str, bytes]:
+    """Ids of words that have no bar, many in one text with bars between them."""
+    made = {}
+    for lo in range(0, len(words), _CALL):
+        part = words[lo : lo + _CALL]
+        ids = np.array(tokenizer.encode_batch_fast([f" {_BAR} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.r_[np.flatnonzero(ids == bar), len(ids)]
+        body, at = ids.tobytes(), 0
+        for word, end in zip(part, ends.tolist()):
+            made[word] = body[4 * at : 4 * end]
+            at = end + 1
+    return made
+
+
 def _parted(stretch: str) -> tuple[str, str]:
     """A stretch without its last marks, and these, if their ids are separate."""
     core = stretch.rstrip(_MARKS)
@@ -68,32 +92,30 @@ def _parted(stretch: str) -> tuple[str, str]:
 
 
 def _learn(new: set[str], path: str) -> dict[str, bytes]:
-    """The ids of new stretches. Many go to the tokenizer as one text, with a
-    bar between them; those that have a bar go alone."""
-    tokenizer, bar, known = _tokenizer(path)
+    """The ids of new stretches."""
+    whole, plain, bar, known = _tokenizer(path)
     parted = {p: _parted(p) for p in new}
     wanted = {x for pair in parted.values() for x in pair} - known.keys()
-    alone = [x for x in wanted if _BAR in x or len(bar) != 1]
-    rest = list(wanted.difference(alone))
-    made = {}
-    if alone:
-        for x, e in zip(alone, tokenizer.encode_batch(alone, add_special_tokens=False)):
-            made[x] = np.array(e.ids, "<u4").tobytes()
-    for lo in range(0, len(rest), _CALL):
-        part = rest[lo : lo + _CALL]
-        ids = np.array(tokenizer.encode(f" {_BAR} ".join(part), add_special_tokens=False).ids, "<u4")
-        ends = np.r_[np.flatnonzero(ids == bar[0]), len(ids)]
-        body, at = ids.tobytes(), 0
-        for x, end in zip(part, ends.tolist()):
-            made[x] = body[4 * at : 4 * end]
-            at = end + 1
+    alone = {x for x in wanted if _BAR in x} if len(bar) == 1 else wanted
+    made = {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(
+        alone, whole.encode_batch_fast(list(alone), add_special_tokens=False))}
+    rest = wanted - alone
+    # The plain way is for a vocabulary that puts all into lower case.
+    lower = {x: x.lower() for x in rest if _letters(x)} if _is_lower(whole) else {}
+    words = _encoded(plain, list(set(lower.values())), bar[0])
+    made.update((x, words[w]) for x, w in lower.items())
+    made.update(_encoded(whole, [x for x in rest if x not in lower], bar[0]))
     known.update((x, ids) for x, ids in made.items() if len(x) <= _LONG)
     return {p: (made[c] if c in made else known[c]) + (made[t] if t in made else known[t]) for p, (c, t) in parted.items()}
 
 
+def _is_lower(tokenizer) -> bool:
+    return tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str("AÉ") == "aé"
+
+
 def _ids(texts: list[str], path: str, end: int):
     """The ids of each text as little-endian unsigned 32-bit bytes."""
-    known = _tokenizer(path)[2]
+    known = _tokenizer(path)[3]
     tail = np.array([end], "<u4").tobytes()
     for lo in range(0, len(texts), _TEXTS):
         parts = [t.replace("\n", " ").split(" ") for t in texts[lo : lo + _TEXTS]]
