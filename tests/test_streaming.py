@@ -65,6 +65,38 @@ def test_keyed_state_equals_batch(spark, make_logs, tmp_path, seed):
     assert {r.metadata["ip"] for r in got.collect()} <= {"1.1.1.1", "2.2.2.2", "3.3.3.3"}
 
 
+def test_end_mark_gives_out_what_is_in_state(spark, make_logs, tmp_path):
+    rng = random.Random(5)
+    rows = logins(rng, 120, 900)
+    path, marks, root = (str(tmp_path / x) for x in ("in", "marks", "out"))
+    spread(make_logs, path, rows, 3, 0, rng)
+    rule = rules.brute_force_rule(4, 60)
+
+    def run():
+        logs = pipeline.with_end_marks(stream(spark, path), marks)
+        pipeline.append(stateful.window_signals(logs, rule, "10 minutes"), root, "signals").awaitTermination()
+        return ids(spark.read.parquet(f"{root}/signals"))
+
+    want = ids(rules.window_signals(make_logs(rows), rule))
+    assert len(run()) < len(want)
+    pipeline.end_mark(spark, stream(spark, path).schema, marks, event_type=rule.event_type, client_ip="end", timestamp=pipeline.END)
+    assert run() == want
+
+
+def test_detect_counts_rules_without_a_key_in_steps(spark, make_logs, tmp_path):
+    rng = random.Random(6)
+    rows = errors(rng, 150, 900)
+    path, root = str(tmp_path / "in"), str(tmp_path / "out")
+    spread(make_logs, path, rows, 3, 0, rng)
+    rule = rules.error_spike_rule(5, 30)
+    for query in pipeline.detect(stream(spark, path), root, "10 minutes", [rule]):
+        query.awaitTermination()
+    own = f"{root}/windows_{rule.signal_type.lower()}"
+    want = ids(rules.window_signals(make_logs(rows), rule))
+    early, late = (ids(df) for df in (incremental.read_signals(spark, own), incremental.remaining_signals(spark, own, rule)))
+    assert sorted(early + late) == want and late
+
+
 @pytest.mark.parametrize("seed, key", [(1, ()), (2, ("client_ip",))])
 def test_incremental_equals_batch(spark, make_logs, tmp_path, seed, key):
     rng = random.Random(seed)
@@ -209,13 +241,40 @@ def test_replaced_file_is_read_from_its_start(spark, tmp_path):
     assert ("a.log", "new") in tail(spark, directory, out)
 
 
+def lines_of(reader, start, end):
+    return [v for span in reader.partitions(start, end) for batch in reader.read(span) for v in batch.column(0).to_pylist()]
+
+
+def test_rotation(tmp_path):
+    reader = LogTailReader({"path": str(tmp_path)})
+    log = tmp_path / "a.log"
+    log.write_bytes(b"one\n")
+    first = reader.latestOffset()
+    assert lines_of(reader, reader.initialOffset(), first) == ["one"]
+    # Replaced by a longer file; both of the old number and of the new are told apart.
+    log.rename(tmp_path / "a.log.1")
+    log.write_bytes(b"a much longer first line\nsecond\n")
+    second = reader.latestOffset()
+    assert lines_of(reader, first, second) == ["a much longer first line", "second"]
+    # Renamed, or gone, between planning and reading.
+    with open(log, "ab") as file:
+        file.write(b"third\n")
+    third = reader.latestOffset()
+    log.rename(tmp_path / "a.log.2")
+    assert lines_of(reader, second, third) == ["third"]
+    (tmp_path / "a.log.2").unlink()
+    assert lines_of(reader, second, third) == []
+    # A new reader after a restart goes on from the stored offset.
+    assert json.loads(LogTailReader({"path": str(tmp_path)}).latestOffset()["files"]) == {}
+
+
 @pytest.mark.parametrize("split", [1, 2, 5, 7, 1000])
 def test_pieces_cover_each_line_once(tmp_path, split):
     text = b"a\n\nbbb\ncc\r\nddddddddd\ne\ntail without end"
     (tmp_path / "x.log").write_bytes(text)
     reader = LogTailReader({"path": str(tmp_path), "splitBytes": str(split)})
     spans = reader.partitions(reader.initialOffset(), reader.latestOffset())
-    lines = [value for span in spans for value, _ in reader.read(span)]
+    lines = [value for span in spans for batch in reader.read(span) for value in batch.column(0).to_pylist()]
     assert lines == ["a", "", "bbb", "cc", "ddddddddd", "e"]
 
 

@@ -624,24 +624,21 @@ ORACLES: dict[str, str] = {
         FROM logs GROUP BY 1""",
 }
 
-# Streams give out what their watermark has passed: the newest row they count,
-# less one hour, in whole milliseconds.
+ORACLES["audit_report"] = ORACLES["audit_trail"]
+
+# Streams are run to their end, so they equal the batch queries.
 ORACLES |= {
     "stream_processed_counts": ORACLES["severity_counts"],
     "stream_signals": P_EVSIG + """
         SELECT signal_id, signal_type, severity, service, us FROM evsig""",
     "stream_bruteforce": _with(LOGS, BRUTE) + f"""
-        SELECT event_id, service_name AS service, us, client_ip AS ip FROM brute
-        WHERE us < (SELECT (max(us) - {HOUR}) // 1000 * 1000 FROM brute_rows)""",
+        SELECT event_id, service_name AS service, us, client_ip AS ip FROM brute""",
     "stream_error_spike": _with(LOGS, SPIKE) + f"""
-        SELECT event_id, service_name AS service, us FROM spike
-        WHERE us <= (SELECT max(us) - {HOUR} FROM spike_rows)""",
+        SELECT event_id, service_name AS service, us FROM spike""",
     "stream_error_rates": _with(LOGS, RATES) + f"""
-        SELECT service_name, window_start_us, events, errors FROM rates
-        WHERE window_start_us + {HOUR} <= (SELECT (max(us) - {HOUR}) // 1000 * 1000 FROM logs)""",
+        SELECT service_name, window_start_us, events, errors FROM rates""",
     "stream_incident_sessions": _with(LOGS, EVENT_SIGNALS, GROUPS.replace("FROM sig", "FROM evsig")) + f"""
-        SELECT service, error, created_us, occurrence_count FROM sessions
-        WHERE updated_us + {HOUR} <= (SELECT (max(us) - {HOUR}) // 1000 * 1000 FROM evsig)""",
+        SELECT service, error, created_us, occurrence_count FROM sessions""",
     "stream_stage_tables": _with(LOGS, LINES) + """
         , kept AS (
           SELECT *, CASE WHEN event_type = 'deployment.failed' THEN 'HIGH'

@@ -580,11 +580,20 @@ def notifications_count(spark, sf_dir):
     return notify.sent_count(_notices_about_logs(spark, sf_dir))
 
 
-def audit_trail(spark, sf_dir):
+def _trail(spark, sf_dir):
     opened = signal_incidents(spark, sf_dir, stored=True)
     notices = notify.lifecycle_notices(inc.status_changes(opened, updates(opened)))
-    trail = audit.audit_trail(opened, executed(opened), _approvals(opened), notices)
-    return trail.select(
+    return audit.audit_trail(opened, executed(opened), _approvals(opened), notices)
+
+
+def audit_trail(spark, sf_dir):
+    return _trail(spark, sf_dir).select(
+        "audit_id", "incident_id", us("timestamp"), "component_name", "action_performed",
+        "outcome")
+
+
+def audit_report(spark, sf_dir):
+    return audit.report(_trail(spark, sf_dir)).select(
         "audit_id", "incident_id", us("timestamp"), "component_name", "action_performed",
         "outcome")
 
@@ -619,7 +628,7 @@ BATCH = {
         incident_trend_daily, top_services, responses, playbook_coverage, action_plan_steps,
         safety_gate, safety_gate_after_allowed, approval_gate, failure_suppression, failure_suppressed,
         playbook_best_match, escalations, execution_results, notifications_routed, notification_messages,
-        notifications_rejected, notifications_count, audit_trail,
+        notifications_rejected, notifications_count, audit_trail, audit_report,
         detection_latency_quantiles, log_throughput,
     )
 }

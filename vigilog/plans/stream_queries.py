@@ -24,6 +24,21 @@ def _table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{root}/out")
 
 
+def _to_the_end(spark: SparkSession, rows: DataFrame, build, name: str, **mark) -> DataFrame:
+    """The table of ``build(rows)`` after all rows and the end mark."""
+    root = scratch(spark, name)
+    marks = f"{root}/marks"
+
+    def run() -> DataFrame:
+        df = build(pipeline.with_end_marks(rows, marks))
+        pipeline.append(df, root, "out").awaitTermination()
+        return df
+
+    run()
+    pipeline.end_mark(spark, rows.schema, marks, **mark)
+    return spark.read.schema(run().schema).parquet(f"{root}/out")
+
+
 def stream_processed_counts(spark, sf_dir):
     done = process.process_logs(_logs(spark, sf_dir)).select("normalized_type", "severity")
     return _table(spark, done, "processed").groupBy("normalized_type", "severity").agg(
@@ -37,30 +52,36 @@ def stream_signals(spark, sf_dir):
 
 
 def stream_bruteforce(spark, sf_dir):
-    """Keyed state; rows of the last hour wait for the watermark."""
+    """Keyed state, with an end mark after the last row."""
     rule = rules.brute_force_rule(**BRUTE)
-    found = stateful.window_signals(_logs(spark, sf_dir), rule, "1 hour")
-    return _table(spark, found, "bruteforce").select(
-        "event_id", "service", us("detected_at"), F.col("metadata")["ip"].alias("ip"))
+    found = _to_the_end(
+        spark, _logs(spark, sf_dir), lambda logs: stateful.window_signals(logs, rule, "1 hour"), "bruteforce",
+        event_type=rule.event_type, client_ip="end", timestamp=pipeline.END)
+    return found.select("event_id", "service", us("detected_at"), F.col("metadata")["ip"].alias("ip"))
 
 
 def stream_error_spike(spark, sf_dir):
     """One count over the whole stream, without a single-task state."""
     root = scratch(spark, "spike")
     rule = rules.error_spike_rule(**SPIKE)
-    incremental.window_signals(_logs(spark, sf_dir), rule, root, HOUR_US).awaitTermination()
-    return incremental.read_signals(spark, root).select(
-        "event_id", "service", us("detected_at"))
+    for query in pipeline.detect(_logs(spark, sf_dir), root, "1 hour", [rule]):
+        query.awaitTermination()
+    own = f"{root}/windows_{rule.signal_type.lower()}"
+    found = incremental.read_signals(spark, own).unionByName(incremental.remaining_signals(spark, own, rule))
+    return found.select("event_id", "service", us("detected_at"))
 
 
 def stream_error_rates(spark, sf_dir):
-    rates = pipeline.error_rates(_logs(spark, sf_dir), "1 hour", "1 hour")
-    return _table(spark, rates, "rates")
+    return _to_the_end(
+        spark, _logs(spark, sf_dir), lambda logs: pipeline.error_rates(logs, "1 hour", "1 hour"), "rates",
+        timestamp=pipeline.END)
 
 
 def stream_incident_sessions(spark, sf_dir):
     found = rules.event_signals(_logs(spark, sf_dir))
-    return _table(spark, pipeline.incident_sessions(found, "1 hour", "1 hour"), "sessions")
+    return _to_the_end(
+        spark, found, lambda signals: pipeline.incident_sessions(signals, "1 hour", "1 hour"), "sessions",
+        service="end", detected_at=pipeline.END)
 
 
 def stream_stage_tables(spark, sf_dir):

@@ -50,7 +50,9 @@ def step(
     latest = new.agg(F.max("us")).first()[0]
     horizon = before_us
     if latest is not None:
-        horizon = max(latest - lateness_us, before_us if before_us is not None else 0)
+        horizon = latest - lateness_us
+        if before_us is not None:
+            horizon = max(horizon, before_us)
     if horizon is None:
         return rows.filter(F.lit(False)), rows, late, horizon
     fired = windows.emit_and_reset(
@@ -96,7 +98,7 @@ def window_signals(
         signals.write.mode("overwrite").parquet(f"{root}/signals/batch={batch_id}")
         late.write.mode("overwrite").parquet(f"{root}/late/batch={batch_id}")
         still.write.mode("overwrite").parquet(f"{root}/open/slot={new}")
-        spark.createDataFrame([(horizon,)], "us bigint").write.mode("overwrite").parquet(
+        spark.createDataFrame([(horizon, batch_id)], "us bigint, batch bigint").write.mode("overwrite").parquet(
             f"{root}/horizon/slot={new}"
         )
 
@@ -109,5 +111,21 @@ def window_signals(
     )
 
 
+def remaining_signals(spark: SparkSession, root: str, rule: rules.WindowRule) -> DataFrame | None:
+    """Signals among the open rows, as if no more rows came; None before the
+    first micro-batch. Changes nothing, so the stream may go on."""
+    marks = []
+    for slot in (0, 1):
+        mark = _read(spark, f"{root}/horizon/slot={slot}")
+        if mark is not None:
+            marks.append((mark.first()["batch"], slot))
+    if not marks:
+        return None
+    rows = _read(spark, f"{root}/open/slot={max(marks)[1]}")
+    fired = windows.emit_and_reset(
+        rows, "run_key", "us", "event_id", rule.count, rule.window_us, stored=True)
+    return rules.window_hits(fired, rule)
+
+
 def read_signals(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/signals").drop("batch")

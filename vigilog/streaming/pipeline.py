@@ -7,12 +7,15 @@ restarted query neither loses nor repeats rows.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructField, StructType
 
 from vigilog.operators import anomaly, incidents, notify, parse, process, respond, rules
 from vigilog.functions import fields
-from vigilog.streaming import stateful
+from vigilog.streaming import incremental, stateful
 
 BACKFILL = {"availableNow": True}
 EVERY_SECOND = {"processingTime": "1 second"}
@@ -31,6 +34,31 @@ def append(df: DataFrame, root: str, table: str, trigger: dict | None = None) ->
     )
 
 
+END = datetime(2200, 1, 1, tzinfo=timezone.utc)  # pandas counts to 2262
+
+
+def with_end_marks(rows: DataFrame, folder: str) -> DataFrame:
+    """A stream with the rows of ``folder`` beside its own, for ``end_mark``."""
+    spark, schema = rows.sparkSession, _nullable(rows.schema)
+    # An empty table, so that the folder is there before the first mark.
+    spark.createDataFrame([], schema).write.mode("append").parquet(folder)
+    return rows.unionByName(spark.readStream.schema(schema).parquet(folder))
+
+
+def _nullable(schema: StructType) -> StructType:
+    return StructType([StructField(f.name, f.dataType) for f in schema])
+
+
+def end_mark(spark: SparkSession, schema: StructType, folder: str, **values) -> None:
+    """Tells a stream that no more rows come: one row of the far future that
+    takes the watermark past all others, so that the next run gives out what is
+    in state. ``values`` give it a key of its own and make it pass the filters
+    before the watermark; it stays in state itself and is never given out.
+    """
+    row = tuple(values.get(f.name) for f in schema)
+    spark.createDataFrame([row], _nullable(schema)).write.mode("append").parquet(folder)
+
+
 def follow(spark: SparkSession, root: str, table: str, max_files: int | None = None) -> DataFrame:
     """A stage table as a stream, from its first row."""
     path = f"{root}/{table}"
@@ -64,15 +92,20 @@ def detect(
     windowed: list[rules.WindowRule] | None = None,
     trigger: dict | None = None,
 ) -> list[StreamingQuery]:
-    """One query for the per-event rules and one per windowed rule, each with
-    its own signals table ``signals_<rule>``."""
+    """One query for the per-event rules, into ``signals_events``, and one for
+    each windowed rule: a rule with a key counts in keyed state, into
+    ``signals_<rule>``; one without a key would be a single state, so it runs as
+    small batch jobs, into ``windows_<rule>/signals``."""
     windowed = rules.window_rules() if windowed is None else windowed
     queries = [append(emitted(rules.event_signals(logs)), root, "signals_events", trigger)]
     for rule in windowed:
-        found = stateful.window_signals(logs, rule, lateness)
-        queries.append(
-            append(emitted(found), root, f"signals_{rule.signal_type.lower()}", trigger)
-        )
+        name = rule.signal_type.lower()
+        if rule.key:
+            found = stateful.window_signals(logs, rule, lateness)
+            queries.append(append(emitted(found), root, f"signals_{name}", trigger))
+        else:
+            late = logs.sparkSession.sql(f"SELECT unix_micros(TIMESTAMP '1970-01-01' + INTERVAL {lateness})").first()[0]
+            queries.append(incremental.window_signals(logs, rule, f"{root}/windows_{name}", late, trigger))
     return queries
 
 
