@@ -52,7 +52,7 @@ def check(make_docs, items, size=3, percent=90, **more):
 
 
 def test_equals_brute_force(make_docs):
-    for seed in range(3):
+    for seed in range(2):
         items = list(enumerate(texts(seed)))
         random.Random(seed).shuffle(items)
         check(make_docs, items)

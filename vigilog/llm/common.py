@@ -236,7 +236,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges = store(edges.where("a != b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
-    for _ in range(rounds):
+    for _ in range(rounds if edges.take(1) else 0):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -250,6 +250,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         seen = state
     else:
-        raise RuntimeError("components have not settled")
+        if seen is not None:
+            raise RuntimeError("components have not settled")
     stars = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return stars.union(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
