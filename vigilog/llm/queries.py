@@ -51,10 +51,14 @@ URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's labels are those of the document of its id."""
+    """A page's label is that of the document its URL names, the number that ends
+    its path."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
     bad = F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False))
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.cast("int").alias("label"))
-    return url_filter.judge(table(spark, sf_dir, "pages"), labels, URL_RULES)
+    labels = table(spark, sf_dir, "labels").select("doc_id", bad.cast("int").alias("label"))
+    named = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^?#]*/(\d{1,18})(?:\.html)?/?(?:[?#]|$)", 1)
+    of = pages.select("page_id", named.try_cast("bigint").alias("doc_id"))
+    return url_filter.judge(pages, of.join(labels, "doc_id").select("page_id", "label").distinct(), URL_RULES)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
