@@ -27,6 +27,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from vigilog.functions.fields import once
+
 from .common import store
 
 _SPACE = " \t\n\x0b\f\r"
@@ -128,7 +130,8 @@ def judged(
     out = out.withColumn("base_failed", failed)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     result = F.struct(*names, (~F.col("base_failed") & (F.col("_ratio") >= threshold)).alias("kept"), F.col("_ratio").alias("ratio"))
-    return out.select("_row.*", result.alias(RESULT))
+    # Generated, so that a filter on the verdict is not copied below the steps above.
+    return out.select("_row", once(result).alias(RESULT)).select("_row.*", RESULT)
 
 
 def _table(rows: DataFrame, cells: int) -> DataFrame:
