@@ -45,6 +45,8 @@ def test_repeated_branches_of_a_site_go(spark):
     for r in rows:
         assert r.text.startswith(f"Story {r.page_id} begins.") and r.text.endswith(f"Ends {r.page_id}.")
         assert "Home" not in r.text and "Imprint" not in r.text and r.n_chars == len(r.text)
+    joined = extract(spark.createDataFrame(site(8), PAGES), small=0).collect()
+    assert sorted(map(tuple, joined)) == sorted(map(tuple, rows))
     # Too few pages to tell: nothing is cut.
     assert all("Imprint" in r.text for r in extract(spark.createDataFrame(site(2), PAGES)).collect())
 

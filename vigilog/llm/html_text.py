@@ -33,11 +33,10 @@ import math
 import re
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
+from .common import store
 from .url_filter import parts
 
 # Element names of the HTML standard by what they mean here.
@@ -224,13 +223,21 @@ def main_text(page: str | None, cut: frozenset | set = frozenset()) -> str:
     return "\n\n".join(out)
 
 
-def extract(pages: DataFrame, mix: float = 0.9, threshold: float = 0.2, min_pages: int = 3) -> DataFrame:
-    """page_id, url, text and n_chars of every page (page_id, url, html)."""
+def extract(
+    pages: DataFrame, mix: float = 0.9, threshold: float = 0.2, min_pages: int = 3, small: int = 200_000,
+) -> DataFrame:
+    """page_id, url, text and n_chars of every page (page_id, url, html).
+
+    Up to ``small`` nodes to cut (some 100 bytes each) are sent to the pages as
+    they are; beyond that pages and nodes are joined by host.
+    """
     rows = pages.select("page_id", "url", parts()[0].alias("host"), "html")
     tree = style_tree(rows, mix)
     low = tree.where((F.col("importance") < threshold) & (F.col("pages") >= min_pages) & (F.col("node") != ""))
     low = low.where("node not like '%/body' and node not like '%/html'")
-    low = low.groupBy("host").agg(F.collect_set("node").alias("cut"))
+    low = store(low.groupBy("host").agg(F.collect_set("node").alias("cut")), "nodes")
+    if (low.agg(F.sum(F.size("cut"))).first()[0] or 0) <= small:
+        low = F.broadcast(low)
 
     def texts(batches):
         for batch in batches:
