@@ -85,3 +85,44 @@ def test_no_labels_clashes_repeats_and_empty(spark, make_docs):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 1]
     assert report(make_docs([]), none).count() == 0
     assert weights(make_docs([]), none.select("doc_id"), 64, 1.0).count() == 0
+
+
+def lowest(weight, words, stretch=64, strong=-1.0):
+    sums = [sum(w for w in map(weight.get, words[k : k + stretch]) if w < strong) for k in range(0, max(1, len(words)), stretch // 2)]
+    return min(sums) / stretch
+
+
+def test_few_toxic_words_in_long_clean_prose(spark, make_docs):
+    rng = random.Random(5)
+    vocabulary, insults = [f"w{k}" for k in range(200)], [f"insult{k}" for k in range(5)]
+    prose = lambda n: rng.choices(vocabulary, k=n)
+    items = [(i, prose(60)) for i in range(400)]
+    items += [(1000 + i, prose(100) + rng.sample(insults, 5) + prose(100)) for i in range(60)]
+    # Held out: the same long prose without, with a few together, and with one here and there.
+    long = prose(3000)
+    apart = list(long)
+    apart[200::900] = insults[:4]
+    items += [(2000, long), (2001, long[:1490] + insults + long[1495:]), (2002, long[:2995] + insults), (2003, apart)]
+    items += [(2004, prose(20)), (2005, prose(15) + insults)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(400)] + [(1000 + i, 1, 1) for i in range(30)], LABELS)
+    rows = {r.doc_id: r for r in report(make_docs([(i, " ".join(ws)) for i, ws in items]), labels).collect()}
+    raw, own = Counter(), Counter()
+    for i, ws in items:
+        raw.update(ws)
+        own.update(ws if i < 400 else ())
+    grams = lambda keep: sum(max(0, 2 * len(ws) - 1) for i, ws in items if keep(i))
+    scale = grams(lambda i: i < 400) / grams(lambda i: True)
+    weight = {w: math.log((own[w] + 10) / (scale * raw[w] + 10)) for w in raw}
+    for i, ws in items:
+        assert abs(rows[i].lowest - lowest(weight, ws)) < 1e-9
+    assert all(rows[i].ratio >= -0.1 and not rows[i].base_failed for i in range(2000, 2005))
+    assert [rows[i].kept for i in range(2000, 2006)] == [True, False, False, True, True, False]
+    assert not any(rows[1000 + i].kept for i in range(60)) and all(rows[i].kept for i in range(400))
+
+
+def test_weights_stay_one_subquery(spark, make_docs):
+    labels = spark.createDataFrame([(1, 1, 0)], LABELS)
+    found = report(make_docs(fixture()), labels, cells=64)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedSubquery" in plan or len(re.findall(r"Subquery subquery#", plan)) <= 1

@@ -14,6 +14,12 @@ is expected says nothing, whatever the size of the corpus. Of the trusted the ``
 their ids (8 bytes each) can be broadcast. A document stays if its ratio is at
 least ``threshold``; nothing is drawn at random.
 
+A few bad words do not move the ratio of a long text, so it is judged by its worst
+stretch too: of ``stretch`` words from each ``stretch / 2``-th on, the weights of
+words below ``strong`` are summed, over ``stretch``; the lowest sum has to be at
+least ``low``. Words that stand near each other are so judged alike in a text of
+any length.
+
 Everything is DataFrame functions. A document's n-grams are counted where it is
 read, the shuffle has at most ``cells`` rows a task, and the weights (8 bytes a
 cell) come back as a scalar subquery; documents are never shuffled.
@@ -93,11 +99,22 @@ def _repeated(windows: Column) -> Column:
             F.lit(0), lambda a, x: a + x))
 
 
+def _lowest(word_weights: Column, stretch: int, strong: float) -> Column:
+    """The lowest of the stretches' sums of strongly negative weights, over ``stretch``."""
+    return F.get(
+        F.transform(F.array(word_weights), lambda every: F.array_min(F.transform(
+            F.sequence(F.lit(0), F.greatest(F.size(every) - 1, F.lit(0)), F.lit(max(1, stretch // 2))),
+            lambda start: F.aggregate(
+                F.slice(every, start + 1, stretch), F.lit(0.0), lambda a, w: a + F.when(w < strong, w).otherwise(0.0))))),
+        F.lit(0)) / stretch
+
+
 def judged(
     docs: DataFrame, labels: DataFrame, min_words: int = 20, max_repeat_percent: int = 30,
     cells: int = 1 << 17, smooth: float = 10.0, max_trusted: int = 20_000, threshold: float = -0.1,
+    stretch: int = 64, strong: float = -1.0, low: float = -0.075,
 ) -> DataFrame:
-    """``docs`` with the struct ``_quality``: the counts, ratio and verdicts."""
+    """``docs`` with the struct ``_quality``: the counts, ratio, lowest stretch and verdicts."""
     trusted = (
         labels.where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
@@ -121,15 +138,20 @@ def judged(
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("_windows")) == F.size("_windows"), F.lit(0))
         .otherwise(_repeated(F.col("_windows"))).cast("long").alias("n_repeat_words"))
-    # The optimizer puts the subquery into the sum, so the weights are no part of any row.
+    # The optimizer puts the subquery into the sums, so the weights are no part of any
+    # row; it does so only for a column used once, so there is one for each.
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     total = F.aggregate("_cells", F.lit(0.0), lambda a, c: a + F.get("_weight", c))
-    out = out.withColumn("_weight", weight).select(
-        "_row", *base, (total / F.greatest(F.size("_cells"), F.lit(1))).alias("_ratio"))
+    n = F.shiftright(F.size("_cells") + 1, 1)  # the words; the rest are their pairs
+    words = F.transform(F.slice("_cells", F.lit(1), n), lambda c: F.get("_weight_of_word", c))
+    out = out.withColumns({"_weight": weight, "_weight_of_word": weight}).select(
+        "_row", *base, (total / F.greatest(F.size("_cells"), F.lit(1))).alias("_ratio"),
+        _lowest(words, stretch, strong).alias("_lowest"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    result = F.struct(*names, (~F.col("base_failed") & (F.col("_ratio") >= threshold)).alias("kept"), F.col("_ratio").alias("ratio"))
+    good = ~F.col("base_failed") & (F.col("_ratio") >= threshold) & (F.col("_lowest") >= low)
+    result = F.struct(*names, good.alias("kept"), F.col("_ratio").alias("ratio"), F.col("_lowest").alias("lowest"))
     # Generated, so that a filter on the verdict is not copied below the steps above.
     return out.select("_row", once(result).alias(RESULT)).select("_row.*", RESULT)
 
