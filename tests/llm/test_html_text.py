@@ -75,3 +75,22 @@ def test_nulls_clashes_and_empty(spark):
     assert sorted((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in rows) == [
         (0, "no host", "", 0), (1, "", "x", 1), (1, "", "x", 1), (2, "http://h/", "", 0)]
     assert extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_wrappers_named_by_a_layout_keep_their_article(spark):
+    story = "<article><p>Whole story</p></article>"
+    for around in ('<div id="content-sidebar-wrap">{}</div>', '<div class="has-sidebar">{}</div>', '<div class="sidebar">{}</div>',
+                   '<div class="promo">{}</div>', '<form id="aspnetForm">{}</form>', '<header>{}</header>', '<div class="related"><main>{}</main></div>'):
+        assert main_text(page(around.format(story))) == "Whole story", around
+        assert main_text(page(f"<main>{around.format(story)}</main>")) == "Whole story", around
+    for around in ("<nav>{}</nav>", "<aside>{}</aside>", "<footer>{}</footer>", '<div id="comments">{}</div>', '<div class="promo"><nav>{}</nav></div>'):
+        assert main_text(page(around.format(story))) == "", around
+    assert main_text(page(
+        '<article><div class="article-header"><h1>Title</h1></div><div class="header">By me</div><section id="related-work"><p>Earlier</p></section>'
+        '<div class="notice-board">Board</div><div class="sidebar">x</div><form>y</form></article>')) == "Title\n\nBy me\n\nEarlier\n\nBoard"
+
+
+def test_forms_and_layout_words_are_judged_by_the_style_tree(spark):
+    body = '<form><div class="sidebar"><p>Links</p></div><div class="main-widget widget"><p>Story {0} begins.</p><p>Ends {0}.</p></div></form>'
+    rows = extract(spark.createDataFrame([(i, f"http://f.test/{i}", page(body.format(i))) for i in range(8)], PAGES)).collect()
+    assert {r.page_id: r.text for r in rows} == {i: f"Story {i} begins.\n\nEnds {i}." for i in range(8)}

@@ -13,9 +13,13 @@ their tags and classes. Two importances are kept for each node:
 They are mixed as ``(1 - g**l) * presentation + g**l * content`` for ``l`` styles.
 Branches below ``threshold`` are cut from each page, if their node is on at least
 ``min_pages`` pages. Some elements say what they are, which fixes their
-importance: ``article`` and ``main`` stay; menus, headers, footers, asides, forms,
-dialogs and what is classed as such (see ``_NOISE``) go, also inside them (a header
-inside an article is its own).
+importance: ``article`` and ``main`` stay; menus, headers, footers, asides and
+dialogs go, also inside them (a header inside an article is its own), as does what
+is classed with a whole word for what differs from page to page, so that a style
+tree cannot tell it (see ``_NOISE``: ads, comments, sharing). Words for parts of a
+layout (``_LAYOUT``) and forms, which may be around a whole page, are left to the
+style tree; inside an article some of them go. An article inside what only a word
+cuts stays, but not inside comments and related stories, where only ``main`` does.
 
 Counts are summed per host and node from partial counts, so a host of any size
 is no single group; what goes back to the pages is the list of a host's nodes to
@@ -51,12 +55,17 @@ _CLOSES_P = frozenset(
 _ITEMS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("ul ol dl table article main section div body nav".split())
 _MAIN = frozenset(("article", "main"))
-_NOISE_TAGS = frozenset("nav footer aside form dialog menu head".split())
-#: Words in class, id or role that say a branch is no main text.
+_NOISE_TAGS = frozenset("nav footer aside dialog menu head".split())
+#: Whole words of class, id or role that say a branch is no main text.
 _NOISE = frozenset(
-    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer "
-    "gdpr header menu modal nav navbar navigation newsletter notice notices popup promo related share sharing sidebar social "
-    "sponsor sponsored subscribe widget".split())
+    "ad ads advert advertisement adverts comment comments consent cookie cookies cookie-banner cookie-consent cookie-notice disqus "
+    "gdpr newsletter popup promo related share sharing social sponsor sponsored subscribe".split())
+#: Those whose articles are others'.
+_OTHERS = frozenset("comment comments disqus related".split())
+#: Words of a layout; inside an article they are no main text either.
+_LAYOUT = frozenset("breadcrumb breadcrumbs footer menu nav navbar navigation sidebar widget".split())
+#: What comes back inside a branch that is cut.
+_BACK = {"gone": frozenset(), "others": frozenset(("main",)), "cut": _MAIN}
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
@@ -134,14 +143,23 @@ def read(page: str) -> tuple[list[tuple[str, tuple[_Node, ...]]], list[_Node]]:
         css = ".".join(sorted((css.group(1) or css.group(2) or css.group(3) or "").lower().split())) if css else ""
         named = set()
         for n in _NAMES.findall(attributes):
-            named.update(re.split(r"[^a-z0-9]+", "".join(n).lower()))
+            named.update("".join(n).lower().split())
         state = parent.state
-        if state != "cut":
-            inside = any(n.tag in _MAIN for n in stack)
-            if name in _NOISE_TAGS or (name not in _MAIN and name not in ("html", "body") and named & _NOISE) or (name == "header" and not inside):
-                state = "cut"
-            elif name in _MAIN:
+        if state in _BACK:
+            if name in _BACK[state]:
                 state = "kept"
+            elif name in _NOISE_TAGS:
+                state = "gone"
+        elif name in _NOISE_TAGS:
+            state = "gone"
+        elif name in _MAIN:
+            state = "kept"
+        elif name not in ("html", "body"):
+            inside = state == "kept"
+            if named & _OTHERS:
+                state = "others"
+            elif named & _NOISE or (name == "header" and not inside) or (inside and (name == "form" or named & _LAYOUT)):
+                state = "cut"
         label = f"{name}.{css}" if css else name
         if not parent.children or parent.children[-1] != label:
             parent.children.append(label)
@@ -177,7 +195,7 @@ def _observed(pages: DataFrame) -> DataFrame:
                 for text, around in blocks:
                     for node in reversed(around):
                         seen[node.path, 1, text] += 1
-                        if node.tag in _MAIN or (node.state == "cut" and node.tag in _NOISE_TAGS):
+                        if node.tag in _MAIN or node.state == "gone":
                             break  # what is above is not judged by what is fixed
                 out += [(host, path, kind, _number(value), k, k * math.log(k)) for (path, kind, value), k in seen.items()]
             columns = list(zip(*out)) or [()] * 6
