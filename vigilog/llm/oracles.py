@@ -108,3 +108,73 @@ SELECT b.doc_id, CAST(b.n AS BIGINT) AS n_bytes, CAST(coalesce(c.n_removed, 0) A
   CAST(coalesce(c.n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.h, b.h))) AS kept_sha256
 FROM bodies b LEFT JOIN kept k USING (doc_id) LEFT JOIN counts c USING (doc_id)
 """
+
+# Words are numbered within a document. Equal stretches of five words at a distance
+# q join to the stretches of period q; those inside one of a smaller period go.
+LLM_ORACLES["op11_periodic_runs"] = r"""
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k:
+    CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, CAST(n AS BIGINT))) AS t),
+split AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+    xor(4294967295, list_reduce(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1),
+      lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT)),
+      lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), CAST(4294967295 AS BIGINT))) AS h
+  FROM documents, crc_table),
+drawn AS (
+  SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM split),
+docs AS (
+  SELECT doc_id, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i:
+    w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END + 1]) END AS w
+  FROM drawn),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i, len(w) AS n FROM docs),
+grams AS (
+  SELECT doc_id, n, i, hash(word, lead(word, 1) OVER p, lead(word, 2) OVER p, lead(word, 3) OVER p, lead(word, 4) OVER p) AS g
+  FROM words WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+pairs AS (
+  SELECT x.doc_id, y.i - x.i AS q, x.i
+  FROM (SELECT * FROM grams WHERE i + 5 <= n) x JOIN (SELECT * FROM grams WHERE i + 5 <= n) y
+    ON x.doc_id = y.doc_id AND x.g = y.g AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (
+  SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pairs),
+wide AS (
+  SELECT doc_id, q, min(i) AS s, max(i) + 5 + q AS e FROM islands GROUP BY doc_id, q, k
+  HAVING max(i) + 5 + q - min(i) >= greatest(6, 4 * q)),
+runs AS (
+  SELECT doc_id, s, e - s AS l, q FROM wide x WHERE NOT EXISTS (
+    SELECT 1 FROM wide y WHERE y.doc_id = x.doc_id AND y.q < x.q AND y.s <= x.s AND y.e >= x.e)),
+digests AS (
+  SELECT doc_id, count(*) AS n_runs, sha256(string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q)) AS d,
+    arg_max(s, (l, -s, -q)) AS s, max(l) AS l, arg_max(q, (l, -s, -q)) AS q
+  FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM runs),
+left_over AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS body FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT o.doc_id, CAST(len(o.w) AS BIGINT) AS n_words, CAST(coalesce(d.n_runs, 0) AS BIGINT) AS n_runs,
+  CAST(d.s AS BIGINT) AS start, CAST(d.l AS BIGINT) AS length, CAST(d.q AS BIGINT) AS period,
+  CAST(1000 * d.l // d.q AS BIGINT) AS exponent_milli, coalesce(d.d, sha256('')) AS runs_sha256,
+  sha256(coalesce(x.body, '')) AS collapsed_sha256
+FROM docs o LEFT JOIN digests d USING (doc_id) LEFT JOIN left_over x USING (doc_id)
+"""
+
+LLM_ORACLES["op13_hard_negatives"] = r"""
+WITH rows_ AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+    CAST(list_dot_product(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM rows_ a JOIN rows_ b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, p.positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.other) AS INTEGER) AS rank,
+  n.other AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same
+  AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score
+QUALIFY rank <= 10
+"""

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    decontaminate, html_text, jaccard_join, language_id, license_scan, packing, quality_rules, sharding, suffix_dedup, url_filter,
+    decontaminate, graph_search, hard_negatives, html_text, jaccard_join, language_id, license_scan, packing, periodic_runs,
+    quality_rules, sharding, suffix_dedup, url_filter,
 )
 from .common import table
 
@@ -69,7 +70,23 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(periodic_runs.with_periods(table(spark, sf_dir, "documents")))
+
+
+def op12_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh id has the next of the ten labels."""
+    rows = hard_negatives.whole_vectors(table(spark, sf_dir, "embeddings"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 LLM = {f.__name__: f for f in (
     op1_quality_rules, op2_jaccard_join, op3_decontaminate, op4_language_id, op5_sharding, op6_license_scan,
     op7_html_text, op8_url_filter, op9_packing, op10_suffix_dedup,
+    op11_periodic_runs, op12_graph_search, op13_hard_negatives,
 )}
