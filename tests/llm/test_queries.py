@@ -24,7 +24,7 @@ def test_query_equals_sql(spark, con, name):
 def test_all_are_registered():
     names = list(contract.queries())
     assert [n for n in names if n.startswith("op")] == list(LLM) and "pipeline" in names
-    assert {n.split("_")[0] for n in LLM} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in LLM} == {f"op{k}" for k in range(1, 14)}
 
 
 def test_rules_and_hosts_of_the_pages(spark, con):
@@ -44,7 +44,7 @@ def test_rules_and_hosts_of_the_pages(spark, con):
 @pytest.mark.parametrize("name", [n for n in LLM if n not in LLM_ORACLES])
 def test_query_runs(spark, name):
     rows = LLM[name](spark, SF_DIR).collect()
-    tables = {"op6_license_scan": None, "op7_html_text": "pages", "op8_url_filter": "pages", "op9_packing": None}
+    tables = {"op6_license_scan": None, "op7_html_text": "pages", "op8_url_filter": "pages", "op9_packing": None, "op12_graph_search": None}
     table = tables.get(name, "documents")
     if table:
         assert len(rows) == spark.read.parquet(f"{SF_DIR}/{table}.parquet").count()

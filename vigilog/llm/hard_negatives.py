@@ -106,7 +106,8 @@ def intervals(anchors: np.ndarray, words: np.ndarray, aligned: np.ndarray, rest:
             bits = _packed((whole >> plane) & 1)
             for w in range(words.shape[2]):
                 inside += np.bitwise_count(bits[:, w, None] & words[None, :, level, w]).astype(np.int64) << plane
-        product = 2 * (low[:, None] * ones + step[:, None] * inside) - turned.sum(axis=1)[:, None]
+        # Of the cut components throughout, so that each one's cut counts once.
+        product = low[:, None] * (2 * ones - dim) + step[:, None] * (2 * inside - whole.sum(axis=1)[:, None])
         middle += product / np.sqrt(dim) * aligned[:, level]
         error += cut[:, None] * aligned[:, level]
     # Rounding in the sums above, generously.
