@@ -1,15 +1,14 @@
 import os
 import sys
-from datetime import datetime, timedelta, timezone
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+TESTS = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(TESTS), TESTS]
 
+from helpers import LOG_DDL, at  # noqa: E402
 from vigilog.session import build_session  # noqa: E402
 
-START = datetime(2026, 3, 8, 16, 10, tzinfo=timezone.utc)
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -27,17 +26,6 @@ def spark():
     session.stop()
 
 
-LOG_DDL = (
-    "event_id string, timestamp timestamp, service_name string, log_level string, "
-    "event_type string, message string, trace_id string, status double, latency_ms double, "
-    "client_ip string, version string, reason string"
-)
-
-
-def at(seconds: float = 0) -> datetime:
-    return START + timedelta(seconds=seconds)
-
-
 @pytest.fixture(scope="session")
 def make_logs(spark):
     """Log rows from dicts with any of the columns."""

@@ -7,7 +7,7 @@ from vigilog import schema
 from vigilog.functions import classify
 from vigilog.operators import anomaly, audit, correlate, incidents as inc, notify, respond
 from vigilog.sources import tables
-from conftest import at
+from helpers import at
 
 
 @pytest.fixture(scope="session")

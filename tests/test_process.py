@@ -2,7 +2,7 @@ import pytest
 
 from vigilog.operators import process, search
 from vigilog.sources import tables
-from conftest import at
+from helpers import at
 
 
 @pytest.mark.parametrize(

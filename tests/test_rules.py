@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigilog import schema
+from vigilog.functions import fields
 from vigilog.operators import rulebook, rules, windows
-from conftest import at
+from helpers import at
 
 
 def login(i, ip="192.168.1.99", seconds=0.0):
@@ -136,9 +137,9 @@ def test_rules_reach_the_scan(spark, make_logs, tmp_path):
 
 
 def rule_row(rule_id, version, valid_from, event_type, field=None, op=None, threshold=None,
-             signal="S", severity="LOW", window_s=None, count=None, key=None):
+             signal="S", severity="LOW", window_s=None, count=None, key=None, text=None):
     return (rule_id, version, valid_from, event_type, field, op, threshold, signal, severity,
-            window_s, count, key)
+            window_s, count, key, text)
 
 
 def test_rule_versions_apply_as_of(spark, make_logs):
@@ -204,6 +205,55 @@ def test_invalid_rules_are_refused(spark, make_logs):
         rulebook.evaluate(make_logs([{"event_type": "x"}]), rules_.filter("rule_id in ('a', 'ok')"))
 
 
+def test_a_rule_may_change_its_kind(spark, make_logs):
+    table = spark.createDataFrame(
+        [rule_row("r", 1, at(0), "x"), rule_row("r", 2, at(10), "x", window_s=60, count=2, signal="W"),
+         rule_row("r", 3, at(20), "x")], schema.RULE_SCHEMA)
+    logs = make_logs([{"event_type": "x", "timestamp": at(s)} for s in (1, 11, 12, 21)])
+    assert [(r.event_id, r.version) for r in rulebook.evaluate(logs, table).orderBy("event_id").collect()] == [
+        ("e0000", 1), ("e0003", 3)]
+    row, = rulebook.evaluate_windows(logs, table).collect()
+    assert (row.event_id, row.version, row.metadata) == ("e0002", 2, {"count": "2"})
+
+
+def test_no_rules_no_signals(spark, make_logs):
+    logs = make_logs([{"event_type": "x"}])
+    per_event = spark.createDataFrame([rule_row("r", 1, at(-9), "x")], schema.RULE_SCHEMA)
+    none = rulebook.evaluate_windows(logs, per_event)
+    assert none.collect() == [] and {"signal_id", "rule_id", "version"} <= set(none.columns)
+    for judge in (rulebook.evaluate, rulebook.evaluate_windows):
+        assert judge(logs, per_event.limit(0)).collect() == []
+
+
+def test_windowed_rules_are_checked(spark, make_logs):
+    rows = [rule_row("a", 1, at(0), "x", window_s=60), rule_row("b", 1, at(0), "x", window_s=60, count=0),
+            rule_row("c", 1, at(0), "x", window_s=0, count=1), rule_row("d", 1, at(0), "x", window_s=60, count=1, key="colour"),
+            rule_row("e", 1, None, "x"), rule_row(None, 1, at(0), "x"), rule_row("g", 1, at(0), "x", count=3),
+            rule_row("h", 1, at(0), "x", "cpu_percent", ">", 1.0), rule_row("ok", 1, at(0), "x", window_s=60, count=1)]
+    table = spark.createDataFrame(rows, schema.RULE_SCHEMA)
+    logs = make_logs([{"event_type": "x"}])
+    assert {r.rule_id: r.problem for r in rulebook.rejected_rules(table, logs.columns).collect()} == {
+        "a": "count not at least 1", "b": "count not at least 1", "c": "window_s not above 0", "d": "unknown key_field",
+        "e": "no valid_from", None: "no rule_id", "g": "count or key_field without window_s", "h": "field not in logs"}
+    for judge in (rulebook.evaluate, rulebook.evaluate_windows):
+        with pytest.raises(ValueError, match="invalid rules"):
+            judge(logs, table)
+
+
+def test_very_many_windowed_rules_are_one_plan(spark, make_logs):
+    rows = [rule_row(f"r{i}", 1, at(-9), "x", "latency_ms", ">", float(i), window_s=60, count=2) for i in range(1500)]
+    logs = make_logs([{"event_type": "x", "latency_ms": 700.5, "timestamp": at(i)} for i in range(4)])
+    found = rulebook.evaluate_windows(logs, spark.createDataFrame(rows, schema.RULE_SCHEMA))
+    assert found.count() == 2 * 701
+
+
+@pytest.mark.parametrize("a, b", [(("a|b", "c"), ("a", "b|c")), ((None, "x"), ("x", None)), (("\\", "|"), ("\\|", "")),
+                                  ((None, "a"), ("\\0", "a")), (("", ""), (None, ""))])
+def test_ids_do_not_clash(spark, a, b):
+    df = spark.createDataFrame([a, b], "p string, q string")
+    assert df.select(fields.digest(df.p, df.q).alias("id")).distinct().count() == 2
+
+
 def test_a_number_beyond_a_long_does_not_stop_detection(make_logs):
     logs = make_logs([{"event_type": "http.request", "latency_ms": m} for m in (1e19, 1e300, 5000.0)])
     assert sorted(r.metadata["latency_ms"] for r in rules.event_signals(logs).collect()) == ["1.0E19", "1.0E300", "5000"]

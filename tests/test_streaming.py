@@ -9,7 +9,7 @@ from vigilog.operators import rules
 from vigilog.sources import tables
 from vigilog.sources.log_tail import LogTailReader, last_line_end
 from vigilog.streaming import incremental, pipeline, stateful
-from conftest import LOG_DDL, at
+from helpers import LOG_DDL, at
 
 
 def spread(make_logs, path, rows, files, lateness_s, rng):

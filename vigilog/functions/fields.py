@@ -54,9 +54,21 @@ def floor_to(us: Column, size_us: int) -> Column:
     return us - F.pmod(us, F.lit(size_us).cast("bigint"))
 
 
+def joined(*parts: Column) -> Column:
+    r"""The parts as one text that no other parts give: ``|`` between them, a
+    backslash before ``|`` and backslashes within them, ``\0`` for null."""
+    escaped = []
+    for part in parts:
+        text = F.replace(part.cast("string"), F.lit("\\"), F.lit("\\\\"))
+        text = F.replace(text, F.lit("|"), F.lit("\\|"))
+        escaped.append(F.coalesce(text, F.lit("\\0")))
+    return F.concat_ws("|", *escaped)
+
+
 def digest(*parts: Column) -> Column:
-    """A repeatable id: the same input row always gets the same one."""
-    return F.md5(F.concat_ws("|", *parts))
+    """A repeatable id: the same input row always gets the same one, and rows of
+    different parts get different ones."""
+    return F.md5(joined(*parts))
 
 
 def signal_id(signal_type: Column, event_id: Column) -> Column:

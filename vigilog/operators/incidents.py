@@ -231,7 +231,7 @@ def severity_rollup(incidents: DataFrame) -> DataFrame:
     return incidents.rollup("severity", "service").agg(
         F.count("*").alias("incidents"),
         F.grouping_id().alias("level"),
-        F.count_if(F.col("status") != "resolved").alias("active"),
+        F.count_if(F.lower("status") != "resolved").alias("active"),
     )
 
 

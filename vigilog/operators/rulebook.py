@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from vigilog import schema
 from vigilog.functions import fields
-from vigilog.operators import rules as R
-from vigilog.session import dimension
+from vigilog.operators import windows
 
 NUMERIC_FIELDS = ("latency_ms", "status", "cpu_percent", "memory_used_mb")
-#: Compared with ``threshold_text``, if the rule table has that column.
+#: Compared with ``threshold_text``.
 TEXT_FIELDS = ("service_name", "log_level", "message", "trace_id", "client_ip", "version", "reason")
-#: Windowed rules are plans of their own, so there is a limit to their number.
-MAX_WINDOW_RULES = 1000
+#: What a windowed rule may count by.
+KEY_FIELDS = (*TEXT_FIELDS, "event_type", "host", "username", "path")
+#: Rules that are collected once and broadcast; a larger table is joined as it is.
+FEW_RULES = 20_000
 COMPARISONS = {
     ">": lambda a, b: a > b,
     ">=": lambda a, b: a >= b,
@@ -25,84 +27,122 @@ COMPARISONS = {
 
 
 def validity(rules: DataFrame) -> DataFrame:
-    """Add ``valid_to``: the start of the rule's next version, open if none."""
-    by_version = Window.partitionBy("rule_id").orderBy("valid_from")
+    """Add ``valid_to``: the start of the rule's next version, of whatever kind,
+    open if there is none. Versions of one start are told apart by number, and
+    the highest is in force."""
+    by_version = Window.partitionBy("rule_id").orderBy("valid_from", "version")
     return rules.withColumn("valid_to", F.lead("valid_from").over(by_version))
 
 
-def _problem(rules: DataFrame) -> Column:
-    """What is wrong with a rule, or null."""
-    text = F.col("threshold_text") if "threshold_text" in rules.columns else F.lit(None).cast("string")
-    field = F.col("field")
+def _full(rules: DataFrame) -> DataFrame:
+    """With the optional columns, null where the table has none."""
+    missing = [f for f in schema.RULE_SCHEMA if f.name not in rules.columns]
+    return rules.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing})
+
+
+def _problem(columns: list[str] | None) -> Column:
+    """What is wrong with a rule, or null; ``columns`` are those of the logs."""
+    field, key = F.col("field"), F.col("key_field")
+    there = [c for c in KEY_FIELDS if columns is None or c in columns]
+    fields_there = [c for c in (*NUMERIC_FIELDS, *TEXT_FIELDS) if columns is None or c in columns]
+    numeric, text = field.isin(*NUMERIC_FIELDS), field.isin(*TEXT_FIELDS)
+    windowed = F.col("window_s").isNotNull()
     return (
-        F.when(F.col("event_type").isNull(), "no event_type")
-        .when(field.isNull(), None)
-        .when(~field.isin(*NUMERIC_FIELDS, *TEXT_FIELDS), "unknown field")
-        .when(F.col("op").isNull() | ~F.col("op").isin(*COMPARISONS), "unknown op")
-        .when(field.isin(*NUMERIC_FIELDS) & F.col("threshold").isNull(), "no threshold")
-        .when(field.isin(*TEXT_FIELDS) & text.isNull(), "no threshold_text")
+        F.when(F.col("rule_id").isNull(), "no rule_id")
+        .when(F.col("valid_from").isNull(), "no valid_from")
+        .when(F.col("event_type").isNull(), "no event_type")
+        .when(field.isNotNull() & ~numeric & ~text, "unknown field")
+        .when(field.isNotNull() & ~field.isin(*fields_there), "field not in logs")
+        .when(field.isNotNull() & (F.col("op").isNull() | ~F.col("op").isin(*COMPARISONS)), "unknown op")
+        .when(numeric & F.col("threshold").isNull(), "no threshold")
+        .when(text & F.col("threshold_text").isNull(), "no threshold_text")
+        .when(windowed & (F.col("window_s") <= 0), "window_s not above 0")
+        .when(windowed & (F.col("count").isNull() | (F.col("count") < 1)), "count not at least 1")
+        .when(windowed & key.isNotNull() & ~key.isin(*there), "unknown key_field")
+        .when(~windowed & (F.col("count").isNotNull() | key.isNotNull()), "count or key_field without window_s")
     )
 
 
-def rejected_rules(rules: DataFrame) -> DataFrame:
-    """Rules that can never be judged, each with its problem."""
-    return rules.withColumn("problem", _problem(rules)).filter("problem is not null")
+def rejected_rules(rules: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Rules that can never be judged, each with its problem; with the ``columns``
+    of the logs also those about a column that is not there."""
+    return _full(rules).withColumn("problem", _problem(columns)).filter("problem is not null")
 
 
-def _checked(rules: DataFrame) -> DataFrame:
-    bad = rejected_rules(rules).select("rule_id", "problem").limit(5).collect()
-    if bad:
-        raise ValueError("invalid rules: " + ", ".join(f"{r.rule_id}: {r.problem}" for r in bad))
-    return rules
+class Rulebook:
+    """A checked rule table with validities, looked at once: of few rules the kinds
+    and event types are known to the driver and the table is broadcast; of many,
+    only the rejected ones are looked for and joins are left to the planner."""
 
+    def __init__(self, rules: DataFrame, columns: list[str]):
+        marked = validity(_full(rules)).withColumn("problem", _problem(columns))
+        looked_at = marked.select("rule_id", "problem", "event_type", (F.col("window_s").isNotNull()).alias("windowed"))
+        rows = looked_at.limit(FEW_RULES + 1).collect()
+        self.few = len(rows) <= FEW_RULES
+        bad = looked_at.filter("problem is not null").limit(5).collect() if not self.few else [
+            r for r in rows if r.problem][:5]
+        if bad:
+            raise ValueError("invalid rules: " + ", ".join(f"{r.rule_id}: {r.problem}" for r in bad))
+        self.table = marked.drop("problem")
+        self._kinds = {w: sorted({r.event_type for r in rows if r.windowed == w}) for w in (False, True)}
 
-def evaluate(logs: DataFrame, rules: DataFrame) -> DataFrame:
-    """Signals of the table's per-event rules, each event judged by the rule
-    versions in force at its time. Invalid rules are an error; see
-    ``rejected_rules``.
+    def of_kind(self, windowed: bool) -> DataFrame:
+        out = self.table.filter("window_s is not null" if windowed else "window_s is null").withColumnsRenamed(
+            {"event_type": "rule_event_type", "severity": "rule_severity", "version": "rule_version"})
+        return F.broadcast(out) if self.few else out
+
+    def event_types(self, windowed: bool, most: int = 100) -> list[str] | None:
+        """The event types its rules are about, None if they are more than ``most``."""
+        kinds = self._kinds[windowed]
+        return kinds if self.few and len(kinds) <= most else None
+
+
+def _matched(logs: DataFrame, book: Rulebook, windowed: bool) -> DataFrame:
+    """Events with each rule version that is in force at their time and holds,
+    and ``shown``, the value that was compared.
 
     An as-of join: equal event type, and the event's time inside the version's
     validity. A small rule table is broadcast, so events stay where they are;
     few event types become a filter of the scan.
     """
-    own = validity(_checked(rules.filter("window_s is null"))).withColumnsRenamed(
-        {"event_type": "rule_event_type", "severity": "rule_severity",
-         "version": "rule_version"}
-    ).transform(dimension)
-    kinds = [r[0] for r in own.select("rule_event_type").distinct().limit(101).collect()]
-    if len(kinds) <= 100:
+    kinds = book.event_types(windowed)
+    if kinds is not None:
         logs = logs.filter(F.col("event_type").isin(kinds))
     at = F.col("timestamp")
     in_force = (at >= F.col("valid_from")) & (
         F.col("valid_to").isNull() | (at < F.col("valid_to"))
     )
-    value = F.coalesce(
-        *[F.when(F.col("field") == n, F.col(n)) for n in NUMERIC_FIELDS if n in logs.columns]
-    )
-    compared = F.coalesce(
-        *[F.when(F.col("op") == op, holds(value, F.col("threshold")))
-          for op, holds in COMPARISONS.items()]
-    )
-    shown = fields.number_text(value)
-    if "threshold_text" in rules.columns:
-        text = F.coalesce(
-            *[F.when(F.col("field") == n, F.col(n)) for n in TEXT_FIELDS if n in logs.columns])
-        compared = F.coalesce(compared, *[
-            F.when(F.col("op") == op, holds(text, F.col("threshold_text")))
-            for op, holds in COMPARISONS.items()])
-        shown = F.coalesce(shown, text)
+
+    def compared(names: tuple[str, ...], limit: Column, kind: str) -> tuple[Column, Column]:
+        none = F.lit(None).cast(kind)
+        value = F.coalesce(none, *[F.when(F.col("field") == n, F.col(n)) for n in names if n in logs.columns])
+        return value, F.coalesce(*[
+            F.when(F.col("op") == op, holds(value, limit)) for op, holds in COMPARISONS.items()])
+
+    number, by_number = compared(NUMERIC_FIELDS, F.col("threshold"), "double")
+    text, by_text = compared(TEXT_FIELDS, F.col("threshold_text"), "string")
     # A rule without a field matches every event of its type.
-    test = F.col("field").isNull() | compared
+    test = F.col("field").isNull() | F.coalesce(by_number, by_text)
     pairs = logs.join(
-        own, (F.col("event_type") == F.col("rule_event_type")) & in_force & test
-    )
-    return pairs.select(
+        book.of_kind(windowed), (F.col("event_type") == F.col("rule_event_type")) & in_force & test)
+    return pairs.withColumn("shown", F.coalesce(fields.number_text(number), text))
+
+
+def evaluate(logs: DataFrame, rules: DataFrame) -> DataFrame:
+    """Signals of the table's per-event rules, each event judged by the rule
+    versions in force at its time. Invalid rules are an error; see
+    ``rejected_rules``. A version of the other kind ends the one before it."""
+    return evaluate_book(logs, Rulebook(rules, logs.columns))
+
+
+def evaluate_book(logs: DataFrame, book: Rulebook) -> DataFrame:
+    return _matched(logs, book, False).select(
         fields.signal_id(F.col("signal_type"), F.col("event_id")).alias("signal_id"),
         "signal_type",
         F.col("rule_severity").alias("severity"),
         F.col("service_name").alias("service"),
         F.when(F.col("field").isNotNull(),
-               F.create_map("field", shown)).alias("metadata"),
+               F.create_map("field", "shown")).alias("metadata"),
         F.col("timestamp").alias("detected_at"),
         "event_id",
         F.lit(None).cast("int").alias("rule_order"),
@@ -111,45 +151,51 @@ def evaluate(logs: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def _window_rule(place: int, row: Row) -> R.WindowRule:
-    """A rule version as a rule that only counts events of its time."""
-    key = (row["key_field"],) if row["key_field"] else ()
-
-    def when() -> Column:
-        at = F.col("timestamp")
-        test = at >= F.lit(row["valid_from"])
-        if row["valid_to"] is not None:
-            test = test & (at < F.lit(row["valid_to"]))
-        if row["field"]:
-            limit = row["threshold"] if row["field"] in NUMERIC_FIELDS else row["threshold_text"]
-            test = test & COMPARISONS[row["op"]](F.col(row["field"]), F.lit(limit))
-        for name in key:
-            test = test & (F.coalesce(F.col(name), F.lit("")) != "")
-        return test
-
-    def evidence() -> dict[str, Column]:
-        return {name: F.col(name) for name in key} or {"count": F.lit(row["count"])}
-
-    return R.WindowRule(
-        place, row["signal_type"], row["severity"], row["event_type"], when,
-        row["count"], row["window_s"], key, evidence,
+def window_matches(logs: DataFrame, book: Rulebook) -> DataFrame:
+    """The events that the windowed rule versions in force count, one row for each
+    version: ``run_rule`` names it, ``run_key`` is what it counts by. Events whose
+    key is null or empty do not count."""
+    by = F.coalesce(*[F.when(F.col("key_field") == n, F.col(n).cast("string"))
+                      for n in KEY_FIELDS if n in logs.columns], F.lit(None).cast("string"))
+    rows = _matched(logs, book, True).withColumn("_by", by)
+    return rows.filter(F.col("key_field").isNull() | (F.coalesce("_by", F.lit("")) != "")).select(
+        version_key().alias("run_rule"), F.coalesce("_by", F.lit("")).alias("run_key"),
+        "event_id", "service_name", "timestamp", fields.micros(F.col("timestamp")).alias("us"),
+        "rule_id", F.col("rule_version").alias("version"), "signal_type",
+        F.col("rule_severity").alias("severity"), "key_field", "count",
     )
 
 
-def evaluate_windows(logs: DataFrame, rules: DataFrame) -> DataFrame:
-    """Signals of the table's windowed rules; each version counts on its own.
+def version_key(version: str = "rule_version") -> Column:
+    """A text for a rule version that has no control characters of its own."""
+    return fields.digest(F.col("rule_id"), F.col(version), F.col("valid_from"))
 
-    Only the rule rows, which are configuration, come to the driver.
-    """
-    own = validity(_checked(rules.filter("window_s is not null")))
-    rows = own.limit(MAX_WINDOW_RULES + 1).collect()
-    if len(rows) > MAX_WINDOW_RULES:
-        raise ValueError(f"more than {MAX_WINDOW_RULES} windowed rules")
-    found = R.window_signals(logs, *[_window_rule(i, row) for i, row in enumerate(rows)])
-    of = F.col("rule_order")
-    return found.withColumns(
-        {
-            "rule_id": F.array(*[F.lit(r["rule_id"]) for r in rows])[of],
-            "version": F.array(*[F.lit(r["version"]) for r in rows])[of],
-        }
+
+def window_settings(book: Rulebook) -> dict[str, tuple[int, int]]:
+    """Count and window in microseconds of every windowed version, by its key;
+    a pair of numbers for each, on the driver."""
+    rows = book.of_kind(True).select(version_key().alias("key"), "count", "window_s").collect()
+    return {r.key: (r["count"], r.window_s * 1_000_000) for r in rows}
+
+
+def as_window_signals(fired: DataFrame) -> DataFrame:
+    """Signal rows of the rows of ``window_matches`` on which a version fired."""
+    shown = F.when(F.col("key_field").isNotNull(), F.create_map("key_field", "run_key")).otherwise(
+        F.create_map(F.lit("count"), F.col("count").cast("string")))
+    return fired.select(
+        fields.signal_id(F.col("signal_type"), F.col("event_id")).alias("signal_id"),
+        "signal_type", "severity", F.col("service_name").alias("service"), shown.alias("metadata"),
+        F.col("timestamp").alias("detected_at"), "event_id", F.lit(None).cast("int").alias("rule_order"),
+        "rule_id", "version",
     )
+
+
+def evaluate_windows(logs: DataFrame, rules: DataFrame) -> DataFrame:
+    """Signals of the table's windowed rules; each version counts on its own. One
+    scan, one join and one shuffle for any number of rules."""
+    book = Rulebook(rules, logs.columns)
+    settings = window_settings(book)
+    counted = window_matches(logs, book)
+    if not settings:
+        return as_window_signals(counted)
+    return as_window_signals(windows.emit_and_reset_rules(counted, "run_key", "us", "event_id", settings))

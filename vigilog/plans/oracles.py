@@ -274,7 +274,13 @@ versioned AS (
   FROM logs_at WHERE event_type = 'deployment.failed' AND t >= TIMESTAMP '2024-01-06'
   UNION ALL
   SELECT md5('HTTP_NOT_FOUND|' || event_id), 'missing', 1, 'HTTP_NOT_FOUND', 'LOW', us
-  FROM logs_at WHERE event_type = 'http.request' AND status = 404)
+  FROM logs_at WHERE event_type = 'http.request' AND status = 404
+  UNION ALL
+  SELECT md5('DEPLOYMENT_SEEN|' || event_id), 'deploys', 1, 'DEPLOYMENT_SEEN', 'LOW', us
+  FROM logs_at WHERE event_type = 'deployment.failed' AND t < TIMESTAMP '2024-01-13'
+  UNION ALL
+  SELECT md5('CONTAINER_CRASH|' || event_id), 'crash', 1, 'CONTAINER_CRASH', 'HIGH', us
+  FROM logs_at WHERE event_type = 'deployment.failed' AND reason = 'container_crash')
 """
 JAN_16 = "epoch_us(TIMESTAMP '2024-01-16')"
 
@@ -354,12 +360,26 @@ ORACLES: dict[str, str] = {
               5, 6 * HOUR),
         fired("w2", "''", "event_type = 'http.request' AND status >= 400 AND us >= " + JAN_16,
               6, 3 * HOUR),
+        fired("w3", "''", "event_type = 'deployment.failed' AND us >= epoch_us(TIMESTAMP '2024-01-13')",
+              2, 12 * HOUR),
         BRUTE,
     ) + """
         SELECT 'spike' AS rule_id, 1 AS version, 'HTTP_ERROR_SPIKE' AS signal_type, event_id, us
         FROM w1
         UNION ALL SELECT 'spike', 2, 'HTTP_ERROR_SPIKE', event_id, us FROM w2
+        UNION ALL SELECT 'deploys', 2, 'DEPLOYMENT_STORM', event_id, us FROM w3
         UNION ALL SELECT 'logins', 1, 'BRUTE_FORCE_LOGIN', event_id, us FROM brute""",
+    "ids_of_texts": _with(LOGS) + """
+        , parts AS (
+          SELECT replace(message, ' ', '|') AS a, replace(path, '/', '\\') AS b FROM (
+            SELECT *, event_type || ' k=' || k AS message FROM logs)
+          UNION ALL SELECT NULL, message FROM (SELECT event_type || ' k=' || k AS message FROM logs)
+          UNION ALL SELECT message, NULL FROM (SELECT event_type || ' k=' || k AS message FROM logs)
+          UNION ALL SELECT event_type || '|', 'k' || k FROM logs
+          UNION ALL SELECT event_type, '|k' || k FROM logs
+          UNION ALL SELECT event_type || '\\', 'k' || k FROM logs
+          UNION ALL SELECT event_type, '\\k' || k FROM logs)
+        SELECT count(*) AS n_rows, count(DISTINCT (a, b)) AS n_ids FROM parts""",
     "correlated_groups": P_GROUPS + """
         SELECT group_id, window_start_us, n_signals, n_services, n_types, services,
                top_severity, confidence, cross_service FROM groups""",

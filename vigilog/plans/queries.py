@@ -278,8 +278,15 @@ def _rule_table(spark):
          3 * 3600, 6, None),
         ("logins", 1, at(1), "auth.login_failed", None, None, None, "BRUTE_FORCE_LOGIN", "HIGH",
          24 * 3600, 3, "client_ip"),
+        # A rule that changes its kind, and one about a text.
+        ("deploys", 1, at(1), "deployment.failed", None, None, None, "DEPLOYMENT_SEEN", "LOW",
+         None, None, None),
+        ("deploys", 2, at(13), "deployment.failed", None, None, None, "DEPLOYMENT_STORM", "HIGH",
+         12 * 3600, 2, None),
+        ("crash", 1, at(1), "deployment.failed", "reason", "=", None, "CONTAINER_CRASH", "HIGH",
+         None, None, None, "container_crash"),
     ]
-    return spark.createDataFrame(rows, schema.RULE_SCHEMA)
+    return spark.createDataFrame([(*r, None)[:13] for r in rows], schema.RULE_SCHEMA)
 
 
 def rules_as_of(spark, sf_dir):
@@ -292,6 +299,23 @@ def rules_as_of_windows(spark, sf_dir):
         "rule_id", "version", "signal_type", "event_id", us("detected_at"))
 
 
+def ids_of_texts(spark, sf_dir):
+    """Ids of pairs that a plain joining of texts would mix up: separators,
+    backslashes and nulls in either part."""
+    rows, kind = logs(spark, sf_dir), F.col("event_type")
+    k = F.concat(F.lit("k"), F.regexp_extract("message", "[0-9]+$", 0))
+    none = F.lit(None).cast("string")
+    pairs = [
+        (F.replace("message", F.lit(" "), F.lit("|")), F.replace("path", F.lit("/"), F.lit("\\"))),
+        (none, F.col("message")), (F.col("message"), none),
+        (F.concat(kind, F.lit("|")), k), (kind, F.concat(F.lit("|"), k)),
+        (F.concat(kind, F.lit("\\")), k), (kind, F.concat(F.lit("\\"), k)),
+    ]
+    ids = F.array(*[fields.digest(a, b) for a, b in pairs])
+    return rows.select(F.explode(ids).alias("id")).agg(
+        F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_ids"))
+
+
 # --- correlation and anomalies --------------------------------------------------
 
 
@@ -619,7 +643,7 @@ BATCH = {
         replayed_signals, signals_high_latency, signals_deployment_failure,
         signals_db_slow_query, signals_all, signal_counts, signals_bruteforce,
         signals_error_spike, signals_error_spike_by_host, signals_per_event,
-        sliding_failure_count, rules_as_of, rules_as_of_windows, correlated_groups,
+        sliding_failure_count, rules_as_of, rules_as_of_windows, ids_of_texts, correlated_groups,
         correlated_traces, correlation_links, error_rate_by_window, zscore_anomalies, incident_sessions,
         session_links, incident_severity_scored, incidents_by_signal_severity,
         incidents_from_payload, incidents_latest_after_updates, incidents_missing_updates,

@@ -132,5 +132,5 @@ RULE_SCHEMA = T.StructType(
         T.StructField("window_s", T.IntegerType()),
         T.StructField("count", T.IntegerType()),
     ]
-    + _strings("key_field")
+    + _strings("key_field", "threshold_text")
 )
