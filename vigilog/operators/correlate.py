@@ -1,4 +1,4 @@
-"""Signals related by time: windows across services, sessions of repeats."""
+"""Signals related by time: clock windows, intervals of any place, sessions of repeats."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vigilog import schema
 from vigilog.functions import classify, fields
-from vigilog.operators.ordered import join_keys
+from vigilog.operators.ordered import join_keys, with_last, with_previous
+from vigilog.operators.windows import window_count
+from vigilog.session import cut
 
 
 def group_id(window_us: Column, by: list[str]) -> Column:
@@ -42,12 +44,16 @@ def correlated_groups(
     (window, service, type), which is done before the shuffle.
     """
     by = by or []
-    links = correlation_links(signals, window_us, by)
-    counts = links.groupBy("group_id", "window_start_us", *by, "service", "signal_type").agg(
+    return _scored(
+        correlation_links(signals, window_us, by), ["group_id", "window_start_us", *by], n_types, n_services)
+
+
+def _scored(links: DataFrame, group: list[str], n_types: int, n_services: int) -> DataFrame:
+    counts = links.groupBy(*group, "service", "signal_type").agg(
         F.count("*").alias("n"),
         F.max(classify.severity_rank(F.col("severity"))).alias("rank"),
     )
-    groups = counts.groupBy("group_id", "window_start_us", *by).agg(
+    groups = counts.groupBy(*group).agg(
         F.sum("n").alias("n_signals"),
         F.array_sort(F.collect_set("service")).alias("services"),
         F.array_sort(F.collect_set("signal_type")).alias("signal_types"),
@@ -65,6 +71,97 @@ def correlated_groups(
     )
 
 
+# --- intervals ------------------------------------------------------------------
+
+
+def interval_links(signals: DataFrame, within_us: int, by: list[str] | None = None) -> DataFrame:
+    """Each signal with the number of other signals at most ``within_us`` before or
+    after it (``n_links``), wherever the clock's windows end, and the group of all
+    that are connected by such links.
+
+    ``by`` narrows both further, for example to one trace; nulls are one value.
+    Links are counted by running sums and groups are chains of gaps, so no pair is
+    ever made, and one trace, or no key at all, spreads over tasks. Signals without
+    a time are linked with nothing and in no group.
+    """
+    by = by or []
+    at = fields.micros(F.col("detected_at"))
+    rows = signals.withColumn("us", at).filter("us is not null").select(
+        *by, "us", *[c for c in ("signal_id", "signal_type", "service", "severity") if c not in by])
+    counted = window_count(rows, by, "us", within_us, within_us, "n_links").withColumn(
+        "n_links", F.col("n_links") - 1)
+    slots = _chains(rows, by, within_us)
+    slot = fields.floor_to(F.col("us"), within_us + 1).alias("_slot")
+    return join_keys(counted.select("*", slot), slots, [*by, "_slot"], "inner").drop("_slot").withColumn(
+        "group_id", fields.digest(F.lit("interval"), F.col("group_start_us").cast("string"), *[F.col(c) for c in by]))
+
+
+def _chains(rows: DataFrame, by: list[str], within_us: int) -> DataFrame:
+    """(by, _slot, group_start_us): rows of one slot of ``within_us`` and 1 are
+    linked, so slots are chained; there are no more than the time has slots."""
+    slots = rows.groupBy(*by, fields.floor_to(F.col("us"), within_us + 1).alias("_slot")).agg(
+        F.min("us").alias("_min"), F.max("us").alias("_max"))
+    after = with_previous(slots, by, ["_slot"], {"_max": "_before"})
+    opens = F.col("_before").isNull() | (F.col("_min") - F.col("_before") > within_us)
+    marked = after.withColumn("_open", F.when(opens, F.col("_min"))).select(*by, "_slot", "_open")
+    return with_last(marked, by, ["_slot"], "_open", "group_start_us").select(*by, "_slot", "group_start_us")
+
+
+def interval_groups(
+    signals: DataFrame, within_us: int, by: list[str] | None = None,
+    n_types: int = len(schema.SIGNAL_TYPES), n_services: int = len(schema.SERVICES),
+) -> DataFrame:
+    """One row for each group of ``interval_links``, scored as
+    ``correlated_groups``, with its links (each counted once) and its end."""
+    by = by or []
+    links = cut(interval_links(signals, within_us, by))
+    group = ["group_id", "group_start_us", *by]
+    sums = links.groupBy("group_id").agg(
+        F.expr("sum(n_links) div 2").alias("n_links"), F.max("us").alias("group_end_us"))
+    return _scored(links, group, n_types, n_services).join(sums, "group_id")
+
+
+def band_join(
+    left: DataFrame, right: DataFrame, keys: list[str], left_us: str, right_us: str,
+    before_us: int, after_us: int, split: int = 100_000,
+) -> DataFrame:
+    """Pairs of rows of equal keys with the right one's time from ``before_us``
+    before to ``after_us`` after the left one's; the left row as struct ``l``, the
+    right one as ``r``.
+
+    Times are dealt into buckets as long as the band; a left row goes to its bucket
+    and the one on either side that its band reaches. Buckets with more than
+    ``split`` right rows are dealt further into parts of that size, and left rows
+    go to each part, so no hot key or moment meets in one task. Null keys or times
+    join nothing.
+    """
+    size = before_us + after_us + 1
+    there = [F.col(k).isNotNull() for k in keys]
+
+    def with_key(df: DataFrame, us: str, side: str) -> DataFrame:
+        rows = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                         F.col(us).cast("bigint").alias(f"_{side}us"), F.struct("*").alias(side))
+        return rows.filter(F.col(f"_{side}us").isNotNull())
+
+    for known in there:
+        left, right = left.filter(known), right.filter(known)
+    names = [f"_k{i}" for i in range(len(keys))]
+    rights = with_key(right, right_us, "r").withColumn("_bucket", fields.floor_to(F.col("_rus"), size))
+    parts = rights.groupBy(*names, "_bucket").agg(F.ceil(F.count("*") / split).cast("int").alias("_parts"))
+    hot = cut(parts.filter("_parts > 1"))
+    # Only buckets beyond ``split`` rows are in this table.
+    place = F.pmod(F.xxhash64("r"), F.coalesce("_parts", F.lit(1))).cast("int")
+    dealt = rights.join(hot, [*names, "_bucket"], "left").withColumn("_part", place).drop("_parts")
+    low = fields.floor_to(F.col("_lus") - before_us, size)
+    high = fields.floor_to(F.col("_lus") + after_us, size)
+    reach = F.array_distinct(F.array(low, high))
+    lefts = with_key(left, left_us, "l").withColumn("_bucket", F.explode(reach))
+    lefts = lefts.join(hot, [*names, "_bucket"], "left").withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    near = (F.col("_rus") >= F.col("_lus") - before_us) & (F.col("_rus") <= F.col("_lus") + after_us)
+    return lefts.join(dealt, [*names, "_bucket", "_part"]).filter(near).select("l", "r")
+
+
 def gap_slots(df: DataFrame, keys: list[str], us: Column, gap_us: int, aggs: list[Column]) -> DataFrame:
     """Sessions by inactivity gap, as slots: rows within ``gap_us`` of each
     other always share a session, so rows are first folded into slots of that

@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vigilog.functions import classify, fields
+from vigilog.operators.asof import asof_join
 from vigilog.operators.ordered import join_keys, with_running_sum
 from vigilog.operators.windows import run_key, sliding_count
 from vigilog.session import cut, dimension, is_small
@@ -106,6 +107,54 @@ def match_playbooks(incidents: DataFrame, best: DataFrame) -> DataFrame:
     )
 
 
+def success_so_far(history: DataFrame) -> DataFrame:
+    """(error, action, us, tried, succeeded): outcomes known at each time at which
+    there are new ones. Outcomes of one time are folded first, then summed in
+    order, so a pattern of any size spreads over tasks."""
+    moments = history.filter(F.col("executed_at").isNotNull()).groupBy(
+        "error", "action", fields.micros(F.col("executed_at")).alias("us")
+    ).agg(F.count("*").alias("_n"), F.count_if(F.col("status") == "success").alias("_ok"))
+    keys = ["error", "action"]
+    tried = with_running_sum(moments, keys, ["us"], "_n", "tried")
+    return with_running_sum(tried, keys, ["us"], "_ok", "succeeded").drop("_n", "_ok")
+
+
+def choose_playbooks_as_of(incidents: DataFrame, playbooks: DataFrame, history: DataFrame) -> DataFrame:
+    """Incidents with the playbook that looked best at their time: highest priority
+    first, then the better success rate of its action for the error among outcomes
+    known by then, then the name. What came out later changes nothing.
+
+    ``playbooks`` and ``history`` are those of ``select_playbooks``, the latter with
+    ``executed_at``. Playbooks that another one of higher priority beats are left
+    out beforehand, so an incident has as many candidates as share the highest
+    priority; each gets its success rate by an as-of join. Incidents without a
+    candidate have null there.
+    """
+    low = classify.severity_rank(F.col("min_severity"))
+    high = classify.severity_rank(F.col("max_severity"))
+    per_level = playbooks.select(
+        F.col("trigger_signal").alias("error"), F.explode(F.sequence(low, high)).alias("rank"),
+        "playbook_id", "action", "priority")
+    first = Window.partitionBy("error", "rank").orderBy(F.desc("priority"))
+    likely = per_level.withColumn("_place", F.rank().over(first)).filter("_place = 1").drop("_place")
+    opened = incidents.select(
+        F.col("id").alias("incident_id"), "error", "severity", fields.micros(F.col("created_at")).alias("us"),
+    ).withColumn("rank", classify.severity_rank(F.col("severity")))
+    pairs = opened.join(dimension(likely), ["error", "rank"], "left")
+    known = asof_join(pairs, success_so_far(history), ["error", "action"], "us", "us", ["tried", "succeeded"])
+    rate = F.round(F.coalesce(F.col("succeeded") / F.col("tried"), F.lit(0.0)), 6)
+    best = F.min(F.struct(
+        (-rate).alias("_rate"), "playbook_id", "action", "priority",
+        F.coalesce("tried", F.lit(0)).alias("tried")))
+    chosen = known.groupBy("incident_id", "error", "severity", "us").agg(best.alias("_b"))
+    book = F.col("_b.playbook_id")
+    return chosen.select(
+        "incident_id", "error", "severity", book.alias("playbook_id"), F.col("_b.action").alias("action"),
+        F.col("_b.priority").alias("priority"),
+        F.when(book.isNotNull(), F.abs(F.col("_b._rate"))).alias("success_rate"),
+        F.when(book.isNotNull(), F.col("_b.tried")).alias("tried"))
+
+
 def in_cooldown(
     attempts: DataFrame, keys: list[str], us: str, order: str, cooldown_us: int
 ) -> DataFrame:

@@ -299,25 +299,27 @@ def sliding_count(
     counts so that a hot key is not gathered in one task. Rows of one instant
     are counted together first.
     """
+    return window_count(df, keys, us, window_us, 0, name)
+
+
+def window_count(
+    df: DataFrame, keys: list[str], us: str, before_us: int, after_us: int, name: str
+) -> DataFrame:
+    """Add the number of the key's rows within ``[us - before_us, us + after_us]``,
+    the row itself included."""
     moments = df.groupBy(*keys, F.col(us).alias("_us")).agg(F.count("*").alias("_n"))
-    # Each moment also asks, just before the moment window_us earlier, how many
-    # rows came before it.
-    marks = moments.select(
-        *keys,
-        F.explode(
-            F.array(
-                F.struct(
-                    F.col("_us").alias("_at"), F.lit(1).alias("_side"),
-                    F.col("_n"), F.col("_us"),
-                ),
-                F.struct(
-                    (F.col("_us") - F.lit(window_us)).alias("_at"), F.lit(0).alias("_side"),
-                    F.lit(0).cast("bigint").alias("_n"), F.col("_us"),
-                ),
-            )
-        ).alias("_m"),
-    ).select(*keys, "_m.*")
-    counted = with_running_sum(marks, keys, ["_at", "_side"], "_n", "_sum")
-    signed = F.when(F.col("_side") == 1, F.col("_sum")).otherwise(-F.col("_sum"))
-    counts = counted.groupBy(*keys, "_us").agg(F.sum(signed).alias(name))
+    # Each moment also asks, just before the moment before_us earlier, how many
+    # rows came before it, and, just after the one after_us later, how many so far.
+    none = F.lit(0).cast("bigint").alias("_n")
+
+    def mark(at: Column, side: int, sign: int, n: Column) -> Column:
+        return F.struct(at.alias("_at"), F.lit(side).alias("_side"), F.lit(sign).alias("_sign"), n, F.col("_us"))
+
+    marks = [mark(F.col("_us"), 1, 0 if after_us else 1, F.col("_n")),
+             mark(F.col("_us") - F.lit(before_us), 0, -1, none)]
+    if after_us:
+        marks.append(mark(F.col("_us") + F.lit(after_us), 2, 1, none))
+    rows = moments.select(*keys, F.explode(F.array(*marks)).alias("_m")).select(*keys, "_m.*")
+    counted = with_running_sum(rows, keys, ["_at", "_side"], "_n", "_sum")
+    counts = counted.groupBy(*keys, "_us").agg(F.sum(F.col("_sum") * F.col("_sign")).alias(name))
     return join_keys(df, counts.withColumnRenamed("_us", us), [*keys, us], "inner")

@@ -238,6 +238,35 @@ rates AS (
 """
 
 
+def intervals(name: str, source: str, within_us: int, by: str) -> str:
+    """Links by a range join, groups by the gaps between signals in time order."""
+    same = f"a.{by} = b.{by} AND" if by else ""
+    part = f"PARTITION BY {by}" if by else ""
+    key = f" || '|' || {by}" if by else ""
+    return f"""
+{name}_n AS (
+  SELECT a.signal_id, count(*) - 1 AS n_links FROM {source} a JOIN {source} b
+    ON {same} b.us BETWEEN a.us - {within_us} AND a.us + {within_us} GROUP BY a.signal_id),
+{name}_flag AS (
+  SELECT *, CASE WHEN us - lag(us) OVER ({part} ORDER BY us, signal_id) <= {within_us} THEN 0 ELSE 1 END AS opens
+  FROM {source}),
+{name}_no AS (SELECT *, sum(opens) OVER ({part} ORDER BY us, signal_id) AS no FROM {name}_flag),
+{name}_start AS (SELECT *, min(us) OVER (PARTITION BY no{", " + by if by else ""}) AS group_start_us FROM {name}_no),
+{name} AS (
+  SELECT s.*, n_links, md5('interval|' || group_start_us{key}) AS group_id
+  FROM {name}_start s JOIN {name}_n USING (signal_id))
+"""
+
+
+GROUP_ROW = """
+    min(group_start_us) AS group_start_us, max(us) AS group_end_us, count(*) AS n_signals,
+    CAST(sum(n_links) // 2 AS BIGINT) AS n_links,
+    array_to_string(list_sort(list(DISTINCT service)), ',') AS services,
+    round(least(1.0::DOUBLE, count(DISTINCT signal_type) / 5.0::DOUBLE)
+          * least(1.0::DOUBLE, count(DISTINCT service) / 5.0::DOUBLE), 6) AS confidence"""
+TRACED = "traced AS (SELECT s.*, 'trace-' || e.user_id AS trace_id FROM sig s JOIN ev e ON s.event_id = e.event_id)"
+
+
 def _with(*parts: str) -> str:
     return "WITH RECURSIVE " + ",".join(parts)
 
@@ -395,6 +424,19 @@ ORACLES: dict[str, str] = {
         FROM traced GROUP BY day_us, trace_id""",
     "correlation_links": P_GROUPS + """
         SELECT group_id, signal_id FROM linked""",
+    "interval_links": P_SIG + "," + intervals("iv", "sig", 20 * 60_000_000, "") + """
+        SELECT group_id, signal_id, us, group_start_us, n_links FROM iv""",
+    "interval_groups": P_SIG + "," + intervals("iv", "sig", 20 * 60_000_000, "") + f"""
+        SELECT group_id, {GROUP_ROW},
+          CASE max(CASE severity WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END)
+            WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS top_severity
+        FROM iv GROUP BY group_id""",
+    "interval_traces": P_SIG + "," + TRACED + "," + intervals("iv", "traced", 7 * DAY, "trace_id") + f"""
+        SELECT group_id, trace_id, {GROUP_ROW} FROM iv GROUP BY group_id, trace_id""",
+    "signals_after_deployments": P_SIG + f"""
+        SELECT a.signal_id AS deployment_id, b.signal_id, b.signal_type, b.us - a.us AS after_us
+        FROM sig a JOIN sig b ON b.us BETWEEN a.us AND a.us + {2 * HOUR}
+        WHERE a.signal_type = 'DEPLOYMENT_FAILURE' AND b.signal_type <> 'DEPLOYMENT_FAILURE'""",
     "error_rate_by_window": _with(LOGS, RATES) + """
         SELECT service_name, window_start_us, events, errors, error_rate FROM rates""",
     "zscore_anomalies": _with(LOGS, RATES) + """
@@ -579,6 +621,37 @@ ORACLES: dict[str, str] = {
         SELECT i.id AS incident_id, i.error, lower(i.signal_severity) AS severity,
                b.playbook_id, b.action, b.priority, b.success_rate
         FROM inc i LEFT JOIN ranked b ON i.id = b.id AND b.place = 1""",
+    "playbook_choice_as_of": P_RESP + """
+        , cand(playbook_id, error, lo, hi, priority, action) AS (VALUES
+            ('b-1','DB_SLOW_QUERY',1,4,1,'restart_database'),
+            ('b-2','DB_SLOW_QUERY',2,2,1,'scale_database'),
+            ('b-3','DEPLOYMENT_FAILURE',1,2,9,'notify'),
+            ('b-4','DEPLOYMENT_FAILURE',3,4,2,'rollback_deployment'),
+            ('b-5','DEPLOYMENT_FAILURE',2,4,2,'restart_http_service'),
+            ('b-6','BRUTE_FORCE_LOGIN',3,3,1,'lock_accounts')),
+        past AS (
+          SELECT error, status, created_us + 60000000 AS done_us,
+            CASE WHEN (created_us // 60000000) % 2 = 0 THEN action
+                 WHEN action = 'rollback_deployment' THEN 'restart_http_service'
+                 WHEN action = 'restart_database' THEN 'scale_database' ELSE action END AS action
+          FROM ran),
+        pairs AS (
+          SELECT i.id, c.*, i.created_us FROM inc i JOIN cand c ON i.error = c.error
+            AND CASE i.signal_severity WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END
+                BETWEEN c.lo AND c.hi),
+        rated AS (
+          SELECT p.id, p.playbook_id, p.action, p.priority, count(h.status) AS tried,
+            round(coalesce(avg(CASE WHEN h.status = 'success' THEN 1.0::DOUBLE
+                                    WHEN h.status IS NOT NULL THEN 0.0::DOUBLE END), 0.0::DOUBLE), 6) AS success_rate
+          FROM pairs p LEFT JOIN past h
+            ON h.error = p.error AND h.action = p.action AND h.done_us <= p.created_us
+          GROUP BY ALL),
+        best AS (
+          SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY id
+            ORDER BY priority DESC, success_rate DESC, playbook_id) = 1)
+        SELECT i.id AS incident_id, i.error, lower(i.signal_severity) AS severity,
+               b.playbook_id, b.action, b.priority, b.success_rate, b.tried
+        FROM inc i LEFT JOIN best b ON i.id = b.id""",
     "escalations": P_RESP + """
         SELECT incident_id AS id, 'escalated' AS status, created_us + 60000000 AS changed_us
         FROM ran WHERE status = 'failed'""",

@@ -342,6 +342,37 @@ def correlation_links(spark, sf_dir):
         "group_id", "signal_id")
 
 
+def interval_links(spark, sf_dir):
+    """Signals up to 20 minutes from each other, over the ends of hours too."""
+    return correlate.interval_links(signals(spark, sf_dir, stored=True), 20 * MINUTE_US).select(
+        "group_id", "signal_id", "us", "group_start_us", "n_links")
+
+
+def interval_groups(spark, sf_dir):
+    return correlate.interval_groups(signals(spark, sf_dir, stored=True), 20 * MINUTE_US).select(
+        "group_id", "group_start_us", "group_end_us", "n_signals", "n_links",
+        F.concat_ws(",", "services").alias("services"), "top_severity", "confidence")
+
+
+def interval_traces(spark, sf_dir):
+    """Groups within a trace."""
+    found = cut(rules.detect(logs(spark, sf_dir), windowed=window_rules(), context=("trace_id",)))
+    return correlate.interval_groups(found, 7 * DAY_US, by=["trace_id"]).select(
+        "group_id", "group_start_us", "group_end_us", "trace_id", "n_signals", "n_links",
+        F.concat_ws(",", "services").alias("services"), "confidence")
+
+
+def signals_after_deployments(spark, sf_dir):
+    """Each failed deployment with the other signals of the two hours after it."""
+    found = signals(spark, sf_dir, stored=True).withColumn("us", us("detected_at"))
+    failed = found.filter("signal_type = 'DEPLOYMENT_FAILURE'").select("signal_id", "us")
+    other = found.filter("signal_type <> 'DEPLOYMENT_FAILURE'").select("signal_id", "signal_type", "us")
+    pairs = correlate.band_join(failed, other, [], "us", "us", 0, 2 * HOUR_US, split=50)
+    return pairs.select(
+        F.col("l.signal_id").alias("deployment_id"), F.col("r.signal_id").alias("signal_id"),
+        F.col("r.signal_type").alias("signal_type"), (F.col("r.us") - F.col("l.us")).alias("after_us"))
+
+
 def error_rate_by_window(spark, sf_dir):
     return anomaly.error_rate(logs(spark, sf_dir), HOUR_US)
 
@@ -546,7 +577,7 @@ def failure_suppressed(spark, sf_dir):
         "error", "service", "action", "failures").agg(F.count("*").alias("held_back"))
 
 
-def playbook_best_match(spark, sf_dir):
+def _books(spark):
     rows = [
         ("b-1", "DB_SLOW_QUERY", "LOW", "CRITICAL", 1, "restart_database"),
         ("b-2", "DB_SLOW_QUERY", "MEDIUM", "MEDIUM", 1, "scale_database"),
@@ -555,14 +586,28 @@ def playbook_best_match(spark, sf_dir):
         ("b-5", "DEPLOYMENT_FAILURE", "MEDIUM", "CRITICAL", 2, "restart_http_service"),
         ("b-6", "BRUTE_FORCE_LOGIN", "HIGH", "HIGH", 1, "lock_accounts"),
     ]
-    books = spark.createDataFrame(
+    return spark.createDataFrame(
         rows, "playbook_id string, trigger_signal string, min_severity string, "
               "max_severity string, priority int, action string")
+
+
+def playbook_best_match(spark, sf_dir):
     opened = signal_incidents(spark, sf_dir, stored=True)
-    best = respond.select_playbooks(books, executed(opened))
+    best = respond.select_playbooks(_books(spark), executed(opened))
     return respond.match_playbooks(opened, best)
 
 
+def playbook_choice_as_of(spark, sf_dir):
+    """Two actions that are tried in turn; an outcome counts once it is known."""
+    opened = signal_incidents(spark, sf_dir, stored=True)
+    history = executed(opened)
+    other = F.when(F.col("action") == "rollback_deployment", "restart_http_service").when(
+        F.col("action") == "restart_database", "scale_database").otherwise(F.col("action"))
+    odd = F.pmod(F.floor(us("created_at") / MINUTE_US), F.lit(2)) == 1
+    history = history.withColumn("action", F.when(odd, other).otherwise(F.col("action")))
+    return respond.choose_playbooks_as_of(opened, _books(spark), history)
+
+
 def escalations(spark, sf_dir):
     return respond.escalations(executed(signal_incidents(spark, sf_dir))).select(
         "id", "status", us("changed_at", "changed_us"))
@@ -644,14 +689,15 @@ BATCH = {
         signals_db_slow_query, signals_all, signal_counts, signals_bruteforce,
         signals_error_spike, signals_error_spike_by_host, signals_per_event,
         sliding_failure_count, rules_as_of, rules_as_of_windows, ids_of_texts, correlated_groups,
-        correlated_traces, correlation_links, error_rate_by_window, zscore_anomalies, incident_sessions,
+        correlated_traces, correlation_links,
+        interval_links, interval_groups, interval_traces, signals_after_deployments, error_rate_by_window, zscore_anomalies, incident_sessions,
         session_links, incident_severity_scored, incidents_by_signal_severity,
         incidents_from_payload, incidents_latest_after_updates, incidents_missing_updates,
         incidents_found_by_id, incident_status_history, lifecycle_transitions, incidents_strict_state,
         lifecycle_notices, incident_rollup, incidents_active, incidents_historical,
         incident_trend_daily, top_services, responses, playbook_coverage, action_plan_steps,
         safety_gate, safety_gate_after_allowed, approval_gate, failure_suppression, failure_suppressed,
-        playbook_best_match, escalations, execution_results, notifications_routed, notification_messages,
+        playbook_best_match, playbook_choice_as_of, escalations, execution_results, notifications_routed, notification_messages,
         notifications_rejected, notifications_count, audit_trail, audit_report,
         detection_latency_quantiles, log_throughput,
     )
