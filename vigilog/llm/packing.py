@@ -4,17 +4,24 @@ Documents become token ids and an end id; longer ones are cut into pieces of
 the capacity. From the histogram of piece lengths (as many rows as there are
 lengths) a plan is made on the driver:
 
-* patterns: every way to fill the capacity with up to ``depth`` pieces, lengths
-  rounded up to ``step`` tokens;
+* patterns: ways to fill the capacity with up to ``depth`` pieces, lengths of all
+  sizes rounded up to ``step`` tokens;
 * their repeat counts: non-negative least squares of the patterns against the
-  histogram, rounded down and held to the pieces there are;
+  histogram, rounded up and held to the pieces there are. The active-set method
+  needs one pattern at a time, the one with the largest gain, and a knapsack over
+  all of them finds it, so no list of patterns is made. What rounding left over is
+  fitted again, ``rounds`` times at most;
+* the smallest piece of a pattern is the longest that fits what its others left of
+  the capacity by being shorter than their rounded lengths;
 * residuals: the pieces that are left go, longest first, to the sequence with
   the least room that still takes them, one of the patterns' or a new one.
 
 Everything in the plan is a run: so many sequences of equal content. A piece is
 placed by its length and its rank among the pieces of that length, so tasks look
 their pieces up by themselves; the ranks come from ``common.ranked``, so that
-one length may have any number of pieces.
+one length may have any number of pieces. The plan's size depends on capacity and
+step, not on the corpus; it is sent to the tasks up to ``sent`` rows, beyond that
+pieces and runs meet in an as-of join by length and rank.
 
 Ids: texts are cut at blanks and line ends, which the tokenizer drops, and each
 stretch's ids are kept in a bounded table per worker; they are the ids of the
@@ -29,12 +36,18 @@ ignored; an empty table packs nothing.
 from __future__ import annotations
 
 import os
+import re
+import sys
 import zlib
+from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from vigilog.operators.asof import asof_join
+
 from .common import ranked, store
 
 #: Stretches whose ids a worker remembers (some 200 bytes each); longer than
@@ -45,22 +58,21 @@ _TEXTS, _CALL = 500, 20_000
 #: ASCII marks that end a stretch: after a letter or digit they are tokens of their own.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _BAR = "|"
+#: Common marks at the end of a stretch, after an ASCII letter or digit.
+_TAIL = re.compile(r"""([,.;:!?)"'])(?<=[0-9A-Za-z].)([,.;:!?)"']*)(?=[ \n]|\Z)""")
 _workers: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str):
     """Per worker: the tokenizer; its model for words that are lower-case letters
-    already, which need no normalising and no pattern; the ids of the bar; what
-    is remembered."""
+    already, which need no normalising and no pattern, only their bytes as the
+    letters that stand for bytes; the ids of the bar; what is remembered."""
     if path not in _workers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers as before
+        from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(path)
-        plain = Tokenizer(whole.model)
-        plain.pre_tokenizer = before.Sequence(
-            [before.WhitespaceSplit(), before.ByteLevel(add_prefix_space=False, use_regex=False)])
-        _workers[path] = whole, plain, whole.encode(_BAR, add_special_tokens=False).ids, {"": b""}
+        _workers[path] = whole, whole.model, whole.encode(_BAR, add_special_tokens=False).ids, {"": b""}
     return _workers[path]
 
 
@@ -83,6 +95,24 @@ def _encoded(tokenizer, words: list[str], bar: int) -> dict[str, bytes]:
     return made
 
 
+@lru_cache(maxsize=1)
+def _byte_letters() -> dict[int, int]:
+    """The letters that stand for bytes in byte-level vocabularies: printable ones
+    for themselves, the others from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in own]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
+def _plain_ids(model, words: set[str]) -> dict[str, bytes]:
+    """Ids of words of lower-case letters, by the model alone."""
+    made, letters = {}, _byte_letters()
+    for word in words:
+        text = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
+        made[word] = array("I", [t.id for t in model.tokenize(text)]).tobytes()
+    return made
+
+
 def _parted(stretch: str) -> tuple[str, str]:
     """A stretch without its last marks, and these, if their ids are separate."""
     core = stretch.rstrip(_MARKS)
@@ -92,25 +122,49 @@ def _parted(stretch: str) -> tuple[str, str]:
 
 
 def _learn(new: set[str], path: str) -> dict[str, bytes]:
-    """The ids of new stretches."""
-    whole, plain, bar, known = _tokenizer(path)
-    parted = {p: _parted(p) for p in new}
-    wanted = {x for pair in parted.values() for x in pair} - known.keys()
-    alone = {x for x in wanted if _BAR in x} if len(bar) == 1 else wanted
-    made = {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(
-        alone, whole.encode_batch_fast(list(alone), add_special_tokens=False))}
-    rest = wanted - alone
-    # The plain way is for a vocabulary that puts all into lower case.
-    lower = {x: x.lower() for x in rest if _letters(x)} if _is_lower(whole) else {}
-    words = _encoded(plain, list(set(lower.values())), bar[0])
-    made.update((x, words[w]) for x, w in lower.items())
-    made.update(_encoded(whole, [x for x in rest if x not in lower], bar[0]))
-    known.update((x, ids) for x, ids in made.items() if len(x) <= _LONG)
-    return {p: (made[c] if c in made else known[c]) + (made[t] if t in made else known[t]) for p, (c, t) in parted.items()}
-
-
-def _is_lower(tokenizer) -> bool:
-    return tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str("AÉ") == "aé"
+    """Remembers the ids of new stretches; returns those too long for that."""
+    whole, model, bar, known = _tokenizer(path)
+    # The plain way is for a byte-level vocabulary that puts all into lower case.
+    lower = _is_plain(whole)
+    words, others, alone = set(), set(), set()
+    joined: list[tuple[str, str, str]] = []  # stretch, its core in lower case, its marks
+
+    def other(x: str) -> None:
+        if x not in known:
+            (alone if _BAR in x or len(bar) > 1 else others).add(x)
+
+    for p in new:
+        core, marks = (p, "") if p.isalpha() else _parted(p)
+        if lower and (core.isascii() and core.isalpha() or _letters(core)):
+            low = core.lower()
+            if low not in known:
+                words.add(low)
+            if low is not p and low != p:
+                joined.append((p, low, marks))
+        else:
+            other(core)
+            if marks:
+                joined.append((p, core, marks))
+        if marks:
+            other(marks)
+    made = _plain_ids(model, words)
+    if others:
+        made.update(_encoded(whole, list(others), bar[0]))
+    if alone:
+        made.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(
+            alone, whole.encode_batch_fast(list(alone), add_special_tokens=False)))
+    for p, core, marks in joined:
+        made[p] = (made[core] if core in made else known[core]) + (made[marks] if marks in made else known[marks])
+    long = {x: made.pop(x) for x in [x for x in made if len(x) > _LONG]}
+    known.update(made)
+    return long
+
+
+def _is_plain(tokenizer) -> bool:
+    """Whether it is in lower case and byte-level."""
+    lower = tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str("AÉ") == "aé"
+    shown = tokenizer.pre_tokenizer.pre_tokenize_str("é") if tokenizer.pre_tokenizer is not None else []
+    return lower and [x for x, _ in shown] == ["Ã©"] and sys.byteorder == "little" and array("I").itemsize == 4
 
 
 def _ids(texts: list[str], path: str, end: int):
@@ -118,18 +172,23 @@ def _ids(texts: list[str], path: str, end: int):
     known = _tokenizer(path)[3]
     tail = np.array([end], "<u4").tobytes()
     for lo in range(0, len(texts), _TEXTS):
-        parts = [t.replace("\n", " ").split(" ") for t in texts[lo : lo + _TEXTS]]
-        every = set().union(*parts)
-        new = every.difference(known)
-        if len(known) + len(new) > _REMEMBERED:
+        parts = [_TAIL.sub(r" \1\2", t).replace("\n", " ").split(" ") for t in texts[lo : lo + _TEXTS]]
+        if len(known) > _REMEMBERED:
             known.clear()
             known[""] = b""
-            new = every.difference(known)
-        more = _learn(new, path) if new else {}
-        known.update((p, ids) for p, ids in more.items() if len(p) <= _LONG)
-        long = {p: ids for p, ids in more.items() if len(p) > _LONG}
-        for own in parts:
-            yield b"".join([known[p] if p in known else long[p] for p in own] if long else [known[p] for p in own]) + tail
+        found = [list(map(known.get, own)) for own in parts]
+        lacking = [i for i, ids in enumerate(found) if None in ids]
+        new: set[str] = set()
+        for i in lacking:
+            new.update([w for w, ids in zip(parts[i], found[i]) if ids is None])
+        long = _learn(new, path) if new else {}
+        for i in lacking:
+            found[i] = list(map(known.get, parts[i]))
+            if long and None in found[i]:
+                found[i] = [long[w] if ids is None else ids for w, ids in zip(parts[i], found[i])]
+        for ids in found:
+            ids.append(tail)
+            yield b"".join(ids)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1, with_ids: bool = False) -> DataFrame:
@@ -161,50 +220,73 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1, with_
 # -- the plan ------------------------------------------------------------------
 
 
-def patterns(units: int, depth: int) -> np.ndarray:
-    """All ways to write ``units`` as up to ``depth`` positive parts, largest
-    first, as rows padded with zeros."""
-    out = []
-
-    def grow(left: int, most: int, parts: tuple) -> None:
-        if left == 0:
-            out.append(parts + (0,) * (depth - len(parts)))
-        elif len(parts) < depth:
-            for part in range(min(left, most), -(-left // (depth - len(parts))) - 1, -1):
-                grow(left - part, part, (*parts, part))
-
-    grow(units, units, ())
-    return np.array(out, np.int64).reshape(-1, depth)
-
-
-def least_squares(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
-    """x >= 0 with the least ``|a x - b|``, by an active set (Lawson and Hanson)."""
-    x = np.zeros(a.shape[1])
-    active = np.zeros(a.shape[1], bool)
-    scale = 1e-9 * max(1.0, float(np.abs(a.T @ b).max(initial=0)))
-    for _ in range(rounds):
-        gain = a.T @ (b - a @ x)
-        gain[active] = -np.inf
-        best = int(np.argmax(gain))
-        if gain[best] <= scale:
+@lru_cache(maxsize=4)
+def _shifts(units: int) -> np.ndarray:
+    """For each total and part, the total without the part."""
+    left = np.arange(units + 1)[:, None] - np.arange(units + 1)
+    return np.where(left < 0, units + 1, left)
+
+
+def best_pattern(gains: np.ndarray, depth: int) -> np.ndarray:
+    """Of all ways to write ``len(gains) - 1`` units as up to ``depth`` parts the one
+    with the largest sum of ``gains`` of its parts, as parts, largest first; none
+    (empty) if every way has a part that is barred by a gain of minus infinity."""
+    units = len(gains) - 1
+    shift = _shifts(units)
+    each = np.r_[-np.inf, gains[1:]]
+    best = np.full(units + 2, -np.inf)  # the last one is out of reach
+    best[0] = 0
+    tops, picks = [best], []
+    for _ in range(depth):
+        sums = tops[-1][shift] + each
+        pick = sums.argmax(axis=1)
+        picks.append(pick)
+        tops.append(np.r_[sums[np.arange(units + 1), pick], -np.inf])
+    k = int(np.argmax([t[units] for t in tops]))
+    if not np.isfinite(tops[k][units]) or k == 0:
+        return np.zeros(0, np.int64)
+    parts, left = [], units
+    for pick in reversed(picks[:k]):
+        parts.append(int(pick[left]))
+        left -= parts[-1]
+    return np.array(sorted(parts, reverse=True), np.int64)
+
+
+def least_squares(counts: np.ndarray, depth: int, steps: int) -> list[tuple[np.ndarray, float]]:
+    """Patterns and their repeat counts, not below 0, with the least squares of
+    what they leave of ``counts`` (pieces by length in units), by an active set
+    (Lawson and Hanson) whose columns are found as they are needed, ``steps`` at most."""
+    ways: list[np.ndarray] = []
+    a = np.zeros((len(counts), 0))
+    x = np.zeros(0)
+    # A length that is not there has no part in any pattern.
+    barred = counts <= 0
+    for _ in range(steps):
+        rest = counts - a @ x
+        way = best_pattern(np.where(barred, -np.inf, rest), depth)
+        if not len(way) or rest[way].sum() <= 1e-6 * max(1.0, counts.max()):
             break
-        active[best] = True
+        column = np.bincount(way, minlength=len(counts)).astype(float)
+        if any(np.array_equal(way, w) for w in ways):
+            break  # no gain that numbers can tell
+        ways.append(way)
+        a, x = np.column_stack([a, column]), np.r_[x, 0.0]
         while True:
-            which = np.flatnonzero(active)
-            trial = np.linalg.lstsq(a[:, which], b, rcond=None)[0]
+            square = a.T @ a
+            square.flat[:: len(x) + 1] += 1e-9
+            trial = np.linalg.solve(square, a.T @ counts)
             if trial.min() > 0:
-                x[:] = 0
-                x[which] = trial
+                x = trial
                 break
             low = trial <= 0
-            before = x[which]
-            share = np.min(before[low] / np.maximum(before[low] - trial[low], 1e-300))
-            x[which] = before + share * (trial - before)
-            active[which[x[which] <= 1e-12]] = False
-            x[~active] = 0
-            if not active.any():
+            share = np.min(x[low] / np.maximum(x[low] - trial[low], 1e-300))
+            x = x + share * (trial - x)
+            keep = x > 1e-12
+            ways = [w for w, k in zip(ways, keep) if k]
+            a, x = a[:, keep], x[keep]
+            if not len(x):
                 break
-    return x
+    return list(zip(ways, x.tolist()))
 
 
 class _Plan:
@@ -219,6 +301,7 @@ class _Plan:
         self.placed: list[tuple[int, int, int, int, int]] = []  # length, rank, count, base, offset
         self.open: dict[int, list[tuple[int, int]]] = {}
         self.next = 0
+        self.fitted = 0  # pieces that patterns have placed
 
     def put(self, length: int, count: int, base: int, offset: int) -> None:
         self.placed.append((length, int(self.used[length]), count, base, offset))
@@ -229,19 +312,32 @@ class _Plan:
         if count and filled < self.capacity:
             self.open.setdefault(self.capacity - filled, []).append((base, count))
 
+    def bins(self, step: int) -> np.ndarray:
+        """Pieces left by length in units, rounded up."""
+        padded = np.r_[self.left[1:], np.zeros(-self.capacity % step, np.int64)]
+        return np.r_[0, padded.reshape(-1, step).sum(axis=1)]
+
     def pattern(self, parts: np.ndarray, count: int, step: int) -> None:
-        """``count`` sequences of one pattern, the longest of each bin first."""
+        """``count`` sequences of one pattern, the longest of each bin first; the
+        smallest part takes the longest piece that fits, also from a bin above."""
         runs = [(self.next, count, 0)]
         self.next += count
-        for part in parts[parts > 0]:
+        for place, part in enumerate(parts.tolist()):
             after = []
             for base, n, filled in runs:
-                for length in range(part * step, (part - 1) * step, -1):
+                top = self.capacity - filled if place == len(parts) - 1 else part * step
+                low = (part - 1) * step + 1
+                for length in (low + np.flatnonzero(self.left[low : top + 1])[::-1]).tolist():
                     take = int(min(n, self.left[length]))
                     if take:
                         self.put(length, take, base, filled)
+                        self.fitted += take
                         after.append((base, take, filled + length))
                         base, n = base + take, n - take
+                    if not n:
+                        break
+                if n:
+                    after.append((base, n, filled))
             runs = after
         for base, n, filled in runs:
             self.leave(base, n, filled)
@@ -276,47 +372,42 @@ class _Plan:
                     room[space] = False
 
 
-def plan(histogram: dict[int, int], capacity: int = 4096, step: int = 8, depth: int = 2, small: int = 1024) -> np.ndarray:
-    """Rows (length, first rank, count, first sequence, offset), sorted.
-
-    Lengths up to ``small`` are left to fill what the rounded patterns leave.
-    """
+def fit(histogram: dict[int, int], capacity: int = 4096, step: int = 16, depth: int = 8, rounds: int = 4, steps: int = 400) -> _Plan:
+    """The plan for pieces of these lengths, see above."""
     work = _Plan(histogram, capacity)
-    units = capacity // step
-    counts = np.zeros(units + 1)
-    for length, n in histogram.items():
-        counts[-(-length // step)] += n
-    counts[: small // step + 1] = 0
-    ways = patterns(units, depth)
-    ways = ways[[(counts[w[w > 0]] > 0).all() for w in ways]]
-    if len(ways):
-        a = np.zeros((units + 1, len(ways)))
-        for k in range(depth):
-            np.add.at(a, (ways[:, k], np.arange(len(ways))), ways[:, k] > 0)
-        repeats = np.floor(least_squares(a, counts) + 1e-6).astype(np.int64)
-        there = counts.astype(np.int64)
-        for k in np.argsort(-repeats, kind="stable"):
-            need = a[:, k].astype(np.int64)
-            count = int(min(repeats[k], *(there[need > 0] // need[need > 0])))
+    for _ in range(rounds):
+        before = work.fitted
+        found = least_squares(work.bins(step).astype(float), depth, steps)
+        for way, repeats in sorted(found, key=lambda f: -f[1]):
+            part, need = np.unique(way, return_counts=True)
+            count = int(min(np.ceil(repeats - 1e-6), (work.bins(step)[part] // need).min()))
             if count > 0:
-                there -= need * count
-                work.pattern(ways[k], count, step)
+                work.pattern(way, count, step)
+        if work.fitted == before:
+            break
     work.residuals()
-    return np.array(sorted(work.placed), np.int64).reshape(-1, 5)
+    return work
 
 
-def pack(cut: DataFrame, capacity: int = 4096, **how) -> DataFrame:
+def plan(histogram: dict[int, int], capacity: int = 4096, **how) -> np.ndarray:
+    """Rows (length, first rank, count, first sequence, offset), sorted."""
+    return np.array(sorted(fit(histogram, capacity, **how).placed), np.int64).reshape(-1, 5)
+
+
+def pack(cut: DataFrame, capacity: int = 4096, sent: int = 200_000, **how) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids_crc32, ...) with sequence_id and offset."""
     rows = store(cut, "pieces")
     histogram = {r.length: r.n for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     placed = plan(histogram, capacity, **how)
     order = [F.col(c) for c in ("doc_id", "piece", "ids_crc32")]
     numbered = ranked(rows, [F.col("length")], order, "_rank", "_of").select(*rows.columns, "_rank")
-    sent = rows.sparkSession.sparkContext.broadcast(placed)
+    if len(placed) > sent:
+        return _joined(numbered, placed, rows.columns)
+    plan_sent = rows.sparkSession.sparkContext.broadcast(placed)
     length_at, rank_at = rows.columns.index("length"), len(rows.columns)
 
     def place(batches):
-        placed = sent.value
+        placed = plan_sent.value
         key = (placed[:, 0] << 48) + placed[:, 1]
         for batch in batches:
             rank = batch.column(rank_at).to_numpy()
@@ -330,5 +421,13 @@ def pack(cut: DataFrame, capacity: int = 4096, **how) -> DataFrame:
     return numbered.mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
+def _joined(numbered: DataFrame, placed: np.ndarray, columns: list[str]) -> DataFrame:
+    """Every piece with the last run of its length that begins at or before its rank."""
+    names = ["length", "_first", "_count", "_base", "offset"]
+    runs = numbered.sparkSession.createDataFrame(pa.table({n: placed[:, i] for i, n in enumerate(names)}))
+    found = asof_join(numbered, runs, ["length"], "_rank", "_first", ["_first", "_base", "offset"])
+    return found.select(*columns, (F.col("_base") + F.col("_rank") - F.col("_first")).alias("sequence_id"), "offset")
+
+
 def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1, with_ids: bool = False, **how) -> DataFrame:
     return pack(pieces(docs, path, capacity, end, with_ids), capacity, **how)
