@@ -144,6 +144,46 @@ steps AS (
   FROM changes)
 """
 
+# Updates in order, with deadlines of 20 and 12 minutes.
+JUDGED = """
+, nth AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY opens, changed_us, seq) AS rn FROM changes),
+judge(id, rn, us, status, seq, state, since, due, was, notice) AS (
+  SELECT id, rn, changed_us, status, seq, status, changed_us, NULL::BIGINT, NULL::VARCHAR, 'created'
+  FROM nth WHERE rn = 1
+  UNION ALL
+  SELECT id, rn, us, status, seq, CASE WHEN may THEN status ELSE now END,
+         CASE WHEN may THEN us WHEN over THEN ends ELSE since END,
+         CASE WHEN over THEN ends END, CASE WHEN over THEN state END,
+         CASE WHEN may AND status = 'in_progress' THEN 'updated' WHEN may THEN status END
+  FROM (
+    SELECT *, now || '>' || status IN (
+      'open>in_progress','open>escalated','open>resolved','in_progress>escalated',
+      'in_progress>resolved','escalated>resolved') AS may
+    FROM (
+      SELECT *, CASE WHEN over THEN 'escalated' ELSE state END AS now
+      FROM (
+        SELECT *, coalesce(ends < us, FALSE) AS over
+        FROM (
+          SELECT n.id, n.rn, n.changed_us AS us, n.status, n.seq, j.state, j.since,
+                 j.since + CASE j.state WHEN 'open' THEN 1200000000 WHEN 'in_progress' THEN 720000000 END AS ends
+          FROM judge j JOIN nth n ON n.id = j.id AND n.rn = j.rn + 1))))),
+ended AS (
+  SELECT id, arg_max(state, rn) AS was,
+         arg_max(since, rn) + CASE arg_max(state, rn) WHEN 'open' THEN 1200000000 WHEN 'in_progress' THEN 720000000 END AS due
+  FROM judge GROUP BY id),
+judged AS (
+  SELECT id, previous, status, us AS changed_us, seq::BIGINT AS seq,
+         CASE WHEN previous IS NULL THEN 'opened' WHEN previous = status THEN 'unchanged'
+              WHEN previous = 'resolved' THEN 'rejected'
+              WHEN previous = 'escalated' AND status = 'in_progress' THEN 'rejected'
+              ELSE 'valid' END AS verdict, state, notice
+  FROM (SELECT *, lag(status) OVER (PARTITION BY id ORDER BY rn) AS previous FROM judge)
+  UNION ALL
+  SELECT id, was, 'escalated', due, NULL, 'overdue', 'escalated', 'escalated'
+  FROM (SELECT id, was, due FROM judge UNION ALL SELECT id, was, due FROM ended) WHERE due IS NOT NULL)
+"""
+
 RESPONSES = """
 books(error, action) AS (VALUES ('DB_SLOW_QUERY','restart_database'),
   ('HTTP_ERROR_SPIKE','restart_http_service'), ('BRUTE_FORCE_LOGIN','lock_accounts'),
@@ -511,6 +551,10 @@ ORACLES: dict[str, str] = {
           FROM held h JOIN nth n ON n.id = h.id AND n.rn = h.rn + 1)
         SELECT h.id, i.error, arg_max(h.status, h.rn) AS status
         FROM held h JOIN inc i ON i.id = h.id GROUP BY 1, 2""",
+    "incidents_judged": P_UPD + JUDGED + """
+        SELECT * FROM judged""",
+    "incidents_overdue": P_UPD + JUDGED + """
+        SELECT id, status, changed_us, 0::BIGINT AS seq FROM judged WHERE verdict = 'overdue'""",
     "lifecycle_notices": P_UPD + """
         SELECT id, previous, status, changed_us,
           CASE WHEN previous IS NULL THEN 'created' WHEN status IN ('resolved','escalated')
@@ -732,6 +776,10 @@ ORACLES |= {
         SELECT service_name, window_start_us, events, errors FROM rates""",
     "stream_incident_sessions": _with(LOGS, EVENT_SIGNALS, GROUPS.replace("FROM sig", "FROM evsig")) + f"""
         SELECT service, error, created_us, occurrence_count FROM sessions""",
+    "stream_lifecycle": P_UPD + JUDGED + """
+        SELECT * FROM judged
+        UNION ALL SELECT id, NULL, status, changed_us, seq, 'unknown', NULL, NULL
+        FROM upd WHERE id NOT IN (SELECT id FROM inc)""",
     "stream_stage_tables": _with(LOGS, LINES) + """
         , kept AS (
           SELECT *, CASE WHEN event_type = 'deployment.failed' THEN 'HIGH'

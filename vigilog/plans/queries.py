@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from vigilog import schema
 from vigilog.functions import fields
 from vigilog.operators import (
-    anomaly, audit, correlate, incidents as inc, notify, parse, process, respond, rulebook,
+    anomaly, audit, correlate, incidents as inc, lifecycle, notify, parse, process, respond, rulebook,
     rules, search, windows,
 )
 from vigilog.session import cut, spread
@@ -466,6 +466,26 @@ def incidents_strict_state(spark, sf_dir):
     return inc.strict_state(opened, updates(opened)).select("id", "error", "status")
 
 
+#: Seconds that a state may last.
+DEADLINES = {"open": 20 * 60, "in_progress": 12 * 60}
+
+
+def step_columns(steps: DataFrame) -> DataFrame:
+    return steps.select("id", "previous", "status", us("changed_at", "changed_us"), "seq", "verdict", "state", "notice")
+
+
+def incidents_judged(spark, sf_dir):
+    """Updates in order, overdue incidents escalated."""
+    opened = incidents(spark, sf_dir, stored=True)
+    return step_columns(lifecycle.judged(opened, updates(opened), deadlines_s=DEADLINES))
+
+
+def incidents_overdue(spark, sf_dir):
+    opened = incidents(spark, sf_dir, stored=True)
+    steps = lifecycle.judged(opened, updates(opened), deadlines_s=DEADLINES)
+    return lifecycle.escalated_when_overdue(steps).select("id", "status", us("changed_at", "changed_us"), "seq")
+
+
 def lifecycle_notices(spark, sf_dir):
     opened = incidents(spark, sf_dir, stored=True)
     return notify.lifecycle_notices(inc.status_changes(opened, updates(opened))).select(
@@ -694,7 +714,7 @@ BATCH = {
         session_links, incident_severity_scored, incidents_by_signal_severity,
         incidents_from_payload, incidents_latest_after_updates, incidents_missing_updates,
         incidents_found_by_id, incident_status_history, lifecycle_transitions, incidents_strict_state,
-        lifecycle_notices, incident_rollup, incidents_active, incidents_historical,
+        incidents_judged, incidents_overdue, lifecycle_notices, incident_rollup, incidents_active, incidents_historical,
         incident_trend_daily, top_services, responses, playbook_coverage, action_plan_steps,
         safety_gate, safety_gate_after_allowed, approval_gate, failure_suppression, failure_suppressed,
         playbook_best_match, playbook_choice_as_of, escalations, execution_results, notifications_routed, notification_messages,

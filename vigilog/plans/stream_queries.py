@@ -6,10 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigilog.operators import process, rules
-from vigilog.plans.queries import BRUTE, CHANNELS, SPIKE, us
+from vigilog.plans.queries import BRUTE, CHANNELS, DEADLINES, SPIKE, incidents, step_columns, updates, us
 from vigilog.session import scratch
 from vigilog.sources import event_table, tables
-from vigilog.streaming import incremental, pipeline, stateful
+from vigilog.streaming import incremental, lifecycle, pipeline, stateful
 
 HOUR_US = 3_600_000_000
 
@@ -84,6 +84,24 @@ def stream_incident_sessions(spark, sf_dir):
         service="end", detected_at=pipeline.END)
 
 
+def _stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """A batch result as a stage table, followed as a stream."""
+    root = scratch(spark, name)
+    df.write.parquet(f"{root}/{name}")
+    return pipeline.follow(spark, root, name)
+
+
+def stream_lifecycle(spark, sf_dir):
+    """Openings and updates of all incidents through the state machine, to the
+    end of all deadlines."""
+    opened = incidents(spark, sf_dir, stored=True)
+    rows = _stored(spark, lifecycle.changes(opened, updates(opened)), "changes")
+    steps = _to_the_end(
+        spark, rows, lambda r: lifecycle.judged(r, "1 hour", deadlines_s=DEADLINES), "steps",
+        id="end", status="open", seq=-1, opens=0, changed_at=pipeline.END)
+    return step_columns(steps)
+
+
 def stream_stage_tables(spark, sf_dir):
     """Lines to notifications through every stage table."""
     root = scratch(spark, "stages")
@@ -127,6 +145,6 @@ STREAM = {
     f.__name__: f
     for f in (
         stream_processed_counts, stream_signals, stream_bruteforce, stream_error_spike,
-        stream_error_rates, stream_incident_sessions, stream_stage_tables, stream_tailed_lines,
+        stream_error_rates, stream_incident_sessions, stream_lifecycle, stream_stage_tables, stream_tailed_lines,
     )
 }
