@@ -326,7 +326,11 @@ def safety_gate(
         gated = in_cooldown_of_allowed(attempts, keys, "us", "incident_id", cooldown_us)
     else:
         gated = in_cooldown(attempts, keys, "us", "incident_id", cooldown_us)
-    gated = sliding_count(gated, keys, "us", retry_window_us, "attempts")
+    return with_decision(sliding_count(gated, keys, "us", retry_window_us, "attempts"), retry_limit, protected)
+
+
+def with_decision(gated: DataFrame, retry_limit: int, protected: DataFrame | None) -> DataFrame:
+    """The decision by ``service``, ``attempts`` and ``in_cooldown``."""
     is_protected: Column = F.lit(False)
     if protected is not None:
         marked = protected.select("service").distinct().withColumn("_protected", F.lit(True))
@@ -341,6 +345,23 @@ def safety_gate(
     ).drop("_protected")
 
 
+def gated(
+    responses: DataFrame,
+    history: DataFrame,
+    cooldown_us: int,
+    retry_limit: int,
+    retry_window_us: int,
+    failure_limit: int = 1,
+    protected: DataFrame | None = None,
+    cooldown_after: str = "attempt",
+) -> DataFrame:
+    """``safety_gate`` with a column ``suppressed``: the action had failed
+    ``failure_limit`` times for the same pattern before the attempt."""
+    decided = safety_gate(responses, cooldown_us, retry_limit, retry_window_us, protected, cooldown_after)
+    known = _after_failures(decided, history, failure_limit, "left")
+    return known.withColumn("suppressed", F.col("failed_us").isNotNull()).drop("failures", "failed_us", *[f"_{c}" for c in PATTERN])
+
+
 def approval_gate(actions: DataFrame, approvals: DataFrame) -> DataFrame:
     """High-risk actions wait for an approval.
 

@@ -624,6 +624,20 @@ ORACLES: dict[str, str] = {
           CASE WHEN attempts > 3 THEN 'retry_limit' WHEN in_cooldown THEN 'cooldown'
                ELSE 'allowed' END AS decision
         FROM marked""",
+    "responses_gated": P_RESP + f"""
+        , tried AS (
+          SELECT incident_id, service, action, error, created_us AS us,
+            count(*) OVER (PARTITION BY service, action ORDER BY created_us
+              RANGE BETWEEN {12 * HOUR} PRECEDING AND CURRENT ROW) AS attempts,
+            coalesce(created_us - lag(created_us) OVER (
+              PARTITION BY service, action ORDER BY created_us, incident_id) < {2 * HOUR}, FALSE)
+              AS in_cooldown
+          FROM plan)
+        SELECT t.*, EXISTS (SELECT 1 FROM bad b WHERE t.error = b.error AND t.service = b.service
+            AND t.action = b.action AND t.us > b.failed_us) AS suppressed,
+          CASE WHEN service = 'auth-service' THEN 'protected' WHEN attempts > 3
+               THEN 'retry_limit' WHEN in_cooldown THEN 'cooldown' ELSE 'allowed' END AS decision
+        FROM tried t""",
     "approval_gate": P_RESP + """
         , decided AS (
           SELECT incident_id, action, arg_max(approved, decided_us) AS approved
@@ -793,6 +807,7 @@ ORACLES |= {
         UNION ALL SELECT 'incidents', count(found) FROM kept
         UNION ALL SELECT 'responses', count(found) FROM kept
         UNION ALL SELECT 'notifications', 0""",
+    "stream_response_gates": ORACLES["responses_gated"],
     "stream_tailed_lines": _with(LOGS, LINES) + """
         SELECT event_id, normalized_type FROM lines WHERE reason_out IS NULL""",
 }

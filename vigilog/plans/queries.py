@@ -559,6 +559,20 @@ def safety_gate_after_allowed(spark, sf_dir):
     ).select("incident_id", "service", "action", "us", "in_cooldown", "decision")
 
 
+#: Cooldown, limits and window of attempts.
+GATES = dict(cooldown_us=2 * HOUR_US, retry_limit=3, retry_window_us=12 * HOUR_US, failure_limit=5)
+
+
+def protected_services(spark):
+    return spark.createDataFrame([("auth-service",)], "service string")
+
+
+def responses_gated(spark, sf_dir):
+    opened = signal_incidents(spark, sf_dir, stored=True)
+    return respond.gated(planned(opened), executed(opened), protected=protected_services(spark), **GATES).select(
+        "incident_id", "service", "action", "error", "us", "attempts", "in_cooldown", "suppressed", "decision")
+
+
 def approval_gate(spark, sf_dir):
     opened = signal_incidents(spark, sf_dir, stored=True)
     actions = respond.action_plan(opened, _step_books(spark)).select(
@@ -716,7 +730,7 @@ BATCH = {
         incidents_found_by_id, incident_status_history, lifecycle_transitions, incidents_strict_state,
         incidents_judged, incidents_overdue, lifecycle_notices, incident_rollup, incidents_active, incidents_historical,
         incident_trend_daily, top_services, responses, playbook_coverage, action_plan_steps,
-        safety_gate, safety_gate_after_allowed, approval_gate, failure_suppression, failure_suppressed,
+        safety_gate, safety_gate_after_allowed, responses_gated, approval_gate, failure_suppression, failure_suppressed,
         playbook_best_match, playbook_choice_as_of, escalations, execution_results, notifications_routed, notification_messages,
         notifications_rejected, notifications_count, audit_trail, audit_report,
         detection_latency_quantiles, log_throughput,

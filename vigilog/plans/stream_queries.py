@@ -6,10 +6,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigilog.operators import process, rules
-from vigilog.plans.queries import BRUTE, CHANNELS, DEADLINES, SPIKE, incidents, step_columns, updates, us
+from vigilog.plans.queries import (
+    BRUTE, CHANNELS, DEADLINES, GATES, SPIKE, executed, incidents, planned, protected_services, signal_incidents,
+    step_columns, updates, us,
+)
 from vigilog.session import scratch
 from vigilog.sources import event_table, tables
-from vigilog.streaming import incremental, lifecycle, pipeline, stateful
+from vigilog.streaming import gates, incremental, lifecycle, pipeline, stateful
 
 HOUR_US = 3_600_000_000
 
@@ -102,6 +105,17 @@ def stream_lifecycle(spark, sf_dir):
     return step_columns(steps)
 
 
+def stream_response_gates(spark, sf_dir):
+    """Planned responses and outcomes of all incidents through the gates."""
+    opened = signal_incidents(spark, sf_dir, stored=True)
+    rows = _stored(spark, gates.attempts_and_outcomes(planned(opened), executed(opened)), "attempts")
+    found = _to_the_end(
+        spark, rows, lambda r: gates.gated(r, "1 hour", protected=protected_services(spark), **GATES), "gated",
+        service="end", action="end", kind=gates.ATTEMPT, incident_id="end", at=pipeline.END)
+    return found.select(
+        "incident_id", "service", "action", "error", "us", "attempts", "in_cooldown", "suppressed", "decision")
+
+
 def stream_stage_tables(spark, sf_dir):
     """Lines to notifications through every stage table."""
     root = scratch(spark, "stages")
@@ -145,6 +159,6 @@ STREAM = {
     f.__name__: f
     for f in (
         stream_processed_counts, stream_signals, stream_bruteforce, stream_error_spike,
-        stream_error_rates, stream_incident_sessions, stream_lifecycle, stream_stage_tables, stream_tailed_lines,
+        stream_error_rates, stream_incident_sessions, stream_lifecycle, stream_response_gates, stream_stage_tables, stream_tailed_lines,
     )
 }
