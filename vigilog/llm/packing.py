@@ -35,11 +35,13 @@ ignored; an empty table packs nothing.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import sys
 import zlib
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -60,19 +62,23 @@ _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _BAR = "|"
 #: Common marks at the end of a stretch, after an ASCII letter or digit.
 _TAIL = re.compile(r"""([,.;:!?)"'])(?<=[0-9A-Za-z].)([,.;:!?)"']*)(?=[ \n]|\Z)""")
+#: Whole stretches of lower-case ASCII letters.
+_LOWER = re.compile(r"(?<![^ ])[a-z]+(?![^ ])")
 _workers: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str):
     """Per worker: the tokenizer; its model for words that are lower-case letters
     already, which need no normalising and no pattern, only their bytes as the
-    letters that stand for bytes; the ids of the bar; what is remembered."""
+    letters that stand for bytes (None where the vocabulary is not in lower case and
+    byte-level); the ids of the bar; what is remembered."""
     if path not in _workers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(path)
-        _workers[path] = whole, whole.model, whole.encode(_BAR, add_special_tokens=False).ids, {"": b""}
+        plain = whole.model if _is_plain(whole) else None
+        _workers[path] = whole, plain, whole.encode(_BAR, add_special_tokens=False).ids, {"": b""}
     return _workers[path]
 
 
@@ -86,31 +92,34 @@ def _encoded(tokenizer, words: list[str], bar: int) -> dict[str, bytes]:
     made = {}
     for lo in range(0, len(words), _CALL):
         part = words[lo : lo + _CALL]
-        ids = np.array(tokenizer.encode_batch_fast([f" {_BAR} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.r_[np.flatnonzero(ids == bar), len(ids)]
-        body, at = ids.tobytes(), 0
-        for word, end in zip(part, ends.tolist()):
-            made[word] = body[4 * at : 4 * end]
-            at = end + 1
+        made.update(_cut_at(tokenizer, f" {_BAR} ".join(part), part, bar))
     return made
 
 
+def _cut_at(tokenizer, text: str, words: list[str], bar: int) -> Iterator[tuple[str, bytes]]:
+    ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+    ends = 4 * np.r_[np.flatnonzero(ids == bar), len(ids)]
+    starts = np.r_[0, ends[:-1] + 4]
+    body = ids.tobytes()
+    return zip(words, [body[lo:hi] for lo, hi in zip(starts.tolist(), ends.tolist())])
+
+
 @lru_cache(maxsize=1)
 def _byte_letters() -> dict[int, int]:
     """The letters that stand for bytes in byte-level vocabularies: printable ones
     for themselves, the others from 256 on."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    own = [*range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # blanks part words
     others = [b for b in range(256) if b not in own]
-    return {b: 256 + i for i, b in enumerate(others)}
+    return {b: 256 + i + (b > 0x20) for i, b in enumerate(others)}
 
 
-def _plain_ids(model, words: set[str]) -> dict[str, bytes]:
+def _plain_ids(model, words: list[str]) -> dict[str, bytes]:
     """Ids of words of lower-case letters, by the model alone."""
-    made, letters = {}, _byte_letters()
-    for word in words:
-        text = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
-        made[word] = array("I", [t.id for t in model.tokenize(text)]).tobytes()
-    return made
+    text = " ".join(words)
+    if not text.isascii():
+        text = text.encode().decode("latin-1").translate(_byte_letters())
+    tokenize = model.tokenize
+    return {word: array("I", [t.id for t in tokenize(own)]).tobytes() for word, own in zip(words, text.split(" "))}
 
 
 def _parted(stretch: str) -> tuple[str, str]:
@@ -123,17 +132,17 @@ def _parted(stretch: str) -> tuple[str, str]:
 
 def _learn(new: set[str], path: str) -> dict[str, bytes]:
     """Remembers the ids of new stretches; returns those too long for that."""
-    whole, model, bar, known = _tokenizer(path)
-    # The plain way is for a byte-level vocabulary that puts all into lower case.
-    lower = _is_plain(whole)
-    words, others, alone = set(), set(), set()
+    whole, plain, bar, known = _tokenizer(path)
+    lower = plain is not None and len(bar) == 1
+    others, alone = set(), set()
+    words = set(_LOWER.findall(" ".join(new))) if lower else set()
     joined: list[tuple[str, str, str]] = []  # stretch, its core in lower case, its marks
 
     def other(x: str) -> None:
         if x not in known:
             (alone if _BAR in x or len(bar) > 1 else others).add(x)
 
-    for p in new:
+    for p in new - words:
         core, marks = (p, "") if p.isalpha() else _parted(p)
         if lower and (core.isascii() and core.isalpha() or _letters(core)):
             low = core.lower()
@@ -147,7 +156,7 @@ def _learn(new: set[str], path: str) -> dict[str, bytes]:
                 joined.append((p, core, marks))
         if marks:
             other(marks)
-    made = _plain_ids(model, words)
+    made = _plain_ids(plain, list(words)) if words else {}
     if others:
         made.update(_encoded(whole, list(others), bar[0]))
     if alone:
@@ -167,6 +176,28 @@ def _is_plain(tokenizer) -> bool:
     return lower and [x for x, _ in shown] == ["Ã©"] and sys.byteorder == "little" and array("I").itemsize == 4
 
 
+def _places(items: list, what) -> list[int]:
+    """Where ``what`` is in a list."""
+    places, at = [], -1
+    for _ in range(items.count(what)):
+        at = items.index(what, at + 1)
+        places.append(at)
+    return places
+
+
+def _found(parts: list[list[str]], known: dict[str, bytes], path: str) -> list[list[bytes]]:
+    """The ids of each stretch of each text."""
+    found = [list(map(known.get, own)) for own in parts]
+    lacking = [(ids, own, _places(ids, None)) for ids, own in zip(found, parts) if None in ids]
+    if lacking:
+        long = _learn({own[k] for _, own, places in lacking for k in places}, path)
+        for ids, own, places in lacking:
+            for k in places:
+                word = own[k]
+                ids[k] = known[word] if word in known else long[word]
+    return found
+
+
 def _ids(texts: list[str], path: str, end: int):
     """The ids of each text as little-endian unsigned 32-bit bytes."""
     known = _tokenizer(path)[3]
@@ -176,16 +207,14 @@ def _ids(texts: list[str], path: str, end: int):
         if len(known) > _REMEMBERED:
             known.clear()
             known[""] = b""
-        found = [list(map(known.get, own)) for own in parts]
-        lacking = [i for i, ids in enumerate(found) if None in ids]
-        new: set[str] = set()
-        for i in lacking:
-            new.update([w for w, ids in zip(parts[i], found[i]) if ids is None])
-        long = _learn(new, path) if new else {}
-        for i in lacking:
-            found[i] = list(map(known.get, parts[i]))
-            if long and None in found[i]:
-                found[i] = [long[w] if ids is None else ids for w, ids in zip(parts[i], found[i])]
+        # Lists of what lives on, and no cycles: nothing for the collector to find.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            found = _found(parts, known, path)
+        finally:
+            if collects:
+                gc.enable()
         for ids in found:
             ids.append(tail)
             yield b"".join(ids)
