@@ -807,6 +807,8 @@ ORACLES |= {
         UNION ALL SELECT 'incidents', count(found) FROM kept
         UNION ALL SELECT 'responses', count(found) FROM kept
         UNION ALL SELECT 'notifications', 0""",
+    "stream_incident_store": P_UPD + """
+        SELECT id, service, error, severity, status, created_us, changed_us FROM state""",
     "stream_response_gates": ORACLES["responses_gated"],
     "stream_tailed_lines": _with(LOGS, LINES) + """
         SELECT event_id, normalized_type FROM lines WHERE reason_out IS NULL""",

@@ -12,7 +12,7 @@ from vigilog.plans.queries import (
 )
 from vigilog.session import scratch
 from vigilog.sources import event_table, tables
-from vigilog.streaming import gates, incremental, lifecycle, pipeline, stateful
+from vigilog.streaming import gates, incremental, lifecycle, pipeline, stateful, store
 
 HOUR_US = 3_600_000_000
 
@@ -116,6 +116,18 @@ def stream_response_gates(spark, sf_dir):
         "incident_id", "service", "action", "error", "us", "attempts", "in_cooldown", "suppressed", "decision")
 
 
+def stream_incident_store(spark, sf_dir):
+    """The last state of all incidents, from openings and updates in micro-batches."""
+    opened = incidents(spark, sf_dir, stored=True)
+    feed = store.changes(opened, updates(opened)).repartition(4)
+    root = scratch(spark, "store")
+    feed.write.parquet(f"{root}/feed")
+    kept = store.IncidentStore(spark, f"{root}/kept", buckets=16)
+    kept.follow(pipeline.follow(spark, root, "feed", max_files=2)).awaitTermination()
+    return kept.state().select(
+        "id", "service", "error", "severity", "status", us("created_at", "created_us"), us("changed_at", "changed_us"))
+
+
 def stream_stage_tables(spark, sf_dir):
     """Lines to notifications through every stage table."""
     root = scratch(spark, "stages")
@@ -159,6 +171,6 @@ STREAM = {
     f.__name__: f
     for f in (
         stream_processed_counts, stream_signals, stream_bruteforce, stream_error_spike,
-        stream_error_rates, stream_incident_sessions, stream_lifecycle, stream_response_gates, stream_stage_tables, stream_tailed_lines,
+        stream_error_rates, stream_incident_sessions, stream_lifecycle, stream_response_gates, stream_incident_store, stream_stage_tables, stream_tailed_lines,
     )
 }
