@@ -63,6 +63,11 @@ def _problem(columns: list[str] | None) -> Column:
     )
 
 
+def judged(rules: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """All rules in the full schema, with their ``problem`` or null."""
+    return _full(rules).select(*schema.RULE_SCHEMA.fieldNames()).withColumn("problem", _problem(columns))
+
+
 def rejected_rules(rules: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Rules that can never be judged, each with its problem; with the ``columns``
     of the logs also those about a column that is not there."""
@@ -86,20 +91,23 @@ class Rulebook:
         self.table = marked.drop("problem")
         self._kinds = {w: sorted({r.event_type for r in rows if r.windowed == w}) for w in (False, True)}
 
-    def of_kind(self, windowed: bool) -> DataFrame:
-        out = self.table.filter("window_s is not null" if windowed else "window_s is null").withColumnsRenamed(
+    def of_kind(self, windowed: bool | None) -> DataFrame:
+        """Its windowed rules, its per-event rules or, for None, all of them."""
+        out = self.table.withColumnsRenamed(
             {"event_type": "rule_event_type", "severity": "rule_severity", "version": "rule_version"})
+        if windowed is not None:
+            out = out.filter("window_s is not null" if windowed else "window_s is null")
         return F.broadcast(out) if self.few else out
 
-    def event_types(self, windowed: bool, most: int = 100) -> list[str] | None:
+    def event_types(self, windowed: bool | None, most: int = 100) -> list[str] | None:
         """The event types its rules are about, None if they are more than ``most``."""
-        kinds = self._kinds[windowed]
+        kinds = self._kinds[windowed] if windowed is not None else sorted({*self._kinds[False], *self._kinds[True]})
         return kinds if self.few and len(kinds) <= most else None
 
 
-def _matched(logs: DataFrame, book: Rulebook, windowed: bool) -> DataFrame:
-    """Events with each rule version that is in force at their time and holds,
-    and ``shown``, the value that was compared.
+def matched(logs: DataFrame, book: Rulebook, windowed: bool | None = None) -> DataFrame:
+    """Events with each rule version, of one kind or of both, that is in force at
+    their time and holds, and ``shown``, the value that was compared.
 
     An as-of join: equal event type, and the event's time inside the version's
     validity. A small rule table is broadcast, so events stay where they are;
@@ -132,11 +140,12 @@ def evaluate(logs: DataFrame, rules: DataFrame) -> DataFrame:
     """Signals of the table's per-event rules, each event judged by the rule
     versions in force at its time. Invalid rules are an error; see
     ``rejected_rules``. A version of the other kind ends the one before it."""
-    return evaluate_book(logs, Rulebook(rules, logs.columns))
+    return event_signals(matched(logs, Rulebook(rules, logs.columns), False))
 
 
-def evaluate_book(logs: DataFrame, book: Rulebook) -> DataFrame:
-    return _matched(logs, book, False).select(
+def event_signals(found: DataFrame) -> DataFrame:
+    """Signal rows of ``matched`` per-event rules."""
+    return found.select(
         fields.signal_id(F.col("signal_type"), F.col("event_id")).alias("signal_id"),
         "signal_type",
         F.col("rule_severity").alias("severity"),
@@ -155,14 +164,23 @@ def window_matches(logs: DataFrame, book: Rulebook) -> DataFrame:
     """The events that the windowed rule versions in force count, one row for each
     version: ``run_rule`` names it, ``run_key`` is what it counts by. Events whose
     key is null or empty do not count."""
-    by = F.coalesce(*[F.when(F.col("key_field") == n, F.col(n).cast("string"))
-                      for n in KEY_FIELDS if n in logs.columns], F.lit(None).cast("string"))
-    rows = _matched(logs, book, True).withColumn("_by", by)
-    return rows.filter(F.col("key_field").isNull() | (F.coalesce("_by", F.lit("")) != "")).select(
-        version_key().alias("run_rule"), F.coalesce("_by", F.lit("")).alias("run_key"),
+    return counted(matched(logs, book, True).withColumn("counts_by", counts_by(logs.columns)))
+
+
+def counts_by(columns: list[str]) -> Column:
+    """What a windowed rule counts an event by."""
+    return F.coalesce(*[F.when(F.col("key_field") == n, F.col(n).cast("string"))
+                        for n in KEY_FIELDS if n in columns], F.lit(None).cast("string"))
+
+
+def counted(found: DataFrame, *more: str) -> DataFrame:
+    """``window_matches`` of rows of ``matched`` that have ``counts_by``, with ``more``
+    of their columns."""
+    return found.filter(F.col("key_field").isNull() | (F.coalesce("counts_by", F.lit("")) != "")).select(
+        version_key().alias("run_rule"), F.coalesce("counts_by", F.lit("")).alias("run_key"),
         "event_id", "service_name", "timestamp", fields.micros(F.col("timestamp")).alias("us"),
         "rule_id", F.col("rule_version").alias("version"), "signal_type",
-        F.col("rule_severity").alias("severity"), "key_field", "count",
+        F.col("rule_severity").alias("severity"), "key_field", "count", *more,
     )
 
 
@@ -195,7 +213,7 @@ def evaluate_windows(logs: DataFrame, rules: DataFrame) -> DataFrame:
     scan, one join and one shuffle for any number of rules."""
     book = Rulebook(rules, logs.columns)
     settings = window_settings(book)
-    counted = window_matches(logs, book)
+    found = window_matches(logs, book)
     if not settings:
-        return as_window_signals(counted)
-    return as_window_signals(windows.emit_and_reset_rules(counted, "run_key", "us", "event_id", settings))
+        return as_window_signals(found)
+    return as_window_signals(windows.emit_and_reset_rules(found, "run_key", "us", "event_id", settings))

@@ -332,26 +332,38 @@ versioned AS (
   SELECT md5('HIGH_LATENCY|' || event_id) AS signal_id, 'latency' AS rule_id,
     CASE WHEN t < TIMESTAMP '2024-01-11' THEN 1 WHEN t < TIMESTAMP '2024-01-21' THEN 2
          ELSE 3 END AS version,
-    'HIGH_LATENCY' AS signal_type,
+    'HIGH_LATENCY' AS signal_type, event_id,
     CASE WHEN t < TIMESTAMP '2024-01-11' THEN 'MEDIUM' WHEN t < TIMESTAMP '2024-01-21'
          THEN 'HIGH' ELSE 'CRITICAL' END AS severity, us AS detected_at
   FROM logs_at WHERE event_type = 'http.request' AND
     CASE WHEN t < TIMESTAMP '2024-01-11' THEN latency_ms > 2000
          WHEN t < TIMESTAMP '2024-01-21' THEN latency_ms >= 3000 ELSE latency_ms > 4000 END
   UNION ALL
-  SELECT md5('DEPLOYMENT_FAILURE|' || event_id), 'deploy', 1, 'DEPLOYMENT_FAILURE', 'HIGH', us
+  SELECT md5('DEPLOYMENT_FAILURE|' || event_id), 'deploy', 1, 'DEPLOYMENT_FAILURE', event_id, 'HIGH', us
   FROM logs_at WHERE event_type = 'deployment.failed' AND t >= TIMESTAMP '2024-01-06'
   UNION ALL
-  SELECT md5('HTTP_NOT_FOUND|' || event_id), 'missing', 1, 'HTTP_NOT_FOUND', 'LOW', us
+  SELECT md5('HTTP_NOT_FOUND|' || event_id), 'missing', 1, 'HTTP_NOT_FOUND', event_id, 'LOW', us
   FROM logs_at WHERE event_type = 'http.request' AND status = 404
   UNION ALL
-  SELECT md5('DEPLOYMENT_SEEN|' || event_id), 'deploys', 1, 'DEPLOYMENT_SEEN', 'LOW', us
+  SELECT md5('DEPLOYMENT_SEEN|' || event_id), 'deploys', 1, 'DEPLOYMENT_SEEN', event_id, 'LOW', us
   FROM logs_at WHERE event_type = 'deployment.failed' AND t < TIMESTAMP '2024-01-13'
   UNION ALL
-  SELECT md5('CONTAINER_CRASH|' || event_id), 'crash', 1, 'CONTAINER_CRASH', 'HIGH', us
+  SELECT md5('CONTAINER_CRASH|' || event_id), 'crash', 1, 'CONTAINER_CRASH', event_id, 'HIGH', us
   FROM logs_at WHERE event_type = 'deployment.failed' AND reason = 'container_crash')
 """
 JAN_16 = "epoch_us(TIMESTAMP '2024-01-16')"
+RULE_WINDOWS = (
+    fired("w1", "''", "event_type = 'http.request' AND status >= 500 AND us < " + JAN_16, 5, 6 * HOUR),
+    fired("w2", "''", "event_type = 'http.request' AND status >= 400 AND us >= " + JAN_16, 6, 3 * HOUR),
+    fired("w3", "''", "event_type = 'deployment.failed' AND us >= epoch_us(TIMESTAMP '2024-01-13')", 2, 12 * HOUR),
+    BRUTE,
+    """windowed AS (
+  SELECT 'spike' AS rule_id, 1 AS version, 'HTTP_ERROR_SPIKE' AS signal_type, event_id, us FROM w1
+  UNION ALL SELECT 'spike', 2, 'HTTP_ERROR_SPIKE', event_id, us FROM w2
+  UNION ALL SELECT 'deploys', 2, 'DEPLOYMENT_STORM', event_id, us FROM w3
+  UNION ALL SELECT 'logins', 1, 'BRUTE_FORCE_LOGIN', event_id, us FROM brute)
+""",
+)
 
 ORACLES: dict[str, str] = {
     "processed_logs": P_LOGS + """
@@ -423,21 +435,8 @@ ORACLES: dict[str, str] = {
         FROM logs WHERE event_type = 'auth.login_failed'""",
     "rules_as_of": _with(LOGS, RULE_ROWS) + """
         SELECT signal_id, rule_id, version, signal_type, severity, detected_at AS us FROM versioned""",
-    "rules_as_of_windows": _with(
-        LOGS,
-        fired("w1", "''", "event_type = 'http.request' AND status >= 500 AND us < " + JAN_16,
-              5, 6 * HOUR),
-        fired("w2", "''", "event_type = 'http.request' AND status >= 400 AND us >= " + JAN_16,
-              6, 3 * HOUR),
-        fired("w3", "''", "event_type = 'deployment.failed' AND us >= epoch_us(TIMESTAMP '2024-01-13')",
-              2, 12 * HOUR),
-        BRUTE,
-    ) + """
-        SELECT 'spike' AS rule_id, 1 AS version, 'HTTP_ERROR_SPIKE' AS signal_type, event_id, us
-        FROM w1
-        UNION ALL SELECT 'spike', 2, 'HTTP_ERROR_SPIKE', event_id, us FROM w2
-        UNION ALL SELECT 'deploys', 2, 'DEPLOYMENT_STORM', event_id, us FROM w3
-        UNION ALL SELECT 'logins', 1, 'BRUTE_FORCE_LOGIN', event_id, us FROM brute""",
+    "rules_as_of_windows": _with(LOGS, *RULE_WINDOWS) + """
+        SELECT rule_id, version, signal_type, event_id, us FROM windowed""",
     "ids_of_texts": _with(LOGS) + """
         , parts AS (
           SELECT replace(message, ' ', '|') AS a, replace(path, '/', '\\') AS b FROM (
@@ -794,6 +793,9 @@ ORACLES |= {
         SELECT * FROM judged
         UNION ALL SELECT id, NULL, status, changed_us, seq, 'unknown', NULL, NULL
         FROM upd WHERE id NOT IN (SELECT id FROM inc)""",
+    "stream_rule_changes": _with(LOGS, RULE_ROWS, *RULE_WINDOWS) + """
+        SELECT rule_id, version, signal_type, severity, event_id, detected_at AS us FROM versioned
+        UNION ALL SELECT rule_id, version, signal_type, 'HIGH', event_id, us FROM windowed""",
     "stream_stage_tables": _with(LOGS, LINES) + """
         , kept AS (
           SELECT *, CASE WHEN event_type = 'deployment.failed' THEN 'HIGH'

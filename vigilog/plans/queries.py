@@ -257,7 +257,7 @@ def sliding_failure_count(spark, sf_dir):
     return windows.sliding_count(failed, ["client_ip"], "us", DAY_US)
 
 
-def _rule_table(spark):
+def rule_table(spark):
     def at(day):
         return datetime(2024, 1, day, tzinfo=timezone.utc)
 
@@ -290,12 +290,12 @@ def _rule_table(spark):
 
 
 def rules_as_of(spark, sf_dir):
-    return rulebook.evaluate(logs(spark, sf_dir), _rule_table(spark)).select(
+    return rulebook.evaluate(logs(spark, sf_dir), rule_table(spark)).select(
         "signal_id", "rule_id", "version", "signal_type", "severity", us("detected_at"))
 
 
 def rules_as_of_windows(spark, sf_dir):
-    return rulebook.evaluate_windows(logs(spark, sf_dir), _rule_table(spark)).select(
+    return rulebook.evaluate_windows(logs(spark, sf_dir), rule_table(spark)).select(
         "rule_id", "version", "signal_type", "event_id", us("detected_at"))
 
 

@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigilog.operators import process, rules
 from vigilog.plans.queries import (
-    BRUTE, CHANNELS, DEADLINES, GATES, SPIKE, executed, incidents, planned, protected_services, signal_incidents,
-    step_columns, updates, us,
+    BRUTE, CHANNELS, DEADLINES, GATES, SPIKE, executed, incidents, planned, protected_services, rule_table,
+    signal_incidents, step_columns, updates, us,
 )
 from vigilog.session import scratch
 from vigilog.sources import event_table, tables
-from vigilog.streaming import gates, incremental, lifecycle, pipeline, stateful, store
+from vigilog.streaming import gates, incremental, lifecycle, pipeline, rulebook, stateful, store
 
 HOUR_US = 3_600_000_000
 
@@ -74,6 +74,22 @@ def stream_error_spike(spark, sf_dir):
     return found.select("event_id", "service", us("detected_at"))
 
 
+def stream_rule_changes(spark, sf_dir):
+    """Rules of both kinds over a stream that is half through when new versions are
+    published, which takes it to a restart."""
+    root = scratch(spark, "rule-changes")
+    rows = event_table.read_logs(spark, sf_dir)
+    for first, last in ((None, "2024-01-11"), ("2024-01-11", None)):
+        part = rows.filter(F.col("timestamp") >= first) if first else rows.filter(
+            F.col("timestamp").isNull() | (F.col("timestamp") < last))
+        part.write.mode("append").parquet(f"{root}/feed")
+        published = rule_table(spark) if last is None else rule_table(spark).filter(F.col("valid_from") < last)
+        rulebook.signals_while_rules_change(
+            pipeline.follow(spark, root, "feed"), lambda: published, f"{root}/out", HOUR_US).awaitTermination()
+    found = rulebook.read_signals(spark, f"{root}/out").unionByName(rulebook.remaining_signals(spark, f"{root}/out"))
+    return found.select("rule_id", "version", "signal_type", "severity", "event_id", us("detected_at"))
+
+
 def stream_error_rates(spark, sf_dir):
     return _to_the_end(
         spark, _logs(spark, sf_dir), lambda logs: pipeline.error_rates(logs, "1 hour", "1 hour"), "rates",
@@ -170,7 +186,7 @@ def stream_tailed_lines(spark, sf_dir):
 STREAM = {
     f.__name__: f
     for f in (
-        stream_processed_counts, stream_signals, stream_bruteforce, stream_error_spike,
+        stream_processed_counts, stream_signals, stream_bruteforce, stream_error_spike, stream_rule_changes,
         stream_error_rates, stream_incident_sessions, stream_lifecycle, stream_response_gates, stream_incident_store, stream_stage_tables, stream_tailed_lines,
     )
 }

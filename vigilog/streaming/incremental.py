@@ -20,7 +20,7 @@ from vigilog.operators import rules, windows
 from vigilog.session import cut
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
     except AnalysisException as error:
@@ -90,8 +90,8 @@ def window_signals(
         old, new = (batch_id - 1) % 2, batch_id % 2
         held = before = None
         if batch_id > 0:
-            held = _read(spark, f"{root}/open/slot={old}")
-            mark = _read(spark, f"{root}/horizon/slot={old}")
+            held = read_if_there(spark, f"{root}/open/slot={old}")
+            mark = read_if_there(spark, f"{root}/horizon/slot={old}")
             before = mark.first()["us"] if mark is not None else None
         fired, still, late, horizon = step(cut(batch), held, before, rule, lateness_us)
         signals = rules.window_hits(fired, rule)
@@ -116,12 +116,12 @@ def remaining_signals(spark: SparkSession, root: str, rule: rules.WindowRule) ->
     first micro-batch. Changes nothing, so the stream may go on."""
     marks = []
     for slot in (0, 1):
-        mark = _read(spark, f"{root}/horizon/slot={slot}")
+        mark = read_if_there(spark, f"{root}/horizon/slot={slot}")
         if mark is not None:
             marks.append((mark.first()["batch"], slot))
     if not marks:
         return None
-    rows = _read(spark, f"{root}/open/slot={max(marks)[1]}")
+    rows = read_if_there(spark, f"{root}/open/slot={max(marks)[1]}")
     fired = windows.emit_and_reset(
         rows, "run_key", "us", "event_id", rule.count, rule.window_us, stored=True)
     return rules.window_hits(fired, rule)
