@@ -172,12 +172,15 @@ def parse_text_lines(
             found = F.when(F.col("pattern") == p.name, part).otherwise(found)
         return F.when(found != "", found)
 
-    out = matched.select(
-        "value",
-        "pattern",
-        *[column(n).alias(n) for n in schema.TEXT_FIELDS],
-        *[column(n).try_cast(kind).alias(n) for n, kind in schema.METADATA_FIELDS.items()],
-    )
+    return typed_fields(matched.select(
+        "value", "pattern", *[column(n).alias(n) for n in (*schema.TEXT_FIELDS, *schema.METADATA_FIELDS)]))
+
+
+def typed_fields(found: DataFrame) -> DataFrame:
+    """Lines with the texts of their fields to log rows: typed, with a level and an id."""
+    out = found.select(
+        "value", "pattern", *schema.TEXT_FIELDS,
+        *[F.col(n).try_cast(kind).alias(n) for n, kind in schema.METADATA_FIELDS.items()])
     level = (
         F.when(F.col("log_level").isNotNull(), F.col("log_level"))
         .when(F.col("pattern").isNull(), F.lit(None))

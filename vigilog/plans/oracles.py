@@ -395,6 +395,25 @@ ORACLES: dict[str, str] = {
     "regex_unmatched_lines": P_LOGS + """
         SELECT message AS value, count(*) AS lines FROM msg
         WHERE event_type = 'auth.login_success' GROUP BY 1""",
+    "lines_by_format_table": P_LOGS + """
+        , named AS (
+          SELECT *, CASE event_type WHEN 'auth.login_failed' THEN 'failed_login'
+            WHEN 'deployment.failed' THEN 'deployment' WHEN 'db.query' THEN 'service_line'
+            WHEN 'http.request' THEN CASE WHEN status >= 500 THEN 'server_error'
+              WHEN path = '/api/v1/r0' THEN 'first_path' ELSE 'access_line' END END AS pattern
+          FROM msg)
+        SELECT pattern,
+               CASE WHEN pattern IS NOT NULL THEN service_name END AS service_name,
+               CASE WHEN pattern IS NOT NULL THEN event_type END AS event_type,
+               CASE WHEN event_type = 'http.request' THEN if(status >= 500, 'ERROR', 'INFO')
+                    WHEN pattern IS NOT NULL THEN log_level END AS log_level,
+               CASE WHEN pattern IS NOT NULL THEN us END AS us,
+               CASE pattern WHEN 'deployment' THEN message || ' version=' || version
+                    WHEN 'failed_login' THEN message WHEN 'service_line' THEN message
+                    ELSE 'GET ' || path END AS message,
+               status, CASE WHEN pattern IS NOT NULL THEN client_ip END AS client_ip, path, version,
+               CASE WHEN event_type = 'http.request' THEN round(latency_ms, 2) END AS latency_ms
+        FROM named""",
     "search_logs": P_LOGS + """
         SELECT event_id, us, event_type, message FROM msg
         WHERE service_name = 'api-gateway' AND log_level = 'ERROR'

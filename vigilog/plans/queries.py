@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from vigilog import schema
 from vigilog.functions import fields
 from vigilog.operators import (
-    anomaly, audit, correlate, incidents as inc, lifecycle, notify, parse, process, respond, rulebook,
+    anomaly, audit, correlate, formats, incidents as inc, lifecycle, notify, parse, process, respond, rulebook,
     rules, search, windows,
 )
 from vigilog.session import cut, spread
@@ -178,6 +178,39 @@ def regex_unmatched_lines(spark, sf_dir):
         F.count("*").alias("lines"))
 
 
+def format_table(spark, others: int = 190):
+    """The formats of ``event_table.as_text_lines``, special ones before general ones,
+    among ``others`` of services that these logs do not have."""
+    at, rest = r"(\d{4}-\d\d-\d\dT\S+)", r"\s+([A-Z]+)\s+(\S+)\s+"
+    said = {"timestamp": 1, "log_level": 2, "service_name": 3, "message": 4}
+    asked = {"client_ip": 1, "timestamp": 2, "message": 3, "path": 4, "status": 5, "latency_ms": 6}
+    http = {"service_name": "api-gateway", "event_type": "http.request"}
+
+    def access(path, status):
+        return rf'^(\S+) \S+ \S+ \[([^\]]+)\] "(\S+ ({path})[^"]*)" ({status}) ([\d.]+)$'
+
+    rows = [
+        ("failed_login", 1, rf"^{at}{rest}\[auth\.login_failed\] (.*?) client_ip=\S+$", said,
+         {"event_type": "auth.login_failed"}),
+        ("deployment", 1, rf"^{at}{rest}\[deployment\.failed\] (.*)$", said, {"event_type": "deployment.failed"}),
+        ("server_error", 2, access(r"\S+", r"5\d\d"), asked, {**http, "log_level": "ERROR"}),
+        ("first_path", 3, access("/api/v1/r0", r"\d{3}"), asked, http),
+        ("access_line", 9, access(r"\S+", r"\d{3}"), asked, http),
+        ("service_line", 9, rf"^{at}{rest}\[([^\]]+)\]\s+(.*)$", {**said, "event_type": 4, "message": 5}, {}),
+        *((f"other_{i}", 1, rf"^{at}{rest}\[svc{i}\.(?:start|stop)\]\s+unit-{i}: (.*)$", said, {})
+          for i in range(others)),
+    ]
+    return spark.createDataFrame(rows, formats.FORMAT_DDL)
+
+
+def lines_by_format_table(spark, sf_dir):
+    lines = event_table.as_text_lines(_spread_logs(spark, sf_dir))
+    return formats.parse_by_formats(lines, format_table(spark)).select(
+        "pattern", "service_name", "event_type", "log_level", us("timestamp"), "message",
+        F.col("status").cast("int").alias("status"), "client_ip", "path", "version",
+        F.round("latency_ms", 2).alias("latency_ms"))
+
+
 def search_logs(spark, sf_dir):
     found = search.search_logs(
         logs(spark, sf_dir), service="api-gateway", level="ERROR",
@@ -718,7 +751,7 @@ BATCH = {
     f.__name__: f
     for f in (
         processed_logs, severity_counts, latency_buckets, parsed_json_lines, dead_letters,
-        processing_status, regex_parsed_lines, regex_unmatched_lines, search_logs,
+        processing_status, regex_parsed_lines, regex_unmatched_lines, lines_by_format_table, search_logs,
         replayed_signals, signals_high_latency, signals_deployment_failure,
         signals_db_slow_query, signals_all, signal_counts, signals_bruteforce,
         signals_error_spike, signals_error_spike_by_host, signals_per_event,
