@@ -210,25 +210,29 @@ def _slots(signals: DataFrame, gap_us: int) -> DataFrame:
 def incident_sessions(signals: DataFrame, gap_us: int) -> DataFrame:
     """Repeats of one (service, error) folded into one incident while they
     keep coming within ``gap_us``; the related signals are ``session_links``."""
-    return (
+    return session_rows(
         _slots(signals, gap_us)
         .groupBy(*SESSION_KEYS, "session_start_us")
         .agg(
             F.sum("n").alias("occurrence_count"),
             F.max("_max").alias("updated_us"),
-            classify.severity_name(F.max("rank")).alias("priority"),
+            F.max("rank").alias("rank"),
             F.min("first")["signal_id"].alias("first_signal"),
             F.max("last")["signal_id"].alias("last_signal"),
         )
-        .select(
-            session_id().alias("incident_id"), *SESSION_KEYS,
-            F.lit("open").alias("status"), "priority", "occurrence_count",
-            F.create_map(
-                F.lit("first_signal"), F.col("first_signal"),
-                F.lit("last_signal"), F.col("last_signal"),
-            ).alias("context_data"),
-            F.col("session_start_us").alias("created_us"), "updated_us",
-        )
+    )
+
+
+def session_rows(folded: DataFrame) -> DataFrame:
+    """Incidents of folded sessions, one row each."""
+    return folded.select(
+        session_id().alias("incident_id"), *SESSION_KEYS,
+        F.lit("open").alias("status"), classify.severity_name(F.col("rank")).alias("priority"), "occurrence_count",
+        F.create_map(
+            F.lit("first_signal"), F.col("first_signal"),
+            F.lit("last_signal"), F.col("last_signal"),
+        ).alias("context_data"),
+        F.col("session_start_us").alias("created_us"), "updated_us",
     )
 
 

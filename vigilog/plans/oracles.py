@@ -806,8 +806,10 @@ ORACLES |= {
         SELECT event_id, service_name AS service, us FROM spike""",
     "stream_error_rates": _with(LOGS, RATES) + f"""
         SELECT service_name, window_start_us, events, errors FROM rates""",
-    "stream_incident_sessions": _with(LOGS, EVENT_SIGNALS, GROUPS.replace("FROM sig", "FROM evsig")) + f"""
-        SELECT service, error, created_us, occurrence_count FROM sessions""",
+    "stream_incident_sessions": _with(LOGS, EVENT_SIGNALS, GROUPS.replace("FROM sig", "FROM evsig")) + """
+        SELECT * FROM sessions""",
+    "stream_session_links": _with(LOGS, EVENT_SIGNALS, GROUPS.replace("FROM sig", "FROM evsig")) + """
+        SELECT incident_id, signal_id FROM sess""",
     "stream_lifecycle": P_UPD + JUDGED + """
         SELECT * FROM judged
         UNION ALL SELECT id, NULL, status, changed_us, seq, 'unknown', NULL, NULL

@@ -12,7 +12,7 @@ from vigilog.plans.queries import (
 )
 from vigilog.session import scratch
 from vigilog.sources import event_table, tables
-from vigilog.streaming import gates, incremental, lifecycle, pipeline, rulebook, stateful, store
+from vigilog.streaming import gates, incremental, lifecycle, pipeline, rulebook, sessions, stateful, store
 
 HOUR_US = 3_600_000_000
 
@@ -96,11 +96,30 @@ def stream_error_rates(spark, sf_dir):
         timestamp=pipeline.END)
 
 
+#: Longer than all these events: rows of any order meet.
+ANY_ORDER_US = 400 * 24 * HOUR_US
+
+
+def _sessions(spark: SparkSession, sf_dir: str) -> str:
+    """The sessions of all signals that come in two parts, neither in order of time."""
+    root = scratch(spark, "sessions")
+    found = rules.event_signals(event_table.read_logs(spark, sf_dir))
+    found.repartition(2, "signal_id").write.parquet(f"{root}/signals")
+    sessions.follow(
+        pipeline.follow(spark, root, "signals", max_files=1), f"{root}/out", HOUR_US, ANY_ORDER_US).awaitTermination()
+    return f"{root}/out"
+
+
 def stream_incident_sessions(spark, sf_dir):
-    found = rules.event_signals(_logs(spark, sf_dir))
-    return _to_the_end(
-        spark, found, lambda signals: pipeline.incident_sessions(signals, "1 hour", "1 hour"), "sessions",
-        service="end", detected_at=pipeline.END)
+    """Sessions that late rows lengthen and join."""
+    return sessions.sessions(spark, _sessions(spark, sf_dir)).select(
+        "incident_id", "service", "error", "status", "priority", "occurrence_count", "created_us", "updated_us",
+        F.col("context_data")["first_signal"].alias("first_signal"),
+        F.col("context_data")["last_signal"].alias("last_signal"))
+
+
+def stream_session_links(spark, sf_dir):
+    return sessions.session_links(spark, _sessions(spark, sf_dir), HOUR_US)
 
 
 def _stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -187,6 +206,6 @@ STREAM = {
     f.__name__: f
     for f in (
         stream_processed_counts, stream_signals, stream_bruteforce, stream_error_spike, stream_rule_changes,
-        stream_error_rates, stream_incident_sessions, stream_lifecycle, stream_response_gates, stream_incident_store, stream_stage_tables, stream_tailed_lines,
+        stream_error_rates, stream_incident_sessions, stream_session_links, stream_lifecycle, stream_response_gates, stream_incident_store, stream_stage_tables, stream_tailed_lines,
     )
 }

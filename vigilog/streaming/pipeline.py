@@ -144,23 +144,3 @@ def error_rates(logs: DataFrame, window: str, lateness: str) -> DataFrame:
             "events", "errors",
         )
     )
-
-
-def incident_sessions(signals: DataFrame, gap: str, lateness: str) -> DataFrame:
-    """Closed sessions of repeated signals of a stream; sessions are merged
-    within each input partition before the shuffle."""
-    signals.sparkSession.conf.set(
-        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"
-    )
-    return (
-        signals.withWatermark("detected_at", lateness)
-        .groupBy(
-            F.session_window("detected_at", gap).alias("s"), "service",
-            F.col("signal_type").alias("error"),
-        )
-        .agg(F.count("*").alias("occurrence_count"))
-        .select(
-            "service", "error", fields.micros(F.col("s.start")).alias("created_us"),
-            "occurrence_count",
-        )
-    )
