@@ -419,6 +419,9 @@ ORACLES: dict[str, str] = {
         WHERE service_name = 'api-gateway' AND log_level = 'ERROR'
           AND us >= epoch_us(TIMESTAMP '2024-01-05') AND us < epoch_us(TIMESTAMP '2024-01-20')
           AND lower(message) LIKE '%k=2%'""",
+    "search_by_index": P_LOGS + """
+        SELECT event_id, us, service_name, message FROM msg
+        WHERE log_level = 'ERROR' AND lower(message) LIKE '%deployment.failed k=5%'""",
     "replayed_signals": P_EVSIG + """
         SELECT signal_id, signal_type, us FROM evsig
         WHERE us >= epoch_us(TIMESTAMP '2024-01-10') AND us < epoch_us(TIMESTAMP '2024-01-12')""",

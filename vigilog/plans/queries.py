@@ -16,8 +16,9 @@ from vigilog.operators import (
     anomaly, audit, correlate, formats, incidents as inc, lifecycle, notify, parse, process, respond, rulebook,
     rules, search, windows,
 )
-from vigilog.session import cut, spread
+from vigilog.session import cut, scratch, spread
 from vigilog.sources import event_table, tables
+from vigilog.sources.text_index import TextIndex
 
 HOUR_US = 3_600_000_000
 DAY_US = 24 * HOUR_US
@@ -218,6 +219,16 @@ def search_logs(spark, sf_dir):
     return found.select("event_id", us("timestamp"), "event_type", "message")
 
 
+def search_by_index(spark, sf_dir):
+    """A text that few files hold, found by the index of a table in day folders."""
+    root = scratch(spark, "indexed")
+    tables.write_by_day(logs(spark, sf_dir), f"{root}/logs")
+    index = TextIndex(spark, f"{root}/logs", f"{root}/index", buckets=16)
+    index.update()
+    return index.search("DEPLOYMENT.FAILED k=5", level="ERROR").select(
+        "event_id", us("timestamp"), "service_name", "message")
+
+
 def replayed_signals(spark, sf_dir):
     return search.replay(
         logs(spark, sf_dir), "2024-01-10T00:00:00Z", "2024-01-12T00:00:00Z",
@@ -751,7 +762,7 @@ BATCH = {
     f.__name__: f
     for f in (
         processed_logs, severity_counts, latency_buckets, parsed_json_lines, dead_letters,
-        processing_status, regex_parsed_lines, regex_unmatched_lines, lines_by_format_table, search_logs,
+        processing_status, regex_parsed_lines, regex_unmatched_lines, lines_by_format_table, search_logs, search_by_index,
         replayed_signals, signals_high_latency, signals_deployment_failure,
         signals_db_slow_query, signals_all, signal_counts, signals_bruteforce,
         signals_error_spike, signals_error_spike_by_host, signals_per_event,
