@@ -351,6 +351,36 @@ versioned AS (
   SELECT md5('CONTAINER_CRASH|' || event_id), 'crash', 1, 'CONTAINER_CRASH', event_id, 'HIGH', us
   FROM logs_at WHERE event_type = 'deployment.failed' AND reason = 'container_crash')
 """
+
+
+def dense_scores(value: str) -> str:
+    """Every hour of a service from its first to the last of all, silent or not."""
+    return f"""
+    spine AS (
+      SELECT service_name, unnest(generate_series(min(window_start_us),
+        (SELECT max(window_start_us) FROM rates), {HOUR})) AS window_start_us
+      FROM rates GROUP BY service_name),
+    dense AS (
+      SELECT s.service_name, s.window_start_us, coalesce(events, 0) AS events, coalesce(errors, 0) AS errors
+      FROM spine s LEFT JOIN rates r
+        ON r.service_name = s.service_name AND r.window_start_us = s.window_start_us),
+    dense_past AS (
+      SELECT *, round(avg({value}::DOUBLE) OVER w, 6) AS moving_avg,
+             round(stddev_pop({value}::DOUBLE) OVER w, 6) AS moving_std
+      FROM dense WINDOW w AS (PARTITION BY service_name ORDER BY window_start_us
+                              ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)),
+    dense_scored AS (
+      SELECT *, CASE WHEN moving_std > 0 THEN round(({value} - moving_avg) / moving_std, 6) END AS zscore
+      FROM dense_past),
+    dense_marked AS (
+      SELECT *, coalesce(abs(zscore) > 2.0, FALSE) AS is_zscore,
+        coalesce({value} > moving_avg * 3.0, FALSE) AS is_moving_avg, {value} > 3 AS is_threshold FROM dense_scored)"""
+
+
+DENSE_FLAGGED = """
+        SELECT service_name, window_start_us, errors, moving_avg, moving_std, zscore,
+               is_zscore, is_moving_avg, is_threshold
+        FROM dense_marked WHERE is_zscore OR is_moving_avg OR is_threshold"""
 JAN_16 = "epoch_us(TIMESTAMP '2024-01-16')"
 RULE_WINDOWS = (
     fired("w1", "''", "event_type = 'http.request' AND status >= 500 AND us < " + JAN_16, 5, 6 * HOUR),
@@ -516,6 +546,10 @@ ORACLES: dict[str, str] = {
         SELECT service_name, window_start_us, errors, moving_avg, moving_std, zscore,
                is_zscore, is_moving_avg, is_threshold
         FROM marked WHERE is_zscore OR is_moving_avg OR is_threshold""",
+    "zscore_anomalies_dense": _with(LOGS, RATES, dense_scores("errors")) + DENSE_FLAGGED,
+    "silence_anomalies": _with(LOGS, RATES, dense_scores("events")) + """
+        SELECT service_name, window_start_us, events, moving_avg, zscore
+        FROM dense_marked WHERE is_zscore OR is_moving_avg""",
     "incident_sessions": P_GROUPS + """
         SELECT * FROM sessions""",
     "session_links": P_GROUPS + """
@@ -817,6 +851,7 @@ ORACLES |= {
         SELECT * FROM judged
         UNION ALL SELECT id, NULL, status, changed_us, seq, 'unknown', NULL, NULL
         FROM upd WHERE id NOT IN (SELECT id FROM inc)""",
+    "stream_zscore_anomalies": _with(LOGS, RATES, dense_scores("errors")) + DENSE_FLAGGED,
     "stream_rule_changes": _with(LOGS, RULE_ROWS, *RULE_WINDOWS) + """
         SELECT rule_id, version, signal_type, severity, event_id, detected_at AS us FROM versioned
         UNION ALL SELECT rule_id, version, signal_type, 'HIGH', event_id, us FROM windowed""",

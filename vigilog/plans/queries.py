@@ -429,6 +429,25 @@ def zscore_anomalies(spark, sf_dir):
         "is_zscore", "is_moving_avg", "is_threshold")
 
 
+ANOMALY_COLUMNS = [
+    "service_name", "window_start_us", "errors", "moving_avg", "moving_std", "zscore", "is_zscore", "is_moving_avg",
+    "is_threshold"]
+
+
+def zscore_anomalies_dense(spark, sf_dir):
+    """With the hours in which a service said nothing."""
+    rates = anomaly.error_rate(logs(spark, sf_dir), HOUR_US)
+    scored = anomaly.dense_anomalies(rates, HOUR_US, history=24, threshold=3)
+    return anomaly.flagged(scored).select(*ANOMALY_COLUMNS)
+
+
+def silence_anomalies(spark, sf_dir):
+    """Hours with far more or fewer events than the day before, silent ones too."""
+    rates = anomaly.error_rate(logs(spark, sf_dir), HOUR_US)
+    scored = anomaly.dense_anomalies(rates, HOUR_US, history=24, value="events")
+    return anomaly.flagged(scored).select("service_name", "window_start_us", "events", "moving_avg", "zscore")
+
+
 def incident_sessions(spark, sf_dir):
     return correlate.incident_sessions(signals(spark, sf_dir), HOUR_US).select(
         "incident_id", "service", "error", "status", "priority", "occurrence_count",
@@ -768,7 +787,8 @@ BATCH = {
         signals_error_spike, signals_error_spike_by_host, signals_per_event,
         sliding_failure_count, rules_as_of, rules_as_of_windows, ids_of_texts, correlated_groups,
         correlated_traces, correlation_links,
-        interval_links, interval_groups, interval_traces, signals_after_deployments, error_rate_by_window, zscore_anomalies, incident_sessions,
+        interval_links, interval_groups, interval_traces, signals_after_deployments, error_rate_by_window, zscore_anomalies,
+        zscore_anomalies_dense, silence_anomalies, incident_sessions,
         session_links, incident_severity_scored, incidents_by_signal_severity,
         incidents_from_payload, incidents_latest_after_updates, incidents_missing_updates,
         incidents_found_by_id, incident_status_history, lifecycle_transitions, incidents_strict_state,

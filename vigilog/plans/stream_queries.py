@@ -6,13 +6,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigilog.operators import process, rules
+from vigilog.operators.anomaly import flagged
 from vigilog.plans.queries import (
-    BRUTE, CHANNELS, DEADLINES, GATES, SPIKE, executed, incidents, planned, protected_services, rule_table,
+    ANOMALY_COLUMNS, BRUTE, CHANNELS, DEADLINES, GATES, SPIKE, executed, incidents, planned, protected_services, rule_table,
     signal_incidents, step_columns, updates, us,
 )
 from vigilog.session import scratch
 from vigilog.sources import event_table, tables
-from vigilog.streaming import gates, incremental, lifecycle, pipeline, rulebook, sessions, stateful, store
+from vigilog.streaming import anomaly, gates, incremental, lifecycle, pipeline, rulebook, sessions, stateful, store
 
 HOUR_US = 3_600_000_000
 
@@ -74,6 +75,19 @@ def stream_error_spike(spark, sf_dir):
     return found.select("event_id", "service", us("detected_at"))
 
 
+def stream_zscore_anomalies(spark, sf_dir):
+    """Silent hours included, from a stream in two parts of time."""
+    root = scratch(spark, "anomalies")
+    logs = event_table.read_logs(spark, sf_dir).select("service_name", "timestamp", "log_level")
+    second = F.col("timestamp") >= "2024-01-14"
+    watch = anomaly.Watch(HOUR_US, 2 * HOUR_US, 24, {"threshold": 3})
+    for part in (~second | F.col("timestamp").isNull(), second):
+        logs.filter(part).write.mode("append").parquet(f"{root}/feed")
+        anomaly.follow(pipeline.follow(spark, root, "feed"), f"{root}/out", watch).awaitTermination()
+    found = anomaly.scored(spark, f"{root}/out").unionByName(anomaly.remaining(spark, f"{root}/out", watch))
+    return flagged(found).select(*ANOMALY_COLUMNS)
+
+
 def stream_rule_changes(spark, sf_dir):
     """Rules of both kinds over a stream that is half through when new versions are
     published, which takes it to a restart."""
@@ -205,7 +219,7 @@ def stream_tailed_lines(spark, sf_dir):
 STREAM = {
     f.__name__: f
     for f in (
-        stream_processed_counts, stream_signals, stream_bruteforce, stream_error_spike, stream_rule_changes,
+        stream_processed_counts, stream_signals, stream_bruteforce, stream_error_spike, stream_rule_changes, stream_zscore_anomalies,
         stream_error_rates, stream_incident_sessions, stream_session_links, stream_lifecycle, stream_response_gates, stream_incident_store, stream_stage_tables, stream_tailed_lines,
     )
 }
