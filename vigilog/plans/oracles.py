@@ -823,6 +823,13 @@ ORACLES: dict[str, str] = {
                round(quantile_cont(latency_ms, 0.95) / 1000::DOUBLE, 6) AS p95,
                round(quantile_cont(latency_ms, 0.99) / 1000::DOUBLE, 6) AS p99
         FROM late GROUP BY 1""",
+    "latency_sketch_quantiles": P_EVSIG + f"""
+        , late AS (SELECT signal_type, {HOUR} - us % {HOUR} AS v FROM evsig),
+        cut AS (SELECT signal_type, (v >> greatest(length(bin(v)) - 8, 0)) << greatest(length(bin(v)) - 8, 0) AS cell
+                FROM late)
+        SELECT signal_type, count(*) AS values, quantile_disc(cell, 0.5) AS p50,
+               quantile_disc(cell, 0.95) AS p95, quantile_disc(cell, 0.99) AS p99
+        FROM cut GROUP BY 1""",
     "log_throughput": P_LOGS + f"""
         SELECT us - us % {HOUR} AS window_start_us, count(*) AS events,
                count(DISTINCT service_name) AS services,
@@ -852,6 +859,7 @@ ORACLES |= {
         UNION ALL SELECT id, NULL, status, changed_us, seq, 'unknown', NULL, NULL
         FROM upd WHERE id NOT IN (SELECT id FROM inc)""",
     "stream_zscore_anomalies": _with(LOGS, RATES, dense_scores("errors")) + DENSE_FLAGGED,
+    "stream_latency_quantiles": ORACLES["latency_sketch_quantiles"],
     "stream_rule_changes": _with(LOGS, RULE_ROWS, *RULE_WINDOWS) + """
         SELECT rule_id, version, signal_type, severity, event_id, detected_at AS us FROM versioned
         UNION ALL SELECT rule_id, version, signal_type, 'HIGH', event_id, us FROM windowed""",

@@ -14,7 +14,7 @@ from vigilog import schema
 from vigilog.functions import fields
 from vigilog.operators import (
     anomaly, audit, correlate, formats, incidents as inc, lifecycle, notify, parse, process, respond, rulebook,
-    rules, search, windows,
+    rules, search, sketch, windows,
 )
 from vigilog.session import cut, scratch, spread
 from vigilog.sources import event_table, tables
@@ -773,6 +773,18 @@ def detection_latency_quantiles(spark, sf_dir):
         "signal_type", "signals", *[F.round(c, 6).alias(c) for c in ("max_s", "p50", "p95", "p99")])
 
 
+def latency_us():
+    """As if signals left the pipeline at the end of their event's hour."""
+    at = fields.micros(F.col("detected_at"))
+    return fields.floor_to(at, HOUR_US) + HOUR_US - at
+
+
+def latency_sketch_quantiles(spark, sf_dir):
+    found = rules.event_signals(logs(spark, sf_dir))
+    kept = sketch.cells(found, ["signal_type"], fields.micros(F.col("detected_at")), latency_us(), DAY_US)
+    return sketch.quantiles(kept, ["signal_type"])
+
+
 def log_throughput(spark, sf_dir):
     return audit.throughput(logs(spark, sf_dir), HOUR_US)
 
@@ -797,7 +809,7 @@ BATCH = {
         safety_gate, safety_gate_after_allowed, responses_gated, approval_gate, failure_suppression, failure_suppressed,
         playbook_best_match, playbook_choice_as_of, escalations, execution_results, notifications_routed, notification_messages,
         notifications_rejected, notifications_count, audit_trail, audit_report,
-        detection_latency_quantiles, log_throughput,
+        detection_latency_quantiles, latency_sketch_quantiles, log_throughput,
     )
 }
 BATCH["incidents"] = created_incidents

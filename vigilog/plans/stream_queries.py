@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vigilog.operators import process, rules
+from vigilog.functions import fields
+from vigilog.operators import process, rules, sketch
 from vigilog.operators.anomaly import flagged
 from vigilog.plans.queries import (
-    ANOMALY_COLUMNS, BRUTE, CHANNELS, DEADLINES, GATES, SPIKE, executed, incidents, planned, protected_services, rule_table,
+    ANOMALY_COLUMNS, BRUTE, CHANNELS, DEADLINES, GATES, SPIKE, executed, incidents, latency_us, planned, protected_services, rule_table,
     signal_incidents, step_columns, updates, us,
 )
 from vigilog.session import scratch
@@ -88,6 +89,15 @@ def stream_zscore_anomalies(spark, sf_dir):
     return flagged(found).select(*ANOMALY_COLUMNS)
 
 
+def stream_latency_quantiles(spark, sf_dir):
+    """Cells of the micro-batches of a stream, added up."""
+    root = scratch(spark, "latencies")
+    sketch.follow(
+        rules.event_signals(_logs(spark, sf_dir)), root, ["signal_type"], fields.micros(F.col("detected_at")),
+        latency_us(), 24 * HOUR_US).awaitTermination()
+    return sketch.quantiles(sketch.stored(spark, root), ["signal_type"])
+
+
 def stream_rule_changes(spark, sf_dir):
     """Rules of both kinds over a stream that is half through when new versions are
     published, which takes it to a restart."""
@@ -219,7 +229,7 @@ def stream_tailed_lines(spark, sf_dir):
 STREAM = {
     f.__name__: f
     for f in (
-        stream_processed_counts, stream_signals, stream_bruteforce, stream_error_spike, stream_rule_changes, stream_zscore_anomalies,
+        stream_processed_counts, stream_signals, stream_bruteforce, stream_error_spike, stream_rule_changes, stream_zscore_anomalies, stream_latency_quantiles,
         stream_error_rates, stream_incident_sessions, stream_session_links, stream_lifecycle, stream_response_gates, stream_incident_store, stream_stage_tables, stream_tailed_lines,
     )
 }
