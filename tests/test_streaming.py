@@ -190,7 +190,7 @@ def test_rule_table_on_a_stream(spark, make_logs, tmp_path):
     from vigilog.operators import rulebook
 
     table = spark.createDataFrame(
-        [("r", 1, at(0), "db.query", "latency_ms", ">", 10.0, "S", "LOW", None, None, None)],
+        [("r", 1, at(0), "db.query", "latency_ms", ">", 10.0, "S", "LOW", None, None, None, None)],
         schema.RULE_SCHEMA)
     make_logs([{"event_type": "db.query", "latency_ms": float(v)} for v in range(20)]).write.parquet(
         str(tmp_path / "in"))
