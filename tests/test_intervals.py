@@ -83,6 +83,38 @@ def test_band_join_equals_all_pairs(spark, keys, split):
     assert sorted((r.l.id, r.r.id) for r in got.collect()) == want and want
 
 
+def rows_sent(plan):
+    """Rows that the exchanges of a plan that has run have written."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return rows_sent(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return rows_sent(plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(rows_sent(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+@pytest.mark.parametrize("seconds", [[i // 4 for i in range(400)], [7] * 400], ids=["dense", "one moment"])
+def test_a_denser_band_join_sends_rows_no_more_often(spark, seconds):
+    def sent(copies):
+        rows = [(n, t) for n, t in enumerate(t for t in seconds for _ in range(copies))]
+        frame = spark.createDataFrame(rows, "id int, t bigint").repartition(4)
+        pairs = correlate.band_join(frame, frame, [], "t", "t", 0, 9, split=5)
+        plan = pairs._jdf.queryExecution().executedPlan()
+        n_pairs = sum(1 for a in seconds for b in seconds if a <= b <= a + 9) * copies**2
+        assert len(plan.executeCollect()) == n_pairs
+        assert pairs.groupBy(F.spark_partition_id()).count().count() > 2
+        return rows_sent(plan) / len(rows)
+
+    # As for tables too large to be broadcast.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        once, thrice = sent(1), sent(3)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert once >= 2 and thrice < 1.2 * once
+
+
 @pytest.mark.parametrize("strict", [False, True])
 def test_asof_join_equals_a_loop(spark, strict):
     rng = random.Random(7)

@@ -130,10 +130,12 @@ def band_join(
     right one as ``r``.
 
     Times are dealt into buckets as long as the band; a left row goes to its bucket
-    and the one on either side that its band reaches. Buckets with more than
-    ``split`` right rows are dealt further into parts of that size, and left rows
-    go to each part, so no hot key or moment meets in one task. Null keys or times
-    join nothing.
+    and the one on either side that its band reaches. A bucket of more than ``split``
+    rows with a large share of all pairs is dealt further: its left rows into some
+    parts, its right rows into others, and each two parts meet in a cell, so no hot key
+    or moment meets in one task. There are as many cells as all tasks need, however
+    many rows there are, and rows are sent no more often than that takes. Copies of
+    a row stay together. Null keys or times join nothing.
     """
     size = before_us + after_us + 1
     there = [F.col(k).isNotNull() for k in keys]
@@ -145,21 +147,50 @@ def band_join(
 
     for known in there:
         left, right = left.filter(known), right.filter(known)
-    names = [f"_k{i}" for i in range(len(keys))]
-    rights = with_key(right, right_us, "r").withColumn("_bucket", fields.floor_to(F.col("_rus"), size))
-    parts = rights.groupBy(*names, "_bucket").agg(F.ceil(F.count("*") / split).cast("int").alias("_parts"))
-    hot = cut(parts.filter("_parts > 1"))
-    # Only buckets beyond ``split`` rows are in this table.
-    place = F.pmod(F.xxhash64("r"), F.coalesce("_parts", F.lit(1))).cast("int")
-    dealt = rights.join(hot, [*names, "_bucket"], "left").withColumn("_part", place).drop("_parts")
+    bucket = [*[f"_k{i}" for i in range(len(keys))], "_bucket"]
     low = fields.floor_to(F.col("_lus") - before_us, size)
     high = fields.floor_to(F.col("_lus") + after_us, size)
     reach = F.array_distinct(F.array(low, high))
     lefts = with_key(left, left_us, "l").withColumn("_bucket", F.explode(reach))
-    lefts = lefts.join(hot, [*names, "_bucket"], "left").withColumn(
-        "_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    rights = with_key(right, right_us, "r").withColumn("_bucket", fields.floor_to(F.col("_rus"), size))
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = F.broadcast(_cells(lefts, rights, bucket, split, CELLS_PER_TASK * tasks))
+
+    def dealt(rows: DataFrame, kept: str, own: str, other: str) -> DataFrame:
+        """To one part of its own side and all of the other."""
+        parts = F.coalesce(own, F.lit(1))
+        part = F.pmod(F.xxhash64(*_plain(rows, kept)), parts).cast("int").alias(f"_{own}")
+        out = rows.join(hot, bucket, "left").select(*bucket, f"_{kept}us", kept, part, F.coalesce(other, F.lit(1)).alias("_n"))
+        out = out.withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+        # By number, so that few bytes with many pairs are not put together in few tasks.
+        return out.repartition(tasks, *bucket, "_lefts", "_rights")
+
     near = (F.col("_rus") >= F.col("_lus") - before_us) & (F.col("_rus") <= F.col("_lus") + after_us)
-    return lefts.join(dealt, [*names, "_bucket", "_part"]).filter(near).select("l", "r")
+    pairs = dealt(lefts, "l", "lefts", "rights").join(dealt(rights, "r", "rights", "lefts"), [*bucket, "_lefts", "_rights"])
+    return pairs.filter(near).select("l", "r")
+
+
+#: A bucket with more than its share of the pairs is dealt into cells of such a share.
+CELLS_PER_TASK = 4
+
+
+def _cells(lefts: DataFrame, rights: DataFrame, bucket: list[str], split: int, cells: int) -> DataFrame:
+    """The buckets to be dealt, fewer than ``cells``, with the number of parts of either side."""
+    sides = lefts.groupBy(*bucket).agg(F.count("*").cast("double").alias("_l")).join(
+        rights.groupBy(*bucket).agg(F.count("*").cast("double").alias("_r")), bucket)
+    sides = cut(sides.withColumn("_pairs", F.col("_l") * F.col("_r")))
+    share = (sides.agg(F.sum("_pairs")).first()[0] or 0.0) / cells
+    many = F.ceil(F.col("_pairs") / F.lit(share or 1.0))
+    # Each left row is sent to all right parts and the reverse: about the same of both is least.
+    right_parts = F.least(many, F.greatest(F.lit(1), F.round(F.sqrt(many * F.col("_r") / F.col("_l")))))
+    return sides.filter((F.col("_pairs") > share) & (F.col("_l") + F.col("_r") > split)).select(
+        *bucket, F.ceil(many / right_parts).cast("int").alias("lefts"), right_parts.cast("int").alias("rights"))
+
+
+def _plain(rows: DataFrame, side: str) -> list[Column]:
+    """The columns of a side that have a hash, which maps have not."""
+    kinds = rows.schema[side].dataType
+    return [F.col(f"{side}.`{f.name}`") for f in kinds if "map<" not in f.dataType.simpleString()]
 
 
 def gap_slots(df: DataFrame, keys: list[str], us: Column, gap_us: int, aggs: list[Column]) -> DataFrame:
