@@ -1,7 +1,10 @@
 """Gates on a stream against the batch gates and a plain walk."""
 
 import random
+from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from helpers import at
@@ -113,3 +116,109 @@ def test_late_rows_are_given_out_and_do_not_count(spark, tmp_path):
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert respond.gated(none, none, **HOW).collect() == []
+
+
+class Kept:
+    """A value, a list or a map in the state of one key, its calls counted."""
+
+    def __init__(self, calls):
+        self.calls, self.rows = calls, {}
+
+    def __getattribute__(self, name):
+        if name not in ("calls", "rows"):
+            self.calls.append(name)
+        return super().__getattribute__(name)
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return self.rows["value"]
+
+    def update(self, row):
+        self.rows["value"] = row
+
+    def appendList(self, rows):
+        self.rows["value"] = [*self.rows.get("value", []), *rows]
+
+    def getValue(self, key):
+        return self.rows[key]
+
+    def updateValue(self, key, row):
+        self.rows[key] = row
+
+    def removeKey(self, key):
+        del self.rows[key]
+
+    def keys(self):
+        return iter([*self.rows])
+
+    def iterator(self):
+        return iter([*self.rows.items()])
+
+    def clear(self):
+        self.rows.clear()
+
+    put = update
+
+
+class Key:
+    """One service and action, without Spark."""
+
+    def __init__(self, after_allowed, cooldown_us, retry_limit, retry_window_us, failure_limit):
+        self.calls, self.wakes, self.limit = [], set(), retry_limit
+        self.gates = gates.Gates(cooldown_us, retry_window_us, failure_limit, after_allowed)
+        state = lambda *_: Kept(self.calls)
+        self.gates.init(SimpleNamespace(
+            getValueState=state, getListState=state, getMapState=state, registerTimer=lambda ms: (self.calls.append("timer"), self.wakes.add(ms))))
+
+    def take(self, rows, watermark_ms, size=10_000):
+        """The rows given out for ``rows``, (kind, us, incident, error), and a new watermark."""
+        frame = pd.DataFrame(rows, columns=["kind", "us", "incident_id", "error"])
+        frames = iter([frame[lo : lo + size] for lo in range(0, len(frame), size)])
+        now = SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark_ms)
+        out = [*self.gates.handleInputRows(("db", "restart"), frames, now)] if rows else []
+        due = sorted(ms for ms in self.wakes if ms <= watermark_ms)
+        self.wakes -= set(due)
+        for ms in due:
+            out += self.gates.handleExpiredTimer(("db", "restart"), now, SimpleNamespace(getExpiryTimeInMs=lambda: ms))
+        return pd.concat(out) if out else pd.DataFrame(columns=gates._COLUMNS)
+
+
+def test_work_for_a_key_grows_with_its_rows():
+    """A full retry window and many failures: calls to the state neither grow with the
+    attempts of a window nor with the outcomes."""
+    n, rng = 30_000, random.Random(7)
+    rows = [(0, i * 1000, f"i{i:06d}", "slow") for i in range(n)] + [(1, i * 10_000 + 500, f"i{i:06d}", "slow") for i in range(n // 10)]
+    rng.shuffle(rows)
+    key = Key(False, 1500, 3, 50 * MINUTE, 100)
+    assert not len(key.take(rows, 0))
+    found = key.take([], 10**9).sort_values("us")
+    assert len(key.calls) < 200
+    assert found["attempts"].tolist() == [*range(1, n + 1)]
+    assert found["in_cooldown"].tolist() == [False] + [True] * (n - 1)
+    assert found["suppressed"].tolist() == (np.arange(n) * 1000 > 99 * 10_000 + 500).tolist()
+    assert key.gates.waiting.exists() is False
+
+
+@pytest.mark.parametrize("after_allowed", [False, True])
+def test_runs_are_judged_in_time_order(monkeypatch, after_allowed):
+    """Many small runs, with the watermark in the middle of them, against a plain walk."""
+    monkeypatch.setattr(gates, "_RUN", 7)
+    monkeypatch.setattr(gates, "_HELD", 20)
+    rng = random.Random(11)
+    rows = [("i%04d" % i, "db", "restart", *r[3:]) for i, r in enumerate(responses(rng, 300))]
+    stream = [(0, r[5] * 1_000_000, r[0], r[3]) for r in rows] + [(1, r[6] * 1_000_000, r[0], r[3]) for r in rows if r[4] == "failed"]
+    stream.sort(key=lambda r: r[1] + rng.random() * 300_000_000)
+    key, found, passed = Key(after_allowed, **HOW), [], 0
+    for lo in range(0, len(stream), 60):
+        part = stream[lo : lo + 60]
+        found.append(key.take(part, passed, size=9))
+        passed = max(passed, max(r[1] for r in part) // 1000 - 300_000)
+        found.append(key.take([], passed))
+    found = pd.concat([part for part in (*found, key.take([], 10**9)) if len(part)])
+    assert found["late"].isna().all()
+    expected = plainly(rows, **HOW, after_allowed=after_allowed)
+    assert sorted(zip(*(found[c] for c in ("incident_id", "attempts", "in_cooldown", "suppressed")))) == [r[:4] for r in expected]
+    # Nothing is kept for ever but the failures.
+    assert not (key.gates.waiting.exists() or key.gates.recent.exists())
